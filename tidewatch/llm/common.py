@@ -56,11 +56,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of at most `most` bytes of text each, or one row."""
+    """Cut a batch into runs of at most `most` bytes of text and 30,000 rows each, or one row."""
     _, at = text_bytes(batch.column(column))
     start, n = 0, batch.num_rows
     while start < n:
-        stop = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
+        stop = max(start + 1, min(int(np.searchsorted(at, at[start] + most, side="right")) - 1, start + 30_000))
         yield batch.slice(start, stop - start)
         start = stop
 
