@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import language_id, mixing, near_dedup, packing, token_files
+from tidewatch.llm import language_id, licenses, mixing, near_dedup, packing, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
@@ -37,9 +41,9 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_token_files, op8_source_mixing)
+    named = (op1_license_scan, op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_token_files, op8_source_mixing)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": mixing.REPORT_SQL}
+    return {"op1_license_scan": licenses.report_sql(), "op8_source_mixing": mixing.REPORT_SQL}
