@@ -28,11 +28,11 @@ REGISTERS = BANDS * ROWS
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
 _PLACE = mix(np.arange(11, 11 + WORDS, dtype=_U)) | _U(1)
-_BITS = 48
+_BITS = 32
 
 
 def shingles(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of texts laid end to end: text number, 48-bit hash and count, sorted by text and hash.
+    """Distinct shingles of texts laid end to end: text number, 32-bit hash and count, sorted by text and hash.
 
     A text of one to four words is one shingle; a text without words has none.
     """
@@ -103,7 +103,7 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
                 n = batch.num_rows
                 owner, h, times = shingles(*text_bytes(batch.column("text")))
                 found = bands(signatures(owner, h, weight(times), n))
-                low, at = (h >> _U(_BITS - 32)).astype("<u4"), np.searchsorted(owner, np.arange(n + 1))
+                low, at = h.astype("<u4"), np.searchsorted(owner, np.arange(n + 1))
                 many = times.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
