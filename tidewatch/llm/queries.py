@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import embedding_dedup, language_id, licenses, mixing, near_dedup, packing, token_files
+from tidewatch.llm import embedding_dedup, hmm, language_id, licenses, mixing, near_dedup, packing, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +44,12 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_license_scan, op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_token_files, op8_source_mixing, op9_embedding_near_dedup)
+    named = (op1_license_scan, op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_token_files, op8_source_mixing, op9_embedding_near_dedup, op10_lm_scoring)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
