@@ -88,6 +88,8 @@ def _fold_ascii() -> np.ndarray:
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+PUNCTUATION = np.zeros(256, dtype=bool)
+PUNCTUATION[list(b".,;:!?")] = True
 LOWER = _fold_ascii()
 _CODES, _CODES_LOWER = _byte_codes(), _byte_codes()[LOWER]
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -104,10 +106,11 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, at: np.ndarray, lower: bool = True, trim: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end: starts, ends, text number and 64-bit hash of each.
 
-    The hash is a polynomial over random byte codes, taken from one running sum for all words; `lower` folds A-Z.
+    The hash is a polynomial over random byte codes, taken from one running sum for all words; `lower` folds A-Z, `trim`
+    leaves off one punctuation mark at the end of a longer word.
     """
     n = len(raw)
     if not n:
@@ -123,6 +126,8 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarr
     last[:-1] &= ~inside[1:] | first[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     text = np.searchsorted(at, start, side="right") - 1
+    if trim:
+        end = end - (PUNCTUATION[raw[end - 1]] & (end - start > 1))
     power = _power(n)
     total = np.zeros(n + 1, dtype=_U)
     np.cumsum((_CODES_LOWER if lower else _CODES)[raw] * power[n - 1 :: -1][:n] if n else raw, out=total[1:])
