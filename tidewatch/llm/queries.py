@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import embedding_dedup, hmm, imatch, language_id, licenses, mixing, near_dedup, packing, token_files
+from tidewatch.llm import edit_counts, embedding_dedup, hmm, imatch, language_id, licenses, mixing, near_dedup, packing, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edit_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_license_scan, op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_token_files, op7_imatch_fingerprints, op8_source_mixing, op9_embedding_near_dedup, op10_lm_scoring)
+    named = (op1_license_scan, op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_token_files, op6_edit_aware_counts, op7_imatch_fingerprints, op8_source_mixing, op9_embedding_near_dedup, op10_lm_scoring)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
