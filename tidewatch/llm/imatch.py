@@ -137,8 +137,11 @@ def with_next(docs: DataFrame, rows: int = 256, most_blocks: int = 4096) -> Data
         shares = [i / n for i in range(1, n)]
         cuts = base.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(20 * n)).alias("q")).first()["q"] or []
     splits = [-float("inf"), *sorted({float(x) for x in cuts}), float("inf")]
-    number = Bucketizer(splits=splits, inputCol="__id", outputCol="__block", handleInvalid="keep")
-    placed = number.transform(base.withColumn("__id", F.col("doc_id").cast("double"))).withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("__block").cast("int"))).drop("__id", "__block")
+    placed = base.withColumns({"__id": F.col("doc_id").cast("double"), "__block": F.lit(0.0)})
+    if len(splits) > 2:
+        number = Bucketizer(splits=splits, inputCol="__id", outputCol="__block", handleInvalid="keep")
+        placed = number.transform(placed.drop("__block"))
+    placed = placed.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("__block").cast("int"))).drop("__id", "__block")
     tops = sorted(((r["block"], r["top"]) for r in placed.groupBy("block").agg(F.max("doc_id").alias("top")).collect()), reverse=True)  # most_blocks rows at most
     if not tops:
         return placed.select("block", F.lit(False).alias("tail"), "doc_id", "text")
