@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one Arrow batch or one vectorised step holds (a longer single text is a step of its own).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _U = np.uint64
 
@@ -38,9 +41,31 @@ def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches end after BATCH_BYTES, so that a task's Python memory doesn't follow the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let Arrow batches end after so many bytes, so that a task's Python memory doesn't follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+_caches: dict[str, list[dict]] = {}
+
+
+def cache(owner: str) -> dict:
+    """A table that a worker process keeps from task to task, until it works for another owner."""
+    made: dict = {}
+    _caches.setdefault(owner, []).append(made)
+    return made
+
+
+def claim(owner: str) -> None:
+    """Called where a task starts: what the worker kept for other owners goes, and its memory is given back."""
+    dropped = [c for name, held in _caches.items() if name != owner for c in held if c]
+    for c in dropped:
+        c.clear()
+    if dropped:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bounded_batches, slices
+from tidewatch.llm.common import bounded_batches, cache, claim, slices
 
 LEAF = 64
 #: Pre-tokens whose counts a worker keeps; the older half goes when it is full.
@@ -42,7 +42,7 @@ class PreTokens:
         self.cut = regex.compile(public_tokenizers.PATTERN)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = cache("edit_counts")
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces not met before, in one call."""
@@ -158,7 +158,8 @@ _pre: dict[str, PreTokens] = {}
 
 
 def pre_tokens(path: str) -> PreTokens:
-    """One for each worker process and tokenizer file."""
+    """One for each worker process and tokenizer file; claims the worker."""
+    claim("edit_counts")
     if path not in _pre:
         _pre[path] = PreTokens(path)
     return _pre[path]

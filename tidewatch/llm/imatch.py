@@ -21,7 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BATCH_BYTES, bounded_batches, mix, slices, text_bytes, words
+from tidewatch.llm.common import BATCH_BYTES, bounded_batches, claim, mix, slices, text_bytes, words
 
 #: The band: document frequency over number of documents, and at least two documents.
 LEAST, MOST = 1 / 1000, 1 / 50
@@ -45,6 +45,7 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: flo
     bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("imatch")
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -167,6 +168,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).repartition("block").sortWithinPartitions(*order)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("imatch")
         run: list[tuple[int | None, str]] = []  # rows of one block; the last waits for its next
         size, now, over = 0, None, False
 

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, bounded_batches, slices, text_bytes
+from tidewatch.llm.common import LOWER, bounded_batches, claim, slices, text_bytes
 
 #: Features: all pairs of bytes, then triples by hash.
 FEATURES = (1 << 16) + (1 << 16)
 UNKNOWN = "und"
 CLOSE = 0.1
 _LETTER = re.compile(r"[^\W\d_]")
-_STEP = 1 << 20
+_STEP = 1 << 19
 
 
 def codewords(languages: int, seed: int = 7) -> np.ndarray:
@@ -119,6 +119,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> Model |
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id")
         totals: dict[str, np.ndarray] = {}
         for whole in batches:
             for batch in slices(whole, "text", _STEP):
@@ -149,6 +150,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> Model |
     shared = labelled.sparkSession.sparkContext.broadcast(model)  # languages x bits x FEATURES, whatever the input
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id")
         m = shared.value
         right, seen = np.zeros(m.codes.shape), np.zeros(len(m.languages))
         known = {x: i for i, x in enumerate(m.languages)}
@@ -181,6 +183,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id")
         m = shared.value
         for whole in batches:
             for batch in slices(whole, text, _STEP):

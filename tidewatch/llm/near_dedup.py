@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bounded_batches, mix, slices, text_bytes, words, written
+from tidewatch.llm.common import bounded_batches, claim, mix, slices, text_bytes, words, written
 from tidewatch.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 25, 5
@@ -98,6 +98,7 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup")
         for whole in batches:
             for batch in slices(whole, "text"):
                 n = batch.num_rows
@@ -151,6 +152,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
     side = lambda x: sets.select(F.col("row_id").alias(x), F.col("shingles").alias(f"s{x}"), F.col("times").alias(f"t{x}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup")
         for batch in batches:
             cols = [[np.frombuffer(x.as_buffer(), dtype="<u4") for x in batch.column(c)] for c in ("sa", "ta", "sb", "tb")]
             ok = [similar(a, weight(ta), b, weight(tb)) >= threshold for a, ta, b, tb in zip(*cols, strict=True)]

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from tidewatch.llm.common import cache, claim
+
 #: Chunks that a worker keeps; the older half goes when it is full.
 CACHE_CHUNKS = 700_000
 
@@ -33,7 +35,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = self._kind(json.loads(self.tokenizer.to_str()))
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = cache("tokens")
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -62,37 +64,38 @@ class Encoder:
         """The ids of each text, as bytes."""
         if self.kind == "whole":
             return self._batch(texts)
-        cache, led = self.cache, self.kind == "space_led"
-        if len(cache) > CACHE_CHUNKS:
-            for key in list(cache)[: CACHE_CHUNKS // 2]:
-                del cache[key]
+        known, led = self.cache, self.kind == "space_led"
+        if len(known) > CACHE_CHUNKS:
+            for key in list(known)[: CACHE_CHUNKS // 2]:
+                del known[key]
         parted = [self._parts(x) for x in texts]
         heads = self._batch([x.pop(0) for x in parted]) if led else [b""] * len(texts)
-        missing = set().union(*(set(x).difference(cache) for x in parted))
+        missing = set().union(*(set(x).difference(known) for x in parted))
         if missing:
             self._learn(missing)
-        return [head + b"".join(map(cache.__getitem__, x)) for head, x in zip(heads, parted, strict=True)]
+        return [head + b"".join(map(known.__getitem__, x)) for head, x in zip(heads, parted, strict=True)]
 
     def _learn(self, missing: set[str]) -> None:
         """Encode parts not met before; a word and the full stop or comma after it are two pre-tokens."""
-        cache, led = self.cache, self.kind == "space_led"
+        known, led = self.cache, self.kind == "space_led"
         words: dict[str, str] = {}
         for c in missing:
             word = c[:-1] if c[-1:] in (".", ",") and c[:-1].isalpha() else c
             words[c] = word.lower() if not led and word.isascii() else word
-        fresh = [w for w in {*words.values()} if w not in cache]
+        fresh = [w for w in {*words.values()} if w not in known]
         marks = dict(zip(".,", self._batch([".", ","]), strict=True))
-        cache.update(zip(fresh, self._batch([f" {w}" for w in fresh] if led else fresh), strict=True))
+        known.update(zip(fresh, self._batch([f" {w}" for w in fresh] if led else fresh), strict=True))
         for c, word in words.items():
-            if c not in cache:
-                cache[c] = cache[word] + marks[c[-1]] if len(c) > len(word) else cache[word]
+            if c not in known:
+                known[c] = known[word] + marks[c[-1]] if len(c) > len(word) else known[word]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One Encoder for each worker process and tokenizer file."""
+    """One Encoder for each worker process and tokenizer file; claims the worker for token ids."""
+    claim("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
