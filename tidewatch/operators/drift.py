@@ -94,7 +94,7 @@ def advect_grid(particles: DataFrame, grid: DataFrame, lon0: float, lat0: float,
     box = particles.groupBy("candidate_id").agg(*(f(x).alias(f"{n}_{x}") for n, f in (("lo", F.min), ("hi", F.max)) for x in ("lon", "lat")))
     i, j = F.floor((F.col("lo_lon") - lon0) / step - reach), F.floor((F.col("lo_lat") - lat0) / step - reach)
     wanted = box.withColumn("i", F.explode(F.sequence(i, F.floor((F.col("hi_lon") - lon0) / step + reach)))).withColumn("j", F.explode(F.sequence(j, F.floor((F.col("hi_lat") - lat0) / step + reach))))
-    cells = wanted.select("candidate_id", "i", "j").join(grid, ["i", "j"])
+    cells = wanted.select(F.col("candidate_id").alias("of"), "i", "j").join(grid, ["i", "j"])
 
     def run(key: tuple, points: pd.DataFrame, field: pd.DataFrame) -> pd.DataFrame:
         known = {(a, b): (u, v) for a, b, u, v in zip(field["i"], field["j"], field["u"], field["v"], strict=True)}
@@ -120,7 +120,7 @@ def advect_grid(particles: DataFrame, grid: DataFrame, lon0: float, lat0: float,
         return points.assign(lon=p[:, 0], lat=p[:, 1], parked=parked)[["candidate_id", "pid", "lon", "lat", "parked"]]
 
     grouped = particles.select("candidate_id", "pid", "lon", "lat").groupBy("candidate_id")
-    return grouped.cogroup(cells.groupBy("candidate_id")).applyInPandas(run, "candidate_id long, pid int, lon double, lat double, parked boolean")
+    return grouped.cogroup(cells.groupBy("of")).applyInPandas(run, "candidate_id long, pid int, lon double, lat double, parked boolean")
 
 
 def hulls(particles: DataFrame) -> DataFrame:

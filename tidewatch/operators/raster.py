@@ -159,9 +159,9 @@ def components(dark: DataFrame, keys: tuple[str, ...] = (), rounds: int = 60) ->
     edges = written(near.join(at, [*keys, "r", "c"]).select(*keys, "pid", "near"), "edges")
     labels = at.select(*keys, "pid", F.col("pid").alias("label"))
     for _ in range(rounds):
-        of = labels.withColumnsRenamed({"pid": "near", "label": "near_label"})
+        of = labels.select(*keys, F.col("pid").alias("near"), F.col("label").alias("near_label"))
         low = edges.join(of, [*keys, "near"]).groupBy(*keys, "pid").agg(F.min("near_label").alias("label"))
-        jump = low.withColumnsRenamed({"pid": "label", "label": "root"})
+        jump = low.select(*keys, F.col("pid").alias("label"), F.col("label").alias("root"))
         new = written(low.join(jump, [*keys, "label"]).select(*keys, "pid", F.col("root").alias("label")), "labels")
         changed = new.join(labels.withColumnRenamed("label", "old"), [*keys, "pid"]).where("label <> old")
         labels = new

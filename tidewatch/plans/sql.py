@@ -76,7 +76,7 @@ def contribution(term: str) -> str:
         "homogeneity": "1.4e0 * least(greatest(homogeneity, 0e0), 1e0)",
         "contrast_penalty": "-2.6e0 * least(contrast / 50, 1e0)",
         "size": "0.4e0 * least(greatest((log10(greatest(area_km2, 1e-3)) + 1) / 2, 0e0), 1e0)",
-        "vh_vv": "0.9e0 * coalesce(1 - least(greatest(vh_vv / 0.35e0, 0e0), 1e0), 0e0)",
+        "vh_vv": "CASE WHEN vh_vv IS NULL THEN 0e0 ELSE 0.9e0 * (1 - least(greatest(vh_vv / 0.35e0, 0e0), 1e0)) END",
     }[term]
 
 
