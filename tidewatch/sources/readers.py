@@ -103,7 +103,7 @@ def hourly_wind(spark: SparkSession, path: str) -> DataFrame:
 
 def calibration_lut(spark: SparkSession, path: str) -> DataFrame:
     """All sigma-nought values of calibration XML files: path, i, value."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     vectors = F.explode(F.regexp_extract_all("value", F.lit(r"<sigmaNought[^>]*>([^<]*)</sigmaNought>"), 1)).alias("v")
     return whole.select("path", vectors).select("path", F.posexplode(F.split(F.trim("v"), r"\s+")).alias("i", "x")).select("path", "i", F.col("x").try_cast("double").alias("value"))
 
