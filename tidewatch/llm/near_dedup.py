@@ -7,7 +7,8 @@ agree in a register with the probability Jaccard similarity of the texts. Equal
 representative. Bands of registers put representatives into buckets; within a bucket each is compared to the bucket's
 smallest member and to its neighbours by the next band, which is linear in the bucket whatever its size. Each pair is
 verified on its shingles: it is linked if the probability Jaccard or the plain Jaccard of the shingle sets reaches the
-threshold. Components of links are the groups of near duplicates.
+threshold. Components of links are the groups of near duplicates; rows that share a bucket with a group they are not in
+are then compared to all of it.
 """
 
 from __future__ import annotations
@@ -161,6 +162,32 @@ def verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
+def joined_up(labels: DataFrame, crowded: DataFrame, tested: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Components once all pairs that share a bucket but no component are verified too.
+
+    What the linear pass leaves in a bucket is mostly one component and a few rows beside it: each row outside the
+    bucket's main component meets all rows of other components, so links cost nothing within a group however large.
+    """
+    of = labels.select(F.col("node").alias("row_id"), "component")
+    known = crowded.select("bucket", "row_id").join(of, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
+    sizes = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    rows = written(known.join(mixed, "bucket"), "mixed")
+    outside = rows.where("component <> main").select("bucket", F.col("row_id").alias("x"), F.col("component").alias("cx"))
+    every = rows.select("bucket", F.col("row_id").alias("y"), F.col("component").alias("cy"), "main")
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
+    pairs = outside.join(every, "bucket").where(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = written(verified(written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), sketches, threshold), "links")
+    if more.isEmpty():
+        return labels
+    end = lambda c: of.select(F.col("row_id").alias(c), F.col("component").alias(f"c{c}"))
+    between = more.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("component", F.col("node")))
+    return nodes.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text_key, class_id, component_id, kept.
 
@@ -179,12 +206,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, text: str = "text")
     following = F.element_at("bands", (F.col("band") + 1) % BANDS + 1)
     members = written(sketches.select("row_id", "bands").join(reps, "row_id", "left_semi").select("row_id", "bands", numbered).select("row_id", "bucket", following.alias("next")), "bands")
     hubs = members.groupBy("bucket").agg(F.min("row_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    crowded = members.join(hubs, "bucket")
+    crowded = written(members.join(hubs, "bucket"), "crowded")
     near = Window.partitionBy("bucket", F.pmod("next", F.lit(64))).orderBy("next", "row_id")
     reached = crowded.select("row_id", F.array("hub", F.lag("row_id", 1).over(near), F.lag("row_id", 2).over(near)).alias("others"))
-    pairs = reached.select(F.explode("others").alias("o"), "row_id").where("o IS NOT NULL AND o <> row_id").select(F.least("o", "row_id").alias("a"), F.greatest("o", "row_id").alias("b")).distinct()
-    links = verified(written(pairs, "pairs"), sketches, threshold)
-    found = components(links).withColumnRenamed("node", "rep")
+    tested = written(reached.select(F.explode("others").alias("o"), "row_id").where("o IS NOT NULL AND o <> row_id").select(F.least("o", "row_id").alias("a"), F.greatest("o", "row_id").alias("b")).distinct(), "pairs")
+    found = components(verified(tested, sketches, threshold))
+    found = joined_up(found, crowded, tested, sketches, threshold).withColumnRenamed("node", "rep")
     grouped = classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     smallest = grouped.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "rep")).alias("first"))
     named = grouped.join(smallest, "component").select("text_key", "class_id", F.col("first.class_id").alias("component_id"), F.col("first.rep").alias("keeper"))
