@@ -112,12 +112,12 @@ def a18_n02_world_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_VIEW + f"""
 SELECT count(*) AS total, count(*) FILTER (rejected) AS rejected, count(*) FILTER (gate IS NOT NULL) AS gated, count(*) FILTER (NOT rejected AND reason IS NOT NULL) AS abstained, count(*) FILTER (reason IS NULL) AS attributed,
-count(*) FILTER (best IS NOT NULL) AS corroborated, {sql.r('sum(area_km2)')} AS area_km2, {sql.r('count(*) FILTER (NOT rejected AND reason IS NOT NULL) / CAST(count(*) FILTER (NOT rejected) AS DOUBLE)')} AS abstention_rate FROM decided""")
+count(*) FILTER (best IS NOT NULL) AS corroborated, {sql.r('sum(area_km2)')} AS area_km2, {sql.r('count(*) FILTER (NOT rejected AND reason IS NOT NULL) / nullif(CAST(count(*) FILTER (NOT rejected) AS DOUBLE), 0)')} AS abstention_rate FROM decided""")
 def a17_n09_stats(spark: SparkSession, d: str) -> DataFrame:
     held, kept = F.count_if(~F.col("rejected") & F.col("reason").isNotNull()), F.count_if(~F.col("rejected"))
     return screening.decided(spark, d).agg(
         F.count("*").alias("total"), F.count_if("rejected").alias("rejected"), F.count_if(F.col("gate").isNotNull()).alias("gated"), held.alias("abstained"), F.count_if(F.col("reason").isNull()).alias("attributed"),
-        F.count_if(F.col("best").isNotNull()).alias("corroborated"), _r("area_km2", F.sum("area_km2")), _r("abstention_rate", held / kept),
+        F.count_if(F.col("best").isNotNull()).alias("corroborated"), _r("area_km2", F.sum("area_km2")), _r("abstention_rate", held / F.nullif(kept, F.lit(0))),
     )
 
 
