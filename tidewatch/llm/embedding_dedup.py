@@ -135,8 +135,11 @@ def _linked(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
     tiles = written(laid.mapInArrow(tile, "tile long, low double, high double, nodes binary, counts binary, units binary"), "tiles")
     ends = tiles.select("tile", "low", "high")
     far = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    a, b = ends.toDF("a", "low_a", "high_a"), ends.toDF("b", "low_b", "high_b")
-    meet = written(a.join(b, (F.col("a") <= F.col("b")) & (F.col("low_b") - F.col("high_a") <= far) & (F.col("low_a") - F.col("high_b") <= far)).select("a", "b"), "meet")  # tiles, not vectors
+    bins = lambda margin: F.explode(F.sequence(F.floor(F.col("low") / far) - margin, F.floor(F.col("high") / far) + margin)).alias("bin")
+    a, b = ends.select(bins(0), "*").toDF("bin", "a", "low_a", "high_a"), ends.select(bins(1), "*").toDF("bin", "b", "low_b", "high_b")
+    close = (F.col("low_b") - F.col("high_a") <= far) & (F.col("low_a") - F.col("high_b") <= far)
+    ordered = a.join(b, "bin").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # tiles, not vectors
+    meet = written(ordered.distinct(), "meet")
     wanted = meet.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
     cells = wanted.join(tiles, "tile").select("a", "b", "tile", "nodes", "counts", "units")
 
