@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import bounded_batches, slices, written
-from tidewatch.llm.tokens import encoder
+from tidewatch.llm.tokens import STEP, encoder
 
 #: Items are numbered within (length, lane), so that a length with most of the items is spread over tasks.
 LANES = 512
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text: st
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, STEP):
                 rows: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
                 for row, ids in enumerate(enc.encode(batch.column(text).fill_null("").to_pylist())):
                     ids += end

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import bounded_batches, shared_dir, slices, written
-from tidewatch.llm.tokens import encoder
+from tidewatch.llm.tokens import STEP, encoder
 
 # Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         end = np.array([end_id], dtype="<u4")
         writer = sink = path = None
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", STEP):
                 if writer is None and batch.num_rows:
                     path = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId():08d}.tok"
                     fs, inner = _filesystem(path)

@@ -14,8 +14,12 @@ import numpy as np
 
 from tidewatch.llm.common import cache, claim
 
-#: Chunks that a worker keeps; the older half goes when it is full.
-CACHE_CHUNKS = 700_000
+#: Chunks that a worker keeps. When they are full the newer half goes: frequent ones are met early.
+CACHE_CHUNKS = 320_000
+#: Bytes of text encoded at a time.
+STEP = 1 << 19
+#: Chunks encoded in one call.
+CALL = 4096
 
 _TWO_SPACES = re.compile(r"[\s\x1c-\x1f\x85][\s\x1c-\x1f\x85]")
 _BREAK = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
@@ -49,8 +53,11 @@ class Encoder:
         return "whole"
 
     def _batch(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        out: list[bytes] = []
+        for at in range(0, len(chunks), CALL):
+            found = self.tokenizer.encode_batch_fast(chunks[at : at + CALL], add_special_tokens=False)
+            out += [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return out
 
     def _parts(self, text: str) -> list[str]:
         """A text's parts; for space_led every part but the first stands for itself after a space."""
@@ -66,7 +73,7 @@ class Encoder:
             return self._batch(texts)
         known, led = self.cache, self.kind == "space_led"
         if len(known) > CACHE_CHUNKS:
-            for key in list(known)[: CACHE_CHUNKS // 2]:
+            for key in list(known)[CACHE_CHUNKS // 2 :]:
                 del known[key]
         parted = [self._parts(x) for x in texts]
         heads = self._batch([x.pop(0) for x in parted]) if led else [b""] * len(texts)
