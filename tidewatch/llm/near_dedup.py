@@ -7,8 +7,8 @@ agree in a register with the probability Jaccard similarity of the texts. Equal
 representative. Bands of registers put representatives into buckets; within a bucket each is compared to the bucket's
 smallest member and to its neighbours by the next band, which is linear in the bucket whatever its size. Each pair is
 verified on its shingles: it is linked if the probability Jaccard or the plain Jaccard of the shingle sets reaches the
-threshold. Components of links are the groups of near duplicates; rows that share a bucket with a group they are not in
-are then compared to all of it.
+threshold. Components of links are the groups of near duplicates. In a second linear pass, rows that share a bucket with
+a group they are not in are compared to more of its members.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from tidewatch.llm.common import bounded_batches, claim, mix, slices, text_bytes
 from tidewatch.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 25, 5
+SECOND_LOOK = 8
 REGISTERS = BANDS * ROWS
 #: Ids up to this number are broadcast as a filter (8 bytes each, checked by a count); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -163,20 +164,20 @@ def verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
 
 
 def joined_up(labels: DataFrame, crowded: DataFrame, tested: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Components once all pairs that share a bucket but no component are verified too.
+    """Components after a second linear pass over buckets that hold more than one component.
 
-    What the linear pass leaves in a bucket is mostly one component and a few rows beside it: each row outside the
-    bucket's main component meets all rows of other components, so links cost nothing within a group however large.
+    Each row outside the bucket's main component meets SECOND_LOOK more members of it, drawn by hash and different from
+    bucket to bucket; a row shares about eight buckets with what it is near to.
     """
     of = labels.select(F.col("node").alias("row_id"), "component")
     known = crowded.select("bucket", "row_id").join(of, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
     sizes = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     rows = written(known.join(mixed, "bucket"), "mixed")
-    outside = rows.where("component <> main").select("bucket", F.col("row_id").alias("x"), F.col("component").alias("cx"))
-    every = rows.select("bucket", F.col("row_id").alias("y"), F.col("component").alias("cy"), "main")
-    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-    pairs = outside.join(every, "bucket").where(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    outside = rows.where("component <> main").select("bucket", F.col("row_id").alias("x"))
+    # hash classes of a bucket's main component, each with its smallest member: partial sums before the shuffle
+    drawn = rows.where("component = main").groupBy("bucket", F.pmod(F.xxhash64("row_id", "bucket"), F.lit(SECOND_LOOK)).alias("part")).agg(F.min("row_id").alias("y"))
+    pairs = outside.join(drawn, "bucket").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = written(verified(written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), sketches, threshold), "links")
     if more.isEmpty():
         return labels
