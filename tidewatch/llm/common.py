@@ -1,17 +1,17 @@
-"""Helpers that the corpus operators share: the shared folder, written tables, bounded Arrow batches, text hashing."""
+"""Helpers that the corpus operators share: written tables, bounded Arrow batches, text hashing."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from tidewatch.sources.shared import shared_dir, written  # noqa: F401  for the operators beside this module
 
 #: Bytes of text that one Arrow batch or one vectorised step holds (a longer single text is a step of its own).
 BATCH_BYTES = 2 << 20
@@ -19,28 +19,6 @@ BATCH_BYTES = 2 << 20
 _U = np.uint64
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is missing (local tests, one machine) a temporary folder is used and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{str(root).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.partitionBy(*partition).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Let Arrow batches end after so many bytes, so that a task's Python memory doesn't follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
