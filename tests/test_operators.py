@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, physics, text
 from tidewatch.operators import drift, evaluation, joins, raster, tracks, wavetrain
-from tidewatch.sources import config, readers, relations, sinks
+from tidewatch.sources import config, readers, relations, sinks, world_incidents
 
 
 def one(spark, **columns):
@@ -309,4 +309,6 @@ def test_polygon_round_trip(spark):
 
 
 def test_known_frames_have_no_nan(spark):
+    world = world_incidents.world_incidents(spark)
+    assert world.count() == world.select("incident_id").distinct().count() == 54 and world.where("persistent").count() == 7
     assert not pd.isna(relations.ports(spark).toPandas()).any().any() and relations.ports(spark).count() == 22 and relations.known_sources(spark).count() == 4

@@ -11,6 +11,7 @@ from tidewatch.plans import screening, sql
 from tidewatch.plans.registry import query
 from tidewatch.plans.vessels import _r, incidents
 from tidewatch.sources.relations import EPOCH, relation
+from tidewatch.sources.world_incidents import WORLD_INCIDENTS, world_incidents
 
 NOW = "2024-01-20 00:00:00"
 _OIL = " OR ".join(f"contains(t, '{w}')" for w in text.OIL_KEYWORDS)
@@ -194,3 +195,18 @@ SELECT stage, {sql.r('seconds')} AS seconds, {sql.r('seconds / sum(seconds) OVER
 def a30_stage_shares(spark: SparkSession, d: str) -> DataFrame:
     per = relation(spark, d, "slick").groupBy((F.col("scene_id") % 5).alias("stage")).agg(F.sum("area_km2").alias("seconds"))
     return per.select("stage", _r("seconds"), round_to(F.col("seconds") / F.sum("seconds").over(Window.partitionBy()), 4).alias("share"))  # one row per stage
+
+
+_WORLD = ", ".join(f"('world-{i}', {lon}e0, {lat}e0, TIMESTAMP '{day} 00:00:00', {p}, {n}, {k}e0)" for i, _, lon, lat, day, _, p, n, k in WORLD_INCIDENTS)
+
+
+@query(sql.with_relations("slick", then=f"incident(incident_id, lon, lat, occurred, persistent, natural_seep, duration_days) AS (VALUES {_WORLD}), {sql.matched()}, n AS (SELECT incident_id, count(*) AS slicks, max(confidence) AS best FROM match GROUP BY incident_id)")
+       + f" SELECT incident_id, {_FIXED} AS fixed_kind, duration_days, coalesce(slicks, 0) AS slicks, {sql.r('best')} AS best FROM incident LEFT JOIN n USING (incident_id)")
+def s06_world_incidents(spark: SparkSession, d: str) -> DataFrame:
+    """The curated catalogue with the slicks that each entry could explain."""
+    from tidewatch.operators import joins
+    from tidewatch.plans.vessels import slicks
+
+    world = world_incidents(spark)
+    n = joins.corroborate(slicks(spark, d), world).groupBy("incident_id").agg(F.count("*").alias("slicks"), F.max("confidence").alias("best"))
+    return world.join(n, "incident_id", "left").select("incident_id", fixed_kind().alias("fixed_kind"), "duration_days", F.coalesce("slicks", F.lit(0)).alias("slicks"), _r("best"))
