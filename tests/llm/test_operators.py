@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions
+from tests_words import near_groups
 from tokenizers import Tokenizer
 
 from tidewatch.llm import edit_counts, embedding_dedup, hmm, imatch, language_id, licenses, mixing, near_dedup, packing, token_files
@@ -169,6 +170,25 @@ def test_near_dedup(spark, none):
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.deduplicate(none).count() == 0
 
 
+def test_near_dedup_at_the_threshold(spark, monkeypatch):
+    """Texts whose only near texts are a few members of a large group; tiles of a few rows."""
+    monkeypatch.setattr(near_dedup, "TILE_BYTES", 8192)
+    rng = random.Random(8)
+    voc = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(4):
+        texts = [rng.choices(voc, k=400)]
+        for _ in range(120):
+            copy = list(rng.choice(texts))
+            for _ in range(rng.randint(1, 11)):
+                copy[rng.randrange(len(copy))] = rng.choice(voc)
+            texts.append(copy)
+        rows += [(1000 * g + i, " ".join(w)) for i, w in enumerate(texts)]
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()
+    assert len(got) == len(rows) and {r["doc_id"] for r in got if r["kept"]} == set(near_groups(rows, 0.8))
+
+
 def test_token_files(docs, none, tmp_path):
     t = tokenizer(WORD)
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))

@@ -7,8 +7,8 @@ agree in a register with the probability Jaccard similarity of the texts. Equal
 representative. Bands of registers put representatives into buckets; within a bucket each is compared to the bucket's
 smallest member and to its neighbours by the next band, which is linear in the bucket whatever its size. Each pair is
 verified on its shingles: it is linked if the probability Jaccard or the plain Jaccard of the shingle sets reaches the
-threshold. Components of links are the groups of near duplicates. In a second linear pass, rows that share a bucket with
-a group they are not in are compared to more of its members.
+threshold. Components of links are the groups of near duplicates. Rows that share a bucket with a group they are not in
+are then compared to all of it, in tiles that give out links only: no pair that shares a bucket goes unverified.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,11 @@ from tidewatch.llm.common import bounded_batches, claim, mix, slices, text_bytes
 from tidewatch.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 25, 5
-SECOND_LOOK = 8
 REGISTERS = BANDS * ROWS
 #: Ids up to this number are broadcast as a filter (8 bytes each, checked by a count); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Shingles that one side of a compared tile holds, in bytes.
+TILE_BYTES = 2 << 20
 _U = np.uint64
 _PLACE = mix(np.arange(11, 11 + WORDS, dtype=_U)) | _U(1)
 _BITS = 32
@@ -163,22 +165,76 @@ def verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
-def joined_up(labels: DataFrame, crowded: DataFrame, tested: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Components after a second linear pass over buckets that hold more than one component.
+def tile_links(x: pa.Table, y: pa.Table, bucket: int, threshold: float) -> tuple[list[int], list[int]]:
+    """Links between rows of x and of y in one bucket, for pairs of different components, in the first bucket they share.
 
-    Each row outside the bucket's main component meets SECOND_LOOK more members of it, drawn by hash and different from
-    bucket to bucket; a row shares about eight buckets with what it is near to.
+    Shared weight is an upper bound of the probability Jaccard (an element adds at most its smaller share of the two
+    totals), so only pairs that reach the threshold by it or by the plain Jaccard are compared in full.
+    """
+    sets = [np.frombuffer(v.as_buffer(), dtype="<u4") for v in y.column("shingles")]
+    weights = [weight(np.frombuffer(v.as_buffer(), dtype="<u4")) for v in y.column("times")]
+    size = np.array([len(v) for v in sets])
+    at = np.concatenate([[0], np.cumsum(size)[:-1]])
+    flat, share = np.concatenate(sets), np.concatenate([w / w.sum() for w in weights])
+    ids, component, outside = (y.column(c).to_numpy() for c in ("row_id", "component", "outside"))
+    bands_of = lambda t: np.array(t.column("bands").to_pylist(), dtype=np.int64)
+    y_bands, found_a, found_b = bands_of(y), [], []
+    for i, x_bands in enumerate(bands_of(x)):
+        me, mine = x.column("row_id")[i].as_py(), x.column("component")[i].as_py()
+        same = y_bands == x_bands
+        here = x_bands[same.argmax(axis=1)] == bucket  # a pair that shares several buckets is compared in the first
+        wanted = here & (component != mine) & (~outside | (ids > me))
+        if not wanted.any():
+            continue
+        own = np.frombuffer(x.column("shingles")[i].as_buffer(), dtype="<u4")
+        w = weight(np.frombuffer(x.column("times")[i].as_buffer(), dtype="<u4"))
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        hit = own[place] == flat
+        both = np.add.reduceat(hit.astype(np.int64), at)
+        most = np.add.reduceat(np.where(hit, np.minimum(share, (w / w.sum())[place]), 0.0), at)
+        plain = both / (size + len(own) - both)
+        for j in np.flatnonzero(wanted & (np.maximum(plain, most) >= threshold - 1e-9)):
+            if similar(own, w, sets[j], weights[j]) >= threshold:
+                found_a.append(min(me, int(ids[j])))
+                found_b.append(max(me, int(ids[j])))
+    return found_a, found_b
+
+
+def joined_up(labels: DataFrame, crowded: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Components once all pairs that share a bucket but no component are verified too.
+
+    What the linear pass leaves in a bucket is mostly one component and a few rows beside it. Each row outside the
+    bucket's main component is compared to all rows of other components. Both sides are dealt into blocks of about
+    TILE_BYTES, and a block of one side against a block of the other is a task's unit, whatever the bucket's size;
+    only links leave it, no pairs.
     """
     of = labels.select(F.col("node").alias("row_id"), "component")
     known = crowded.select("bucket", "row_id").join(of, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
     sizes = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    rows = written(known.join(mixed, "bucket"), "mixed")
-    outside = rows.where("component <> main").select("bucket", F.col("row_id").alias("x"))
-    # hash classes of a bucket's main component, each with its smallest member: partial sums before the shuffle
-    drawn = rows.where("component = main").groupBy("bucket", F.pmod(F.xxhash64("row_id", "bucket"), F.lit(SECOND_LOOK)).alias("part")).agg(F.min("row_id").alias("y"))
-    pairs = outside.join(drawn, "bucket").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(verified(written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), sketches, threshold), "links")
+    rows = written(known.join(mixed, "bucket").select("bucket", "row_id", "component", (F.col("component") != F.col("main")).alias("outside")), "mixed")
+    ids = rows.select("row_id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    sets = written(sketches.select("row_id", "bands", "shingles", "times").join(ids, "row_id", "left_semi"), "sets")
+    sized = written(rows.join(sets.select("row_id", (F.octet_length("shingles") + F.octet_length("times")).alias("bytes")), "row_id"), "sized")
+    blocks = lambda c: F.ceil(F.greatest(F.sum(c), F.lit(1)) / TILE_BYTES).cast("int")
+    dealt = sized.groupBy("bucket").agg(blocks(F.when(F.col("outside"), F.col("bytes"))).alias("across"), blocks("bytes").alias("down"))
+    placed = sized.drop("bytes").join(dealt, "bucket")
+    block = lambda n: F.pmod(F.xxhash64("row_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = placed.where("outside").select("bucket", "row_id", "component", "outside", F.lit(True).alias("asks"), block("across").alias("i"), every("down").alias("j"))
+    asked = placed.select("bucket", "row_id", "component", "outside", F.lit(False).alias("asks"), block("down").alias("j"), every("across").alias("i"))
+    tiles = asking.unionByName(asked).join(sets, "row_id")
+
+    def compare(key, tile):
+        claim("near_dedup")
+        asks = tile.column("asks")
+        x, y = tile.filter(asks), tile.filter(pc.invert(asks))
+        a, b = tile_links(x, y, key[0].as_py(), threshold) if x.num_rows and y.num_rows else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    more = written(tiles.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long"), "links")
     if more.isEmpty():
         return labels
     end = lambda c: of.select(F.col("row_id").alias(c), F.col("component").alias(f"c{c}"))
@@ -212,7 +268,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, text: str = "text")
     reached = crowded.select("row_id", F.array("hub", F.lag("row_id", 1).over(near), F.lag("row_id", 2).over(near)).alias("others"))
     tested = written(reached.select(F.explode("others").alias("o"), "row_id").where("o IS NOT NULL AND o <> row_id").select(F.least("o", "row_id").alias("a"), F.greatest("o", "row_id").alias("b")).distinct(), "pairs")
     found = components(verified(tested, sketches, threshold))
-    found = joined_up(found, crowded, tested, sketches, threshold).withColumnRenamed("node", "rep")
+    found = joined_up(found, crowded, sketches, threshold).withColumnRenamed("node", "rep")
     grouped = classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     smallest = grouped.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "rep")).alias("first"))
     named = grouped.join(smallest, "component").select("text_key", "class_id", F.col("first.class_id").alias("component_id"), F.col("first.rep").alias("keeper"))
