@@ -62,11 +62,11 @@ def o06_largest_incidents(spark: SparkSession, d: str) -> DataFrame:
     return registry(spark, d).orderBy(volume.desc(), F.col("occurred").desc_nulls_last(), "incident_id").limit(60).select("incident_id", _r("volume", volume))
 
 
-@query(sql.with_relations("incident", then=_REGISTRY + ", spread AS (SELECT 'noaa' AS registry, incident_id, name FROM registry WHERE incident_id % 3 <> 0 UNION ALL SELECT 'world', incident_id, name FROM registry WHERE incident_id % 2 = 0)") + " SELECT incident_id, max(registry) AS registry, count(*) AS entries FROM spread GROUP BY incident_id")
+@query(sql.with_relations("incident", then=_REGISTRY + ", spread AS (SELECT 'noaa' AS registry, incident_id, name FROM registry WHERE incident_id % 3 <> 0 UNION ALL SELECT 'world', incident_id, name FROM registry WHERE incident_id % 2 = 0 OR incident_id % 3 = 0)") + " SELECT incident_id, max(registry) AS registry, count(*) AS entries FROM spread GROUP BY incident_id")
 def u01_u02_registry_union(spark: SparkSession, d: str) -> DataFrame:
-    """Two registries one after the other; of an incident in both, the later one counts."""
+    """Two registries that together hold every incident, one after the other; of an incident in both, the later one counts."""
     base = registry(spark, d).select("incident_id", "name")
-    both = base.where("incident_id % 3 <> 0").withColumn("registry", F.lit("noaa")).unionByName(base.where("incident_id % 2 = 0").withColumn("registry", F.lit("world")))
+    both = base.where("incident_id % 3 <> 0").withColumn("registry", F.lit("noaa")).unionByName(base.where("incident_id % 2 = 0 OR incident_id % 3 = 0").withColumn("registry", F.lit("world")))
     return both.groupBy("incident_id").agg(F.max("registry").alias("registry"), F.count("*").alias("entries"))
 
 

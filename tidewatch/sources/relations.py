@@ -27,7 +27,7 @@ RELATIONS: dict[str, tuple[str, str | None, list[str]]] = {
         "user_id AS mmsi", "event_id", "ts", f"{_lon('user_id')} AS lon", f"{_lat('user_id')} AS lat", "value / 1e1 AS sog", "CAST((event_id * 37) % 360 AS DOUBLE) AS cog",
         "CASE WHEN event_id % 3 = 0 THEN concat('V', CAST(user_id AS VARCHAR(20))) END AS name", "event_type AS vessel_type",
     ]),
-    "slick": ("orders", "o_orderkey % 50 = 0", [
+    "slick": ("orders", None, [
         "o_orderkey AS candidate_id", "o_custkey AS scene_id", "o_orderkey % 720 AS obs_hour", f"{_lon('o_orderkey')} AS lon", f"{_lat('o_orderkey')} AS lat", "5e0 + (o_orderkey % 40) AS unc_km",
         "CAST(o_orderkey % 180 AS DOUBLE) AS axis_deg", "1e0 + (o_orderkey % 240) / 1e1 AS elongation", "((o_orderkey * 31) % 97) / 97e0 AS compactness", "((o_orderkey * 17) % 150) / 1e1 AS damping_db",
         "((o_orderkey * 13) % 170) / 1e1 AS wind_ms", "((o_orderkey * 7) % 300) / 1e2 AS area_km2", "((o_orderkey * 11) % 100) / 1e2 AS homogeneity", "((o_orderkey * 19) % 60) * 1e0 AS contrast",
