@@ -8,8 +8,7 @@ grows with the corpus, only takes part in a shuffle that adds up each word's cou
 
 A block is a few MB of texts with its own dictionary. Dictionaries meet by word hash, get the corpus counts, and go
 back to their block. Baum-Welch: every partition runs the scaled forward-backward recursion over its blocks and returns
-expected counts, which Spark adds up; a few rounds on a bounded sample of documents give the start, the last rounds run
-over all training documents. Scores come from the scaled forward recursion over every whole text.
+expected counts, which Spark adds up; every round runs over all training documents. Scores come from the scaled forward recursion over every whole text.
 """
 
 from __future__ import annotations
@@ -31,9 +30,8 @@ BY_ENDING, BY_HASH = 1 << 12, 1 << 14
 CLASSES = BY_ENDING + BY_HASH + 1
 END_CLASS = CLASSES - 1
 END_HASH = -0x1E5D7A3B9C2F4D61
-#: Documents that the first rounds learn from, at most about so many.
-SAMPLE_DOCUMENTS = 1_500
-SAMPLE_ROUNDS, FULL_ROUNDS = 12, 2
+#: Rounds of Baum-Welch, each over all training documents.
+ROUNDS = 14
 #: Text of a block; its dictionary takes part in the shuffle once.
 BLOCK_BYTES = 4 << 20
 #: For training, longer documents are cut into stretches of so many tokens; scores never are.
@@ -285,30 +283,11 @@ def maximise(starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray, share:
 
 
 def train(ready: DataFrame, n: np.ndarray, states: int = STATES) -> Model:
-    """Baum-Welch: SAMPLE_ROUNDS over a bounded sample of training documents, then FULL_ROUNDS over all of them."""
+    """Baum-Welch: ROUNDS over all training documents."""
     spark = ready.sparkSession
     share = (n + 1) / (n + 1).sum()
     model = begin_model(n, states)
-    n_docs = max(1, int(n[END_CLASS]))
-    rate = min(1.0, SAMPLE_DOCUMENTS / n_docs)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                lengths, seq = np.frombuffer(r["lengths"], "<u4").astype(np.int64), _expand(r["classes"])
-                first = np.concatenate([[0], np.cumsum(lengths)])
-                draw = mix(np.arange(len(lengths), dtype=_U) + _U(r["block"] * 7919 % (1 << 60))) >> _U(11)
-                on = ~np.array(r["held"], dtype=bool) & (draw.astype(float) * 2.0**-53 < rate)
-                for i in np.flatnonzero(on):  # a stretch of each, so that the sample's size has a bound
-                    yield pa.RecordBatch.from_arrays([pa.array([seq[first[i] : min(first[i + 1], first[i] + 4 * STRETCH)].astype("<u4").tobytes()], pa.binary())], ["seq"])
-
-    sample = [np.frombuffer(r["seq"], "<u4") for r in ready.mapInArrow(pick, "seq binary").collect()]
-    if sample:
-        seq, lengths = np.concatenate(sample), stretches(np.array([len(x) for x in sample]))
-        for _ in range(SAMPLE_ROUNDS):
-            model = maximise(*expectations(model, seq, lengths), share)
-
-    for _ in range(FULL_ROUNDS):
+    for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)  # classes x states
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
