@@ -234,3 +234,71 @@ def dark_patch(grid: np.ndarray, scales: tuple[int, ...] = (3, 5, 7), sensitivit
     return 1 / (1 + np.exp(-(z - sensitivity))) * (0.55 + 0.45 * edge)
 
 
+
+
+SCALES, SIGMA, SUPPORT = (25, 61, 121, 201), 2.0, 15
+
+
+def _box(grid: np.ndarray, k: int) -> np.ndarray:
+    """Means of k x k windows within a grid, without its rim."""
+    total = np.zeros((grid.shape[0] + 1, grid.shape[1] + 1))
+    total[1:, 1:] = (grid - grid.mean()).cumsum(0).cumsum(1)
+    return grid.mean() + (total[k:, k:] - total[:-k, k:] - total[k:, :-k] + total[:-k, :-k]) / (k * k)
+
+
+def _slope(grid: np.ndarray) -> np.ndarray:
+    """Gaussian gradient magnitude within a grid, without a rim of 4 SIGMA."""
+    x = np.arange(-int(4 * SIGMA + 0.5), int(4 * SIGMA + 0.5) + 1)
+    smooth = np.exp(-0.5 * (x / SIGMA) ** 2)
+    smooth /= smooth.sum()
+    along = lambda g, k, axis: np.lib.stride_tricks.sliding_window_view(g, len(k), axis) @ k
+    steep = x / SIGMA**2 * smooth
+    return np.hypot(along(along(grid, steep, 0), smooth, 1), along(along(grid, smooth, 0), steep, 1))
+
+
+def dark_patches(pixels: DataFrame, sensitivity: float = 2.0, band: int = 256) -> DataFrame:
+    """Probability of a dark patch at every pixel of one scene (r and c from 0, no holes): tile, r, c, db.
+
+    Darker than the surroundings on any scale below the scene's size, more so near edges. Median, MAD and the gradient's
+    90th percentile are the scene's; windows are taken over bands of rows with halos, mirrored at the scene's rim.
+    """
+    scene = pixels.agg(F.max("r").alias("r"), F.max("c").alias("c"), F.median("db").alias("median")).first()
+    if scene["median"] is None:
+        return pixels.select("tile", "r", "c", "db")
+    rows, cols = scene["r"] + 1, scene["c"] + 1
+    sigma = max(1.4826 * pixels.agg(F.median(F.abs(F.col("db") - scene["median"]))).first()[0], 0.25)
+    scales = [k for k in SCALES if k < min(rows, cols)]
+    rim = int(4 * SIGMA + 0.5) + SUPPORT // 2
+    halo = max([rim, *(k // 2 for k in scales)])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, own = int(pdf["band"].iloc[0]) * band, pdf["tile"].to_numpy()
+        low, high = max(0, top - halo), min(rows, top + band + halo)
+        grid, tile = np.zeros((high - low, cols)), np.zeros((high - low, cols), np.int64)
+        r, c = pdf["r"].to_numpy() - low, pdf["c"].to_numpy()
+        grid[r, c], tile[r, c] = pdf["db"].to_numpy(), own
+        end = min(rows, top + band)
+
+        def padded(k: int) -> np.ndarray:
+            """The band with k pixels around it, mirrored where the scene ends."""
+            rowwise = np.arange(top - k, end + k)
+            colwise = np.arange(-k, cols + k)
+            fold = lambda x, n: np.where(x % (2 * n) < n, x % (2 * n), 2 * n - 1 - x % (2 * n))
+            return grid[np.ix_(fold(rowwise, rows) - low, fold(colwise, cols))]
+
+        here, best = grid[top - low : end - low], np.zeros((end - top, cols))
+        for k in scales:
+            best = np.maximum(best, (_box(padded(k // 2), k) - here) / sigma)
+        slope = _slope(padded(int(4 * SIGMA + 0.5)))
+        wide = _slope(padded(rim))  # beyond the rim the gradient mirrors as the scene does
+        near = np.lib.stride_tricks.sliding_window_view(np.lib.stride_tricks.sliding_window_view(wide, SUPPORT, 0).max(-1), SUPPORT, 1).max(-1)
+        y, x = np.mgrid[top:end, 0:cols]
+        return pd.DataFrame({"tile": tile[top - low : end - low].ravel(), "r": y.ravel(), "c": x.ravel(), "z": best.ravel(), "slope": slope.ravel(), "near": near.ravel()})
+
+    bands = F.sequence(F.floor(F.greatest(F.col("r") - halo, F.lit(0)) / band), F.floor(F.least(F.col("r") + halo, F.lit(rows - 1)) / band))
+    spread = pixels.select("tile", "r", "c", "db", F.explode(bands).alias("band"))
+    read = spread.groupBy("band").applyInPandas(run, "tile long, r long, c long, z double, slope double, near double")
+    whole = pixels.select("r", "c").join(read, ["r", "c"])
+    steep = whole.agg(F.greatest(F.percentile("slope", F.lit(0.9)), F.lit(1e-3)).alias("steep"))
+    p = 1.0 / (1.0 + F.exp(-(F.col("z") - sensitivity))) * (0.55 + 0.45 * F.least(F.col("near") / F.col("steep"), F.lit(1.0)))
+    return whole.join(F.broadcast(steep)).select("tile", "r", "c", p.alias("db"))  # one row

@@ -84,7 +84,7 @@ def r03_refined_lee(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def r08_dark_patches(spark: SparkSession, d: str) -> DataFrame:
-    return raster.per_tile(local(spark, d), raster.dark_patch, 8).withColumnRenamed("db", "p_dark")
+    return raster.dark_patches(pixels(spark, d)).withColumnRenamed("db", "p_dark")
 
 
 @query(sql.with_relations("pix", then="q AS (SELECT tile, r, c, least(greatest(floor((db + 35) / 35 * 32), 0), 31) AS q FROM pix), m(dr, dc) AS (VALUES (0, 1), (1, 1), (1, 0), (1, -1)), p AS (SELECT a.tile, abs(a.q - b.q) AS g FROM q a CROSS JOIN m JOIN q b ON b.tile = a.tile AND b.r = a.r + dr AND b.c = a.c + dc)") + f" SELECT tile, {sql.r('avg(1 / (1 + g * g))')} AS homogeneity, {sql.r('avg(g * g)')} AS contrast FROM p GROUP BY tile")
@@ -105,10 +105,17 @@ def r11_components(spark: SparkSession, d: str) -> DataFrame:
     return raster.components(local(spark, d).where("db < -18"), ("tile",)).select("tile", "r", "c", "label")
 
 
-@query(sql.with_relations("pix", then="w(y, x) AS (SELECT a.s, b.s FROM (VALUES (0), (24), (48), (72), (96), (120), (128)) a(s) CROSS JOIN (VALUES (0), (24), (48), (72), (96), (120), (144), (168)) b(s))") + f" SELECT r, c, {sql.r('avg(db)')} AS db, count(*) AS windows FROM pix JOIN w ON r >= y AND r < y + 32 AND c >= x AND c < x + 32 GROUP BY r, c")
+_WINDOWS = (
+    "h AS (SELECT max(r) + 1 AS n FROM pix), w(y, x) AS (SELECT a.s, b.s FROM (SELECT unnest(range(0, greatest(n - 32, 0) + 1, 24)) FROM h UNION SELECT greatest(n - 32, 0) FROM h) a(s) "
+    "CROSS JOIN (VALUES (0), (24), (48), (72), (96), (120), (144), (168)) b(s))"
+)
+
+
+@query(sql.with_relations("pix", then=_WINDOWS) + f" SELECT r, c, {sql.r('avg(db)')} AS db, count(*) AS windows FROM pix JOIN w ON r >= y AND r < y + 32 AND c >= x AND c < x + 32 GROUP BY r, c")
 def r06_a05_j16_tiling(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping windows over a 160 x 200 mosaic and back by the mean."""
-    windows = raster.tiles(160, 200, 32, 0.25, spark)
+    """Overlapping windows over the whole mosaic, 200 pixels wide and as high as the table asks, and back by the mean."""
+    rows = pixels(spark, d).agg(F.coalesce(F.max("r") + 1, F.lit(0))).first()[0]
+    windows = raster.tiles(rows, 200, 32, 0.25, spark)
     return raster.merge_tiles(raster.to_tiles(pixels(spark, d), windows, 32, 24), "db").select("r", "c", _r("db"), "windows")
 
 
