@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm import license_texts
+
 # Spellings that count as equal, in the order in which they are replaced.
 SPELLINGS = [
     ("\r\n", "\n"), ("\r", "\n"), ("(c)", " copyright "), ("©", " copyright "), ("&", " and "), ("https:", "http:"), ("licence", "license"),
@@ -83,16 +85,49 @@ and redistribute it freely, subject to the following restrictions:
 use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""),
-    ("Unlicense", """This is free and unencumbered software released into the public domain.
-Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as
-a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
-    ("WTFPL", """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is
+    ("Unlicense", license_texts.UNLICENSE),
+    ("WTFPL", """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+Version 2, December 2004
+Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is
 allowed as long as the name is changed.
 DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
 TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
 0. You just DO WHAT THE FUCK YOU WANT TO."""),
+    ("Apache-2.0", license_texts.APACHE_2), ("GPL-2.0", license_texts.GPL_2), ("GPL-3.0", license_texts.GPL_3), ("LGPL-2.1", license_texts.LGPL_2_1),
+    ("LGPL-3.0", license_texts.LGPL_3), ("MPL-2.0", license_texts.MPL_2), ("CC0-1.0", license_texts.CC0_1),
+]
+# Usual headings of a license. The first one heads its text above (none: the text has no heading); each text is known under all of them and bare.
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "(The MIT License)"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License", "MIT-0", "MIT No Attribution (MIT-0)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"],
+    "0BSD": ["Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License", "BSD Zero-Clause License", "BSD Zero Clause License (0BSD)", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License', "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License', "BSD License", "The BSD License"],
+    "Zlib": ["", "zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "Unlicense": ["", "The Unlicense", "Unlicense", "The Unlicense (Unlicense)"],
+}
+# Where a license's terms end and its advice on applying it starts; the terms are known with and without it.
+TERMS_END = [
+    ("Apache-2.0", "END OF TERMS AND CONDITIONS"), ("GPL-2.0", "END OF TERMS AND CONDITIONS"), ("GPL-3.0", "END OF TERMS AND CONDITIONS"), ("LGPL-2.1", "END OF TERMS AND CONDITIONS"),
 ]
 
+
+def known_texts() -> list[tuple[str, str]]:
+    """LICENSES, under each usual heading and bare, and the terms without advice on applying them."""
+    out = list(LICENSES)
+    for name, body in LICENSES:
+        if name in HEADINGS:
+            own, *others = HEADINGS[name]
+            bare = body.removeprefix(own).lstrip()
+            out += [(name, bare), *((name, f"{h}\n{bare}") for h in others)]
+    texts = dict(LICENSES)
+    for name, end in TERMS_END:
+        terms = texts[name][: texts[name].index(end)]
+        out += [(name, terms), (name, terms + end)]
+    return out
+
+
 # One-line notices.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -164,7 +199,7 @@ def scan(docs: DataFrame, known: DataFrame, notices: list[tuple[str, str]], text
 
 def license_report(docs: DataFrame) -> DataFrame:
     """doc_id, digest, license_id, notices of every whole text."""
-    return scan(docs.select("doc_id", "text"), catalogue(docs.sparkSession, LICENSES), NOTICES).drop("text")
+    return scan(docs.select("doc_id", "text"), catalogue(docs.sparkSession, known_texts()), NOTICES).drop("text")
 
 
 def _sql(text: str) -> str:
@@ -191,7 +226,7 @@ def report_sql() -> str:
     return f"""
 WITH formed AS (SELECT row_number() OVER () AS n, doc_id, {_form_sql("text")} AS form FROM documents),
 digested AS (SELECT n, doc_id, form, sha256({_digest_sql("form")}) AS digest FROM formed),
-known AS (SELECT min(id) AS license_id, sha256({_digest_sql(_form_sql("body"))}) AS d FROM (VALUES {values(LICENSES)}) AS v(id, body) GROUP BY 2),
+known AS (SELECT min(id) AS license_id, sha256({_digest_sql(_form_sql("body"))}) AS d FROM (VALUES {values(known_texts())}) AS v(id, body) GROUP BY 2),
 noted AS (SELECT DISTINCT id, sha256(trim({_form_sql("line")})) AS d FROM (VALUES {values(NOTICES)}) AS v(id, line)),
 lines AS (SELECT n, sha256(trim(unnest(string_split(form, chr(10))))) AS d FROM formed),
 found AS (SELECT n, string_agg(id, ',' ORDER BY id) AS notices FROM (SELECT DISTINCT n, id FROM lines JOIN noted USING (d)) AS x GROUP BY n)
