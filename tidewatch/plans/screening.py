@@ -132,17 +132,17 @@ def a25_wind_ablation(spark: SparkSession, d: str) -> DataFrame:
     return judged(relation(spark, d, "slick")).agg(F.count("*").alias("total"), F.count_if("rejected").alias("with_wind"), by_wind.alias("by_wind_gate"), _r("share", by_wind / F.count("*")))
 
 
-@query(sql.with_relations("slick", then="trio AS (SELECT a.scene_id % 40 AS g, a.candidate_id AS a, b.candidate_id AS b FROM slick a JOIN slick b ON a.scene_id % 40 = b.scene_id % 40 AND a.candidate_id < b.candidate_id WHERE a.elongation >= 3 AND b.elongation >= 3 AND greatest(a.area_km2, b.area_km2) <= 3 * least(a.area_km2, b.area_km2) AND " + sql.axial("a.axis_deg", "b.axis_deg") + " <= 20)") + " SELECT g AS scene_id, a, b FROM trio")
+@query(sql.with_relations("slick", then="trio AS (SELECT a.scene_id AS g, a.candidate_id AS a, b.candidate_id AS b FROM slick a JOIN slick b ON a.scene_id = b.scene_id AND a.candidate_id < b.candidate_id WHERE a.elongation >= 3 AND b.elongation >= 3 AND greatest(a.area_km2, b.area_km2) <= 3 * least(a.area_km2, b.area_km2) AND " + sql.axial("a.axis_deg", "b.axis_deg") + " <= 20)") + " SELECT g AS scene_id, a, b FROM trio")
 def j12_parallel_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return wavetrain.parallel_pairs(relation(spark, d, "slick").withColumn("scene_id", F.col("scene_id") % 40))
+    return wavetrain.parallel_pairs(relation(spark, d, "slick"))
 
 
 @query()
 def j12_wave_trains(spark: SparkSession, d: str) -> DataFrame:
-    return wavetrain.wave_trains(relation(spark, d, "slick").withColumn("scene_id", F.col("scene_id") % 40))
+    return wavetrain.wave_trains(relation(spark, d, "slick"))
 
 
 @query()
 def p05_wave_train_override(spark: SparkSession, d: str) -> DataFrame:
-    base = judged(relation(spark, d, "slick").withColumn("scene_id", F.col("scene_id") % 40))
+    base = judged(relation(spark, d, "slick"))
     return wavetrain.override(base, wavetrain.wave_trains(base)).select("candidate_id", "rejected", _r("p_oil"), "in_train")
