@@ -109,16 +109,12 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def words(raw: np.ndarray, at: np.ndarray, lower: bool = True, trim: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end: starts, ends, text number and 64-bit hash of each.
-
-    The hash is a polynomial over random byte codes, taken from one running sum for all words; `lower` folds A-Z, `trim`
-    leaves off one punctuation mark at the end of a longer word.
-    """
+def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end: starts, ends and text number of each."""
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(_U)
+        return none, none, none
     inside = ~SPACE[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -128,7 +124,19 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = True, trim: bool = Fals
     last = inside.copy()  # last byte of a word
     last[:-1] &= ~inside[1:] | first[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    text = np.searchsorted(at, start, side="right") - 1
+    return start, end, np.searchsorted(at, start, side="right") - 1
+
+
+def words(raw: np.ndarray, at: np.ndarray, lower: bool = True, trim: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts laid end to end: starts, ends, text number and 64-bit hash of each.
+
+    The hash is a polynomial over random byte codes, taken from one running sum for all words; `lower` folds A-Z, `trim`
+    leaves off one punctuation mark at the end of a longer word.
+    """
+    n = len(raw)
+    start, end, text = word_spans(raw, at)
+    if not n:
+        return start, end, text, np.zeros(0, _U)
     if trim:
         end = end - (PUNCTUATION[raw[end - 1]] & (end - start > 1))
     power = _power(n)

@@ -31,32 +31,33 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Tokenise every text (null: empty), append end_id, cut what exceeds `capacity`; the first piece takes the remainder.
 
-    One row per piece: doc_id, piece, start, length, ids_crc32, and the columns of `keep`.
+    One row per piece: doc_id, piece, start, length, ids_crc32, and the columns of `keep`, none of which may have one of
+    these names or those that pack adds.
     """
+    if clash := {*keep} & {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}:
+        raise ValueError(f"rename before packing: {sorted(clash)}")
     bounded_batches(docs.sparkSession)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, text, STEP):
-                rows: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-                for row, ids in enumerate(enc.encode(batch.column(text).fill_null("").to_pylist())):
-                    ids += end
-                    n, view = len(ids) // 4, memoryview(ids)
-                    stops = range(n % capacity or capacity, n + 1, capacity) if n > capacity else [n]
-                    start = 0
-                    for piece, stop in enumerate(stops):
-                        for key, value in zip(rows, (row, piece, start, stop - start, zlib.crc32(view[4 * start : 4 * stop])), strict=True):
-                            rows[key].append(value)
-                        start = stop
-                at = pa.array(rows["row"], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), pa.array(rows["piece"], pa.int32()), *(pa.array(rows[k], pa.int64()) for k in ("start", "length", "ids_crc32")), *(batch.column(k).take(at) for k in keep)],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", *keep],
-                )
-
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string"), *keep)
+            for batch in slices(whole, "__text", STEP):
+                ids, at = enc.encode(batch.column("__text"), end_id)
+                n = np.diff(at)
+                number = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), number)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+                head = (n - (number - 1) * capacity)[row]
+                start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+                length = np.where(piece == 0, head, capacity)
+                first, view = 4 * (at[row] + start), memoryview(ids.view(np.uint8))
+                crc = [zlib.crc32(view[x:y]) for x, y in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                of_row = pa.array(row)
+                kept = [batch.column(k).take(of_row) for k in range(2, batch.num_columns)]
+                made = [batch.column(0).take(of_row), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *kept]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "piece", "start", "length", "ids_crc32", *keep])
+
+    chosen = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("__text"), *keep)
     extra = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return chosen.mapInArrow(cut, PIECES + extra)
 
@@ -139,25 +140,25 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     """
     spark = items.sparkSession
     lane = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(LANES)).cast("int")
-    laned = items.withColumn("lane", lane)
-    lanes = laned.groupBy("length", "lane").count()  # capacity x LANES rows at most
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1))
-    bases = lanes.select("length", "lane", F.coalesce(before, F.lit(0)).alias("base"))
+    laned = items.withColumn("__lane", lane)
+    lanes = laned.groupBy("length", "__lane").count()  # capacity x LANES rows at most
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1))
+    bases = lanes.select("length", "__lane", F.coalesce(before, F.lit(0)).alias("__base"))
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError("an item's length must lie from 1 to the capacity")
     rows = plan(counts, capacity)
-    places = spark.createDataFrame(rows, "at_length long, first long, stop long, sequence long, each long, at long")
-    rank = F.row_number().over(Window.partitionBy("length", "lane").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = laned.withColumn("rank", rank.cast("long") - 1).join(bases, ["length", "lane"]).withColumn("rank", F.col("rank") + F.col("base"))
+    places = spark.createDataFrame(rows, "__length long, __first long, __stop long, __sequence long, __each long, __at long")
+    rank = F.row_number().over(Window.partitionBy("length", "__lane").orderBy("doc_id", "piece", "ids_crc32"))
+    ranked = laned.withColumn("__rank", rank.cast("long") - 1).join(bases, ["length", "__lane"]).withColumn("__rank", F.col("__rank") + F.col("__base"))
     if len(rows) < 50 * capacity:  # holds for any plan: each step ends a length or a run
         places = F.broadcast(places)
-    fits = (F.col("length") == F.col("at_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop"))
-    k = F.col("rank") - F.col("first")
+    fits = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__stop"))
+    k = F.col("__rank") - F.col("__first")
     return ranked.join(places, fits).select(
         *items.columns,
-        (F.col("sequence") + F.floor(k / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("at") + k % F.col("each") * F.col("length")).cast("long").alias("offset"),
+        (F.col("__sequence") + F.floor(k / F.col("__each"))).cast("long").alias("sequence_id"),
+        (F.col("__at") + k % F.col("__each") * F.col("length")).cast("long").alias("offset"),
     )
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import bounded_batches, shared_dir, slices, written
-from tidewatch.llm.tokens import STEP, encoder
+from tidewatch.llm.tokens import STEP, encoder, largest_id
 
 # Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -121,13 +121,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Encode whole texts (null: empty), append end_id, write shards in ascending doc_id order; the manifest of shards.
 
     Documents are dealt by ranges of doc_id and sorted within (nulls first, equal ids by a hash of their text). A task
-    that runs twice writes two files; only those that the written manifest names count. width: bytes of an id.
+    that runs twice writes two files; only those that the written manifest names count. width: bytes of an id, 2 or 4;
+    ids that don't fit are refused.
     """
+    if width not in (2, 4) or max(largest_id(tokenizer), end_id) >= 1 << 8 * width:
+        raise ValueError(f"ids of {tokenizer} do not fit {width} bytes")
     bounded_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(tokenizer), TaskContext.get()
-        end = np.array([end_id], dtype="<u4")
         writer = sink = path = None
         for whole in batches:
             for batch in slices(whole, "text", STEP):
@@ -137,9 +139,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                     fs.create_dir(inner.rpartition("/")[0], recursive=True)
                     sink = fs.open_output_stream(inner)
                     writer = ShardWriter(sink, width)
-                encoded = enc.encode(batch.column("text").fill_null("").to_pylist())
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                    writer.append(doc_id, np.concatenate([np.frombuffer(ids, dtype="<u4"), end]))
+                ids, at = enc.encode(batch.column("text"), end_id)
+                ids, cuts = ids.astype(f"<u{width}"), at.tolist()
+                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                    writer.append(doc_id, ids[a:b])
         if writer is not None:
             writer.close()
             sink.close()
