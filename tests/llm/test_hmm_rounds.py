@@ -1,4 +1,4 @@
-"""Every round of Baum-Welch takes in every training document to its end."""
+"""Every round of Baum-Welch takes in every training document to its end; the trained model against plain recursions."""
 
 import numpy as np
 import pytest
@@ -6,22 +6,85 @@ import pytest
 from tidewatch.llm import hmm
 
 
-def test_rounds_see_late_text(spark):
-    rng = np.random.default_rng(5)
-    lengths = np.array([5000, 40, 700, 3000, 60])
-    seq = np.concatenate([np.where(np.arange(k) < 2048, rng.integers(0, 20, k), rng.integers(20, 40, k)) for k in lengths]).astype("<u4")
-    n = np.bincount(seq, minlength=hmm.CLASSES)
-    n[hmm.END_CLASS] = len(lengths)
-    cuts = [(0, 2), (2, 5)]
+def ready(spark, seq, lengths, cuts, held=()):
     first = np.concatenate([[0], np.cumsum(lengths)])
     rows = [
-        (k, list(range(a, b)), [False] * (b - a), lengths[a:b].astype("<u4").tobytes(), hmm._squeeze(seq[first[a] : first[b]]), [0] * (b - a), [0.0] * (b - a), [0.0] * (b - a))
+        (k, list(range(a, b)), [i in held for i in range(a, b)], lengths[a:b].astype("<u4").tobytes(), hmm._squeeze(seq[first[a] : first[b]]), [0] * (b - a), [0.0] * (b - a), [0.0] * (b - a))
         for k, (a, b) in enumerate(cuts)
     ]
-    got = hmm.train(spark.createDataFrame(rows, hmm.READY).repartition(2), n, 3)
+    return spark.createDataFrame(rows, hmm.READY).repartition(len(cuts))
+
+
+def plain_round(model, docs):
+    """Expected counts by the textbook recursions in double precision, one text at a time."""
+    states = len(model.start)
+    starts, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((hmm.CLASSES, states))
+    for s in docs:
+        alpha, scale = np.zeros((len(s), states)), np.zeros(len(s))
+        for t, k in enumerate(s):
+            a = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[k]
+            scale[t] = a.sum()
+            alpha[t] = a / scale[t]
+        beta = np.ones(states)
+        for t in range(len(s) - 1, -1, -1):
+            emitted[s[t]] += alpha[t] * beta
+            if t == 0:
+                starts += alpha[0] * beta
+            else:
+                w = model.emit[s[t]] * beta / scale[t]
+                moves += np.outer(alpha[t - 1], w) * model.move
+                beta = model.move @ w
+    return starts, moves, emitted
+
+
+def test_trained_model_is_that_of_plain_rounds(spark):
+    rng = np.random.default_rng(5)
+    lengths = np.array([2600, 1, 700, 2100, 60, 2])
+    seq = np.concatenate([np.where(np.arange(k) < 1500, rng.integers(0, 20, k), rng.integers(20, 40, k)) for k in lengths]).astype("<u4")
+    n = np.bincount(seq, minlength=hmm.CLASSES)
+    got = hmm.train(ready(spark, seq, lengths, [(0, 2), (2, 6)], held={2}), n, 3)
     share = (n + 1) / (n + 1).sum()
     want = hmm.begin_model(n, 3)
-    for _ in range(14):
-        want = hmm.maximise(*hmm.expectations(want, seq, hmm.stretches(lengths)), share)
+    docs = [s for i, s in enumerate(np.split(seq, np.cumsum(lengths)[:-1])) if i != 2]
+    for _ in range(hmm.ROUNDS):
+        want = hmm.maximise(*plain_round(want, docs), share)
+    assert got.start == pytest.approx(want.start, rel=1e-2, abs=1e-3)
     assert got.move == pytest.approx(want.move, rel=1e-2, abs=1e-4)
     assert got.emit[:40] == pytest.approx(want.emit[:40], rel=1e-2, abs=1e-4)
+
+
+def test_rounds_see_late_text():
+    """What a text's first 5,000 tokens don't hold is learnt all the same, and a long text's moves are all counted."""
+    lengths = np.array([9000, 30])
+    seq = np.concatenate([np.r_[np.zeros(5000), np.full(4000, 7)], np.zeros(30)]).astype("<u4")
+    starts, moves, emitted = hmm.expectations(hmm.begin_model(np.bincount(seq, minlength=hmm.CLASSES), 2), seq, lengths)
+    assert starts.sum() == pytest.approx(2) and moves.sum() == pytest.approx(8999 + 29, rel=1e-5)
+    assert emitted[7].sum() == pytest.approx(4000, rel=1e-5) and emitted[0].sum() == pytest.approx(5030, rel=1e-5)
+
+
+def test_unlikely_moves_stay_finite():
+    model = hmm.begin_model(np.ones(hmm.CLASSES, np.int64), 2)
+    model.emit[:, 0], model.emit[:, 1] = 1e-12, 1e-12
+    model.emit[5, 0] = model.emit[6, 1] = 1 - 1e-9
+    model.move = np.array([[1 - 1e-6, 1e-6], [1e-6, 1 - 1e-6]])
+    seq = np.tile([5, 6, 5, 5, 6], 400)
+    made = hmm.expectations(model, seq, np.array([2000]))
+    assert all(np.isfinite(x).all() for x in made) and made[1].sum() == pytest.approx(1999, rel=1e-4)
+    plain = plain_round(model, [seq])
+    assert made[1] == pytest.approx(plain[1], rel=1e-3)
+    assert np.isfinite(hmm.forward(model, seq, np.array([2000]))).all()
+
+
+def test_words_of_several_blocks_bring_their_sums_back(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 200)
+    rows = [(i, f"the word{i % 7} only{i} the " * (i % 3 + 1)) for i in range(60)] + [(None, None), (70, ""), (70, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = hmm.written(hmm.blocks(docs), "blocks")
+    assert table.count() > 5
+    known = hmm.written(hmm.vocabulary(table), "vocabulary")
+    total = {r["hash"]: (r["c"], r["blocks"]) for r in known.collect()}
+    back = {r["block"]: dict(zip(np.frombuffer(r["ats"], "<u4").tolist(), np.frombuffer(r["counts"], "<i8").tolist(), strict=True)) for r in hmm.corpus_counts(table, known).collect()}
+    for r in table.collect():
+        for at, (h, train) in enumerate(zip(r["hashes"], r["train"], strict=True)):
+            c, blocks = total[h]
+            assert back.get(r["block"], {}).get(at, train) == c and (at in back.get(r["block"], {})) == (blocks > 1)

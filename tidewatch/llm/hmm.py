@@ -6,9 +6,11 @@ its own. The latent states emit classes, and a class emits its words by their tr
 each word and one for all unknown ones. So the number of parameters is set by the classes, and the vocabulary, which
 grows with the corpus, only takes part in a shuffle that adds up each word's count over all blocks.
 
-A block is a few MB of texts with its own dictionary. Dictionaries meet by word hash, get the corpus counts, and go
-back to their block. Baum-Welch: every partition runs the scaled forward-backward recursion over its blocks and returns
-expected counts, which Spark adds up; every round runs over all training documents. Scores come from the scaled forward recursion over every whole text.
+A block is a few MB of texts with its own dictionary. The vocabulary adds up each word's training counts over all blocks;
+words that several blocks hold bring the sums back to each of them. Baum-Welch: every partition runs the scaled
+forward-backward recursion over its blocks, each text from its first token to its last, and returns expected counts,
+which Spark adds up; every round runs over all training documents. Scores come from the scaled forward recursion over
+every whole text.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import LOWER, bounded_batches, claim, mix, slices, text_bytes, words, written
@@ -31,12 +33,16 @@ CLASSES = BY_ENDING + BY_HASH + 1
 END_CLASS = CLASSES - 1
 END_HASH = -0x1E5D7A3B9C2F4D61
 #: Rounds of Baum-Welch, each over all training documents.
-ROUNDS = 14
+ROUNDS = 6
+#: Tokens whose texts take their steps together; a step costs less the more texts share it.
+TOKENS_AT_ONCE = 1_500_000
 #: Text of a block; its dictionary takes part in the shuffle once.
-BLOCK_BYTES = 4 << 20
-#: For training, longer documents are cut into stretches of so many tokens; scores never are.
-STRETCH = 512
+BLOCK_BYTES = 6 << 20
 PRIOR = 20.0
+#: No move is less likely than about this.
+LEAST_MOVE = 1e-6
+#: Steps between two scalings of a recursion.
+EVERY = 4
 _U = np.uint64
 
 BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary, hashes array<long>, kinds array<int>, train array<int>, n_train long"
@@ -111,17 +117,36 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     return chosen.mapInArrow(build, BLOCK)
 
 
-def counted(table: DataFrame, n_train: int) -> DataFrame:
-    """For each block its dictionary's corpus counts, classes and which entry stands for its word in the corpus sums."""
-    entry = F.posexplode(F.arrays_zip("hashes", "kinds", "train")).alias("at", "e")
-    entries = table.select("block", entry).select("block", "at", F.col("e.hashes").alias("hash"), F.col("e.kinds").alias("kind"), F.col("e.train").alias("train"))
-    same = Window.partitionBy("hash")
-    count = F.sum("train").over(same)
-    lead = F.row_number().over(same.orderBy("block")) == 1
-    known = entries.select("block", "at", "hash", "kind", count.alias("c"), lead.alias("lead"))
+def vocabulary(table: DataFrame) -> DataFrame:
+    """Every word of the corpus: hash, kind, c (training count), blocks (how many hold it); added up within tasks first."""
+    entry = F.explode(F.arrays_zip("hashes", "kinds", "train")).alias("e")
+    return table.select(entry).groupBy(F.col("e.hashes").alias("hash")).agg(F.min("e.kinds").alias("kind"), F.sum("e.train").alias("c"), F.count("*").alias("blocks"))
+
+
+def class_totals(known: DataFrame, n_train: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens and distinct known words of each class; CLASSES rows return."""
     of_hash = F.lit(BY_ENDING) + F.pmod("hash", F.lit(BY_HASH))
-    cls = F.when(F.col("kind") == END_CLASS, END_CLASS).when((F.col("c") > 0) & (F.col("c") * FREQUENT >= n_train), of_hash).otherwise(F.col("kind")).cast("int")
-    dealt = known.select("block", "at", "c", cls.alias("cls"), "lead").repartition("block").sortWithinPartitions("block", "at")
+    cls = F.when(F.col("kind") == END_CLASS, END_CLASS).when((F.col("c") > 0) & (F.col("c") * FREQUENT >= n_train), of_hash).otherwise(F.col("kind"))
+    n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for r in known.groupBy(cls.cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect():
+        n[r["k"]], v[r["k"]] = r["n"], r["v"]
+    return n, v
+
+
+def classes_of(hashes: np.ndarray, kinds: np.ndarray, c: np.ndarray, n_train: int) -> np.ndarray:
+    """The class of each word, as in class_totals."""
+    by_hash = BY_ENDING + np.mod(hashes, BY_HASH)
+    return np.where(kinds == END_CLASS, END_CLASS, np.where((c > 0) & (c * FREQUENT >= n_train), by_hash, kinds)).astype(np.int64)
+
+
+def corpus_counts(table: DataFrame, known: DataFrame) -> DataFrame:
+    """For each block the corpus counts of the words that it shares with others: block, ats (places in its dictionary), counts.
+
+    A plain join by word, which Spark splits where a word lies in very many blocks.
+    """
+    each = table.select("block", F.posexplode("hashes").alias("at", "hash"))
+    met = each.join(known.where("blocks > 1").select("hash", "c"), "hash")
+    dealt = met.select("block", "at", "c").repartition("block").sortWithinPartitions("block", "at")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -129,8 +154,8 @@ def counted(table: DataFrame, n_train: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            made = [t.column("c").to_numpy().astype("<i8").tobytes(), t.column("cls").to_numpy().astype("<u4").tobytes(), t.column("lead").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *(pa.array([x], pa.binary()) for x in made)], ["block", "counts", "cls", "leads"])
+            made = [t.column("at").to_numpy().astype("<u4").tobytes(), t.column("c").to_numpy().astype("<i8").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *(pa.array([x], pa.binary()) for x in made)], ["block", "ats", "counts"])
 
         for batch in batches:
             ids = batch.column("block").to_numpy()
@@ -146,31 +171,10 @@ def counted(table: DataFrame, n_train: int) -> DataFrame:
         if held:
             yield flush()
 
-    return dealt.mapInArrow(gather, "block long, counts binary, cls binary, leads binary")
-
-
-def class_totals(dictionaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and distinct known words of each class; CLASSES rows return."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            for c, k, lead in zip(*(batch.column(x).to_pylist() for x in ("counts", "cls", "leads")), strict=True):
-                on = np.frombuffer(lead, np.uint8).astype(bool)
-                c, k = np.frombuffer(c, "<i8")[on], np.frombuffer(k, "<u4")[on]
-                np.add.at(n, k, c)
-                v += np.bincount(k[c > 0], minlength=CLASSES)
-        at = np.flatnonzero(v)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(v[at])], ["k", "n", "v"])
-
-    total = dictionaries.mapInArrow(add, "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in total:
-        n[r["k"]], v[r["k"]] = r["n"], r["v"]
-    return n, v
+    return dealt.mapInArrow(gather, "block long, ats binary, counts binary")
 
 
-def prepared(table: DataFrame, dictionaries: DataFrame, n: np.ndarray, v: np.ndarray) -> DataFrame:
+def prepared(table: DataFrame, counts: DataFrame, n: np.ndarray, v: np.ndarray) -> DataFrame:
     """Blocks as class numbers, with what of each document's scores doesn't hang on the states."""
     shared = table.sparkSession.sparkContext.broadcast((n, v))  # CLASSES numbers each
     total, distinct = int(n.sum()), int(v.sum())
@@ -178,18 +182,22 @@ def prepared(table: DataFrame, dictionaries: DataFrame, n: np.ndarray, v: np.nda
     def ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_class = (shared.value[0] + shared.value[1] + 1).astype(float)
         for batch in batches:
-            for r in batch.to_pylist():
-                lengths = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
-                token = _expand(r["tokens"])
-                c, k = np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["cls"], "<u4")
+            for at in range(batch.num_rows):
+                r = {name: batch.column(name)[at] for name in batch.schema.names}
+                lengths = np.frombuffer(r["lengths"].as_py(), "<u4").astype(np.int64)
+                token = _expand(r["tokens"].as_py())
+                c = r["train"].values.to_numpy().astype(np.int64)
+                if r["ats"].is_valid:
+                    c[np.frombuffer(r["ats"].as_py(), "<u4")] = np.frombuffer(r["counts"].as_py(), "<i8")
+                k = classes_of(r["hashes"].values.to_numpy(), r["kinds"].values.to_numpy(), c, total)
                 first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 sums = [np.add.reduceat(x[token], first) for x in ((c > 0).astype(np.int64), np.log10((c + 1) / (total + distinct + 1)), np.log10((c + 1) / of_class[k]))]
-                cols = [[r["block"]], [r["doc_ids"]], [r["held"]], [r["lengths"]], [_squeeze(k[token])], *([x] for x in sums)]
-                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-                names = ["block", "doc_ids", "held", "lengths", "classes", "n_known", "base", "within"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                types = [pa.int64(), pa.float64(), pa.float64()]
+                made = [pa.array([_squeeze(k[token])], pa.binary()), *(pa.array([x], pa.list_(t)) for x, t in zip(sums, types, strict=True))]
+                row = batch.slice(at, 1)
+                yield pa.RecordBatch.from_arrays([*(row.column(x) for x in ("block", "doc_ids", "held", "lengths")), *made], ["block", "doc_ids", "held", "lengths", "classes", "n_known", "base", "within"])
 
-    return table.select("block", "doc_ids", "held", "lengths", "tokens").join(dictionaries.select("block", "counts", "cls"), "block").mapInArrow(ready, READY)
+    return table.select("block", "doc_ids", "held", "lengths", "tokens", "hashes", "kinds", "train").join(counts, "block", "left").mapInArrow(ready, READY)
 
 
 @dataclass
@@ -215,15 +223,22 @@ def by_time(seq: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def forward(model: Model, seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """log10 probability of each class sequence, by the scaled forward recursion in double precision."""
+    """log10 probability of each class sequence, by the scaled forward recursion in double precision.
+
+    Rows are scaled every EVERY steps and where a sequence ends; in between they stay far within a double's range.
+    """
     order, alive, items = by_time(seq, lengths)
     total, at, alpha = np.zeros(len(lengths)), 0, None
-    for m in alive:
+    steps = alive.tolist()
+    for t, (m, more) in enumerate(zip(steps, [*steps[1:], 0], strict=True)):
         e = model.emit[items[at : at + m]]
         alpha = (model.start[None, :] if alpha is None else alpha[:m] @ model.move) * e
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        total[:m] += np.log(scale)
+        if t % EVERY == 0:
+            scale = alpha.sum(axis=1)
+            alpha /= scale[:, None]
+            total[:m] += np.log(scale)
+        if more < m:
+            total[more:m] += np.log(alpha[more:].sum(axis=1))
         at += m
     out = np.empty(len(lengths))
     out[order] = total
@@ -231,39 +246,47 @@ def forward(model: Model, seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def expectations(model: Model, seq: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions (classes x states) over class sequences: scaled forward-backward."""
+    """Expected starts, moves and emissions (classes x states) over class sequences: scaled forward-backward.
+
+    Emissions are scaled to a largest of 1 for each token, rows of both recursions every EVERY steps; the state
+    probabilities of each token, and of each token with the one before, are then brought to a sum of 1.
+    """
     _, alive, items = by_time(seq, lengths)
-    begin = np.concatenate([[0], np.cumsum(alive)])
+    begin = np.concatenate([[0], np.cumsum(alive)]).tolist()
+    last = len(alive) - 1
     start, move = model.start.astype(np.float32), model.move.astype(np.float32)
-    e = model.emit.astype(np.float32)[items]
-    alpha, scale = np.empty_like(e), np.empty(len(e), np.float32)
-    for t, m in enumerate(alive):
-        a, b = begin[t], begin[t + 1]
-        x = (start[None, :] if not t else alpha[begin[t - 1] : begin[t - 1] + m] @ move) * e[a:b]
-        s = x.sum(axis=1)
-        alpha[a:b], scale[a:b] = x / s[:, None], s
+    back = np.ascontiguousarray(move.T)
+    e = (model.emit / model.emit.max(axis=1, keepdims=True)).astype(np.float32)[items]
+    alpha = np.empty_like(e)
+    x = np.multiply(start, e[: begin[1]], out=alpha[: begin[1]])
+    for t in range(1, last + 1):
+        y = alpha[begin[t] : begin[t + 1]]
+        np.matmul(x[: len(y)], move, out=y)
+        y *= e[begin[t] : begin[t + 1]]
+        if t % EVERY == 0:
+            y /= y.sum(axis=1, keepdims=True)
+        x = y
+    w = e[begin[last] :]  # from here on e holds emission times what follows
+    for t in range(last - 1, -1, -1):
+        after = w @ back
+        w = e[begin[t] : begin[t + 1]]
+        y = w[: len(after)]
+        y *= after
+        if t % EVERY == 0:
+            y /= y.sum(axis=1, keepdims=True)
     moves = np.zeros((len(start), len(start)))
-    gamma, beta = alpha.copy(), None
-    for t in range(len(alive) - 2, -1, -1):
-        m, a, b = alive[t + 1], begin[t + 1], begin[t + 2]
-        w = e[a:b] / scale[a:b, None]
-        if beta is not None:
-            w[: len(beta)] *= beta
-        moves += alpha[begin[t] : begin[t] + m].T @ w
-        beta = w @ move.T
-        gamma[begin[t] : begin[t] + m] *= beta
-    emitted = np.stack([np.bincount(items, weights=gamma[:, s], minlength=CLASSES) for s in range(len(start))], axis=1)
-    return gamma[: alive[0]].sum(axis=0, dtype=np.float64), moves * move, emitted
-
-
-def stretches(lengths: np.ndarray) -> np.ndarray:
-    """Lengths with those above STRETCH cut."""
-    whole, rest = np.divmod(lengths, STRETCH)
-    n = whole + (rest > 0)
-    out = np.full(int(n.sum()), STRETCH, np.int64)
-    last = np.cumsum(n) - 1
-    out[last[rest > 0]] = rest[rest > 0]
-    return out
+    before = np.arange(begin[1], len(items)) - np.repeat(alive[:-1], alive[1:])  # each later token's predecessor
+    ends = np.ones(len(items), dtype=bool)
+    ends[before] = False
+    for a in range(0, len(before), 1 << 17):
+        here, to = before[a : a + (1 << 17)], e[begin[1] + a : begin[1] + a + (1 << 17)]
+        state, rest = alpha[here], to @ back
+        state /= (state * rest).sum(axis=1, keepdims=True)
+        moves += state.T @ to
+        alpha[here] = state * rest
+    alpha[ends] /= alpha[ends].sum(axis=1, keepdims=True)
+    emitted = np.stack([np.bincount(items, weights=alpha[:, s], minlength=CLASSES) for s in range(len(start))], axis=1)
+    return alpha[: begin[1]].sum(axis=0, dtype=np.float64), moves * move, emitted
 
 
 def begin_model(n: np.ndarray, states: int, seed: int = 11) -> Model:
@@ -276,9 +299,9 @@ def begin_model(n: np.ndarray, states: int, seed: int = 11) -> Model:
 
 
 def maximise(starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray, share: np.ndarray) -> Model:
-    """Parameters from expected counts; every state keeps PRIOR counts by the classes' shares."""
+    """Parameters from expected counts; every state keeps PRIOR counts by the classes' shares, every move LEAST_MOVE."""
     emit = emitted + PRIOR * share[:, None]
-    moves, starts = moves + 0.1, starts + 0.1
+    moves, starts = moves + 0.1 + LEAST_MOVE * moves.sum(axis=1, keepdims=True), starts + 0.1
     return Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
@@ -294,13 +317,25 @@ def train(ready: DataFrame, n: np.ndarray, states: int = STATES) -> Model:
             m = shared.value
             s = len(m.start)
             total = np.zeros((1 + s + CLASSES, s))
+            some: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def add(some: list[tuple[np.ndarray, np.ndarray]]) -> None:
+                a, b, c = expectations(m, *map(np.concatenate, zip(*some, strict=True)))
+                total[0] += a
+                total[1 : 1 + s] += b
+                total[1 + s :] += c
+
             for batch in batches:
                 for r in batch.to_pylist():
                     lengths = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
                     on = ~np.array(r["held"], dtype=bool)
                     if on.any():
-                        a, b, c = expectations(m, _expand(r["classes"])[np.repeat(on, lengths)], stretches(lengths[on]))
-                        total += np.concatenate([a[None, :], b, c])
+                        some.append((_expand(r["classes"])[np.repeat(on, lengths)], lengths[on]))
+                    if sum(len(x) for x, _ in some) >= TOKENS_AT_ONCE:
+                        add(some)
+                        some = []
+            if some:
+                add(some)
             row, col = np.nonzero(total > 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(col, pa.int32()), pa.array(total[row, col])], ["row", "col", "x"])
 
@@ -321,9 +356,9 @@ def score_documents(docs: DataFrame, text: str = "text", states: int = STATES) -
     """
     table = written(blocks(docs, text), "blocks")
     n_train = table.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()["n"]
-    dictionaries = written(counted(table, n_train), "dictionaries")
-    n, v = class_totals(dictionaries)
-    ready = written(prepared(table, dictionaries, n, v), "ready")
+    known = written(vocabulary(table), "vocabulary")
+    n, v = class_totals(known, n_train)
+    ready = written(prepared(table, written(corpus_counts(table, known), "counts"), n, v), "ready")
     shared = docs.sparkSession.sparkContext.broadcast(train(ready, n, states))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
