@@ -1,5 +1,7 @@
 """Every round of Baum-Welch takes in every training document to its end; the trained model against plain recursions."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -75,16 +77,28 @@ def test_unlikely_moves_stay_finite():
     assert np.isfinite(hmm.forward(model, seq, np.array([2000]))).all()
 
 
-def test_words_of_several_blocks_bring_their_sums_back(spark, monkeypatch):
+def test_corpus_counts_return_to_every_block(spark, monkeypatch):
     monkeypatch.setattr(hmm, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(hmm, "PART_WORDS", 7)
     rows = [(i, f"the word{i % 7} only{i} the " * (i % 3 + 1)) for i in range(60)] + [(None, None), (70, ""), (70, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    table = hmm.written(hmm.blocks(docs), "blocks")
-    assert table.count() > 5
-    known = hmm.written(hmm.vocabulary(table), "vocabulary")
-    total = {r["hash"]: (r["c"], r["blocks"]) for r in known.collect()}
-    back = {r["block"]: dict(zip(np.frombuffer(r["ats"], "<u4").tolist(), np.frombuffer(r["counts"], "<i8").tolist(), strict=True)) for r in hmm.corpus_counts(table, known).collect()}
-    for r in table.collect():
-        for at, (h, train) in enumerate(zip(r["hashes"], r["train"], strict=True)):
-            c, blocks = total[h]
-            assert back.get(r["block"], {}).get(at, train) == c and (at in back.get(r["block"], {})) == (blocks > 1)
+    table = hmm.written(hmm.blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "blocks")
+    blocks = table.collect()
+    total, kind = Counter(), {}
+    for r in blocks:
+        own = list(zip(np.frombuffer(r["hashes"], "<u8").tolist(), hmm._expand(r["kinds"], "<u2").tolist(), hmm._expand(r["train"]).tolist(), strict=True))
+        assert [h for h, _, _ in own] == sorted(h for h, _, _ in own)
+        for h, k, c in own:
+            total[h] += c
+            kind[h] = k
+    n_train, n_words = sum(r["n_train"] for r in blocks), sum(r["n_words"] for r in blocks)
+    assert len(blocks) > 5 and n_train == sum(total.values())
+    counts = hmm.written(hmm.counted(table, n_train, n_words), "counts")
+    got = {}
+    for r in sorted(counts.where("block IS NOT NULL").collect(), key=lambda r: r["part"]):
+        got.setdefault(r["block"], []).extend(zip(hmm._expand(r["counts"], "<u8").tolist(), hmm._expand(r["classes"], "<u2").tolist(), strict=True))
+    for r in blocks:
+        hashes = np.frombuffer(r["hashes"], "<u8")
+        cls = hmm.classes_of(hashes, np.array([kind[h] for h in hashes.tolist()]), np.array([total[h] for h in hashes.tolist()]), n_train)
+        assert got[r["block"]] == [(total[h], k) for h, k in zip(hashes.tolist(), cls.tolist(), strict=True)]
+    n, v = hmm.class_totals(counts)
+    assert n.sum() == n_train and v.sum() == sum(c > 0 for c in total.values()) and n[hmm.END_CLASS] == total[hmm.END_HASH & (1 << 64) - 1]

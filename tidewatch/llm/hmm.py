@@ -6,8 +6,9 @@ its own. The latent states emit classes, and a class emits its words by their tr
 each word and one for all unknown ones. So the number of parameters is set by the classes, and the vocabulary, which
 grows with the corpus, only takes part in a shuffle that adds up each word's count over all blocks.
 
-A block is a few MB of texts with its own dictionary. The vocabulary adds up each word's training counts over all blocks;
-words that several blocks hold bring the sums back to each of them. Baum-Welch: every partition runs the scaled
+A block is a few MB of texts with its own dictionary, sorted by word hash. Dictionaries are cut at the same hashes into
+parts; all blocks' pieces of a part meet in one task, of bounded size as a word is once in a block, which adds up the
+words' training counts and sends each block's piece its sums back. Baum-Welch: every partition runs the scaled
 forward-backward recursion over its blocks, each text from its first token to its last, and returns expected counts,
 which Spark adds up; every round runs over all training documents. Scores come from the scaled forward recursion over
 every whole text.
@@ -37,7 +38,9 @@ ROUNDS = 6
 #: Tokens whose texts take their steps together; a step costs less the more texts share it.
 TOKENS_AT_ONCE = 1_500_000
 #: Text of a block; its dictionary takes part in the shuffle once.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
+#: Dictionary entries that meet in one task, about.
+PART_WORDS = 1 << 20
 PRIOR = 20.0
 #: No move is less likely than about this.
 LEAST_MOVE = 1e-6
@@ -45,7 +48,7 @@ LEAST_MOVE = 1e-6
 EVERY = 4
 _U = np.uint64
 
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary, hashes array<long>, kinds array<int>, train array<int>, n_train long"
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary, hashes binary, kinds binary, train binary, n_train long, n_words long"
 READY = "block long, doc_ids array<long>, held array<boolean>, lengths binary, classes binary, n_known array<long>, base array<double>, within array<double>"
 
 
@@ -54,17 +57,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _squeeze(x: np.ndarray) -> bytes:
+def _squeeze(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as zstandard of their byte planes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    planes = np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _expand(data: bytes) -> np.ndarray:
+def _expand(data: bytes, kind: str = "<u4") -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def endings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -93,23 +98,20 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
                 n = batch.num_rows
                 lengths = np.bincount(owner, minlength=n) + 1
                 stops = np.cumsum(lengths)
-                seq = np.full(int(stops[-1]), END_HASH, dtype=np.int64)
+                seq = np.full(int(stops[-1]), END_HASH, dtype=np.int64).view(_U)
                 place = np.arange(len(code)) + owner
-                seq[place] = code.view(np.int64)
+                seq[place] = code
                 kind = np.full(len(seq), END_CLASS, dtype=np.int32)
                 kind[place] = endings(raw, start, end)
                 uniq, first, token = np.unique(seq, return_index=True, return_inverse=True)
                 held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
                 train = np.bincount(token[~np.repeat(held, lengths)], minlength=len(uniq))
-                order = np.argsort(-np.bincount(token), kind="stable")  # small numbers for frequent words
-                back = np.empty(len(order), np.int64)
-                back[order] = np.arange(len(order))
                 cols = [
-                    [part * (1 << 32) + k], [batch.column("doc_id").to_pylist()], [held.tolist()], [lengths.astype("<u4").tobytes()], [_squeeze(back[token])],
-                    [uniq[order]], [kind[first[order]]], [train[order].astype(np.int32)], [int(train.sum())],
+                    [part * (1 << 32) + k], [batch.column("doc_id").to_pylist()], [held.tolist()], [lengths.astype("<u4").tobytes()], [_squeeze(token)],
+                    [uniq.astype("<u8").tobytes()], [_squeeze(kind[first], "<u2")], [_squeeze(train)], [int(train.sum())], [len(uniq)],
                 ]
-                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
-                names = ["block", "doc_ids", "held", "lengths", "tokens", "hashes", "kinds", "train", "n_train"]
+                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+                names = ["block", "doc_ids", "held", "lengths", "tokens", "hashes", "kinds", "train", "n_train", "n_words"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
                 k += 1
 
@@ -117,61 +119,64 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     return chosen.mapInArrow(build, BLOCK)
 
 
-def vocabulary(table: DataFrame) -> DataFrame:
-    """Every word of the corpus: hash, kind, c (training count), blocks (how many hold it); added up within tasks first."""
-    entry = F.explode(F.arrays_zip("hashes", "kinds", "train")).alias("e")
-    return table.select(entry).groupBy(F.col("e.hashes").alias("hash")).agg(F.min("e.kinds").alias("kind"), F.sum("e.train").alias("c"), F.count("*").alias("blocks"))
-
-
-def class_totals(known: DataFrame, n_train: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and distinct known words of each class; CLASSES rows return."""
-    of_hash = F.lit(BY_ENDING) + F.pmod("hash", F.lit(BY_HASH))
-    cls = F.when(F.col("kind") == END_CLASS, END_CLASS).when((F.col("c") > 0) & (F.col("c") * FREQUENT >= n_train), of_hash).otherwise(F.col("kind"))
-    n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in known.groupBy(cls.cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect():
-        n[r["k"]], v[r["k"]] = r["n"], r["v"]
-    return n, v
-
-
 def classes_of(hashes: np.ndarray, kinds: np.ndarray, c: np.ndarray, n_train: int) -> np.ndarray:
-    """The class of each word, as in class_totals."""
-    by_hash = BY_ENDING + np.mod(hashes, BY_HASH)
+    """The class of each word: frequent ones by their hash, others as their kind says."""
+    by_hash = BY_ENDING + (hashes % _U(BY_HASH)).astype(np.int64)
     return np.where(kinds == END_CLASS, END_CLASS, np.where((c > 0) & (c * FREQUENT >= n_train), by_hash, kinds)).astype(np.int64)
 
 
-def corpus_counts(table: DataFrame, known: DataFrame) -> DataFrame:
-    """For each block the corpus counts of the words that it shares with others: block, ats (places in its dictionary), counts.
+def counted(table: DataFrame, n_train: int, n_words: int) -> DataFrame:
+    """Rows (block, part, counts, classes): corpus counts and classes of a block's words, by parts of its dictionary.
 
-    A plain join by word, which Spark splits where a word lies in very many blocks.
+    A row without a block, for each part, holds its words' totals by class instead: class, tokens, distinct known words.
     """
-    each = table.select("block", F.posexplode("hashes").alias("at", "hash"))
-    met = each.join(known.where("blocks > 1").select("hash", "c"), "hash")
-    dealt = met.select("block", "at", "c").repartition("block").sortWithinPartitions("block", "at")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
+    parts = max(1, -(-n_words // PART_WORDS))
 
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            made = [t.column("at").to_numpy().astype("<u4").tobytes(), t.column("c").to_numpy().astype("<i8").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *(pa.array([x], pa.binary()) for x in made)], ["block", "ats", "counts"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block, *data = (batch.column(c)[at].as_py() for c in ("block", "hashes", "kinds", "train"))
+                hashes, kinds, train = np.frombuffer(data[0], "<u8"), _expand(data[1], "<u2"), _expand(data[2])
+                cut = np.searchsorted(((hashes >> _U(32)) * _U(parts)) >> _U(32), np.arange(parts + 1).astype(_U)).tolist()
+                some = [(p, a, b) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+                cols = [[block] * len(some), [p for p, _, _ in some], [hashes[a:b].tobytes() for _, a, b in some], [_squeeze(kinds[a:b], "<u2") for _, a, b in some], [_squeeze(train[a:b]) for _, a, b in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["block", "part", "hashes", "kinds", "train"])
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        pieces = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("hashes")]
+        kinds, train = (np.concatenate([_expand(x.as_py(), k) for x in group.column(c)]) for c, k in (("kinds", "<u2"), ("train", "<u4")))
+        hashes = np.concatenate(pieces)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        c = np.bincount(which, weights=train).astype(np.int64)[which]  # sums of whole numbers below 2 ** 53 are exact
+        cls = classes_of(hashes, kinds, c, n_train)
+        n, v = np.bincount(cls[first], weights=c[first], minlength=CLASSES).astype(np.int64), np.bincount(cls[first][c[first] > 0], minlength=CLASSES)
+        some = np.flatnonzero(v)
+        cuts = np.cumsum([0, *map(len, pieces)]).tolist()
+        back = [(_squeeze(c[a:b], "<u8"), _squeeze(cls[a:b], "<u2")) for a, b in zip(cuts, cuts[1:], strict=False)]
+        totals = (np.concatenate([n[some], v[some]]).astype("<i8").tobytes(), some.astype("<u4").tobytes())
+        blocks, counts, classes = [*group.column("block").to_pylist(), None], *zip(*back, totals, strict=True)
+        return pa.table({"block": pa.array(blocks, pa.int64()), "part": pa.array([key[0].as_py()] * len(blocks), pa.int64()), "counts": pa.array(counts, pa.binary()), "classes": pa.array(classes, pa.binary())})
+
+    dealt = table.select("block", "hashes", "kinds", "train").mapInArrow(deal, "block long, part long, hashes binary, kinds binary, train binary")
+    return dealt.groupBy("part").applyInArrow(add, "block long, part long, counts binary, classes binary")
+
+
+def class_totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens and distinct known words of each class; CLASSES rows return."""
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, CLASSES), np.int64)
         for batch in batches:
-            ids = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if held and ids[a] != now:
-                    yield flush()
-                    held = []
-                now = int(ids[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield flush()
-
-    return dealt.mapInArrow(gather, "block long, ats binary, counts binary")
+            for x, k in zip(batch.column("counts"), batch.column("classes"), strict=True):
+                total[:, np.frombuffer(k.as_buffer(), "<u4")] += np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
+        at = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0, at]), pa.array(total[1, at])], ["k", "n", "v"])
+
+    n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    each = counts.where("block IS NULL").select("counts", "classes").mapInArrow(add, "k int, n long, v long")
+    for r in each.groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        n[r["k"]], v[r["k"]] = r["n"], r["v"]
+    return n, v
 
 
 def prepared(table: DataFrame, counts: DataFrame, n: np.ndarray, v: np.ndarray) -> DataFrame:
@@ -183,21 +188,19 @@ def prepared(table: DataFrame, counts: DataFrame, n: np.ndarray, v: np.ndarray)
         of_class = (shared.value[0] + shared.value[1] + 1).astype(float)
         for batch in batches:
             for at in range(batch.num_rows):
-                r = {name: batch.column(name)[at] for name in batch.schema.names}
-                lengths = np.frombuffer(r["lengths"].as_py(), "<u4").astype(np.int64)
-                token = _expand(r["tokens"].as_py())
-                c = r["train"].values.to_numpy().astype(np.int64)
-                if r["ats"].is_valid:
-                    c[np.frombuffer(r["ats"].as_py(), "<u4")] = np.frombuffer(r["counts"].as_py(), "<i8")
-                k = classes_of(r["hashes"].values.to_numpy(), r["kinds"].values.to_numpy(), c, total)
+                row = batch.slice(at, 1)
+                lengths = np.frombuffer(row.column("lengths")[0].as_buffer(), "<u4").astype(np.int64)
+                token, pieces = _expand(row.column("tokens")[0].as_py()), row.column("pieces")[0].as_py()
+                c = np.concatenate([_expand(p["counts"], "<u8") for p in pieces]).astype(np.int64)
+                k = np.concatenate([_expand(p["classes"], "<u2") for p in pieces])
                 first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 sums = [np.add.reduceat(x[token], first) for x in ((c > 0).astype(np.int64), np.log10((c + 1) / (total + distinct + 1)), np.log10((c + 1) / of_class[k]))]
                 types = [pa.int64(), pa.float64(), pa.float64()]
                 made = [pa.array([_squeeze(k[token])], pa.binary()), *(pa.array([x], pa.list_(t)) for x, t in zip(sums, types, strict=True))]
-                row = batch.slice(at, 1)
                 yield pa.RecordBatch.from_arrays([*(row.column(x) for x in ("block", "doc_ids", "held", "lengths")), *made], ["block", "doc_ids", "held", "lengths", "classes", "n_known", "base", "within"])
 
-    return table.select("block", "doc_ids", "held", "lengths", "tokens", "hashes", "kinds", "train").join(counts, "block", "left").mapInArrow(ready, READY)
+    pieces = counts.where("block IS NOT NULL").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "counts", "classes"))).alias("pieces"))  # a block's own dictionary
+    return table.select("block", "doc_ids", "held", "lengths", "tokens").join(pieces, "block").mapInArrow(ready, READY)
 
 
 @dataclass
@@ -355,10 +358,11 @@ def score_documents(docs: DataFrame, text: str = "text", states: int = STATES) -
     they occur; extra columns are ignored. An empty table gives an empty result.
     """
     table = written(blocks(docs, text), "blocks")
-    n_train = table.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()["n"]
-    known = written(vocabulary(table), "vocabulary")
-    n, v = class_totals(known, n_train)
-    ready = written(prepared(table, written(corpus_counts(table, known), "counts"), n, v), "ready")
+    sums = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train", "n_words"))).first()
+    n_train = sums["n_train"]
+    counts = written(counted(table, n_train, sums["n_words"]), "counts")
+    n, v = class_totals(counts)
+    ready = written(prepared(table, counts, n, v), "ready")
     shared = docs.sparkSession.sparkContext.broadcast(train(ready, n, states))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
