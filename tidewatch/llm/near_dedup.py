@@ -3,8 +3,9 @@
 A text's five-word shingles are weighted 1 + ln(times). For each shingle a Poisson process, seeded by the shingle, sends
 arrivals at the rate of its weight to random registers; each register keeps the shingle that arrives first. Drawing
 stops for a shingle once its next arrival is later than the latest of the registers' first arrivals. Two signatures
-agree in a register with the probability Jaccard similarity of the texts. Equal texts form one class with one
-representative. Bands of registers put representatives into buckets; within a bucket each is compared to the bucket's
+agree in a register with the probability Jaccard similarity of the texts. A text that repeats shingles has a second
+signature, with all weights 1, whose registers agree with the plain Jaccard similarity; where nothing repeats both are
+the same. Equal texts form one class with one representative. Bands of registers put representatives into buckets; within a bucket each is compared to the bucket's
 smallest member and to its neighbours by the next band, which is linear in the bucket whatever its size. Each pair is
 verified on its shingles: it is linked if the probability Jaccard or the plain Jaccard of the shingle sets reaches the
 threshold. Components of links are the groups of near duplicates. Rows that share a bucket with a group they are not in
@@ -26,6 +27,8 @@ from tidewatch.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 25, 5
 REGISTERS = BANDS * ROWS
+#: Neighbours in a bucket are sought among about so many rows at a time.
+NEIGHBOURS = 4096
 #: Ids up to this number are broadcast as a filter (8 bytes each, checked by a count); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 #: Shingles that one side of a compared tile holds, in bytes.
@@ -97,8 +100,30 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return mix(total + np.arange(BANDS, dtype=_U)[None, :] * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def buckets(owner: np.ndarray, h: np.ndarray, times: np.ndarray, n: int) -> list[tuple[list[int], list[int]]]:
+    """For each text its distinct bands, and for each of them the next band: by weights, then by the set where it differs.
+
+    A text without repeated shingles has the same signature either way, so one namespace of bands serves both.
+    """
+    by_weight = bands(signatures(owner, h, weight(times), n))
+    repeats = np.bincount(owner[times > 1], minlength=n) > 0
+    on = repeats[owner]
+    place = np.cumsum(repeats) - 1
+    by_set = bands(signatures(place[owner[on]], h[on], np.ones(on.sum()), int(repeats.sum()))) if on.any() else None
+    filled = np.bincount(owner, minlength=n) > 0
+    out = []
+    for i in range(n):
+        own: dict[int, int] = {}
+        for row in (by_weight[i] if filled[i] else None, by_set[place[i]] if repeats[i] else None):
+            if row is not None:
+                for band, following in zip(row.tolist(), np.roll(row, -1).tolist(), strict=True):
+                    own.setdefault(band, following)
+        out.append((list(own), list(own.values())))
+    return out
+
+
 def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per row of docs: row_id, doc_id, text_key, bands, shingles and times (32-bit numbers, packed)."""
+    """One row per row of docs: row_id, doc_id, text_key, bands, nexts, shingles and times (32-bit numbers, packed)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,21 +132,21 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
             for batch in slices(whole, "text"):
                 n = batch.num_rows
                 owner, h, times = shingles(*text_bytes(batch.column("text")))
-                found = bands(signatures(owner, h, weight(times), n))
+                found = buckets(owner, h, times, n)
                 low, at = h.astype("<u4"), np.searchsorted(owner, np.arange(n + 1))
                 many = times.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c) for c in ("row_id", "doc_id", "text_key")),
-                        pa.array([found[i].tolist() if at[i + 1] > at[i] else [] for i in range(n)], pa.list_(pa.int64())),
+                        *(pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in (0, 1)),
                         pa.array([low[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary()),
                         pa.array([many[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary()),
                     ],
-                    ["row_id", "doc_id", "text_key", "bands", "shingles", "times"],
+                    ["row_id", "doc_id", "text_key", "bands", "nexts", "shingles", "times"],
                 )
 
     chosen = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.md5(F.col(text).cast("binary")).alias("text_key"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "row_id long, doc_id long, text_key string, bands array<long>, shingles binary, times binary")
+    return chosen.mapInArrow(run, "row_id long, doc_id long, text_key string, bands array<long>, nexts array<long>, shingles binary, times binary")
 
 
 def similar(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -166,10 +191,11 @@ def verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
 
 
 def tile_links(x: pa.Table, y: pa.Table, bucket: int, threshold: float) -> tuple[list[int], list[int]]:
-    """Links between rows of x and of y in one bucket, for pairs of different components, in the first bucket they share.
+    """Links between rows of x and of y in one bucket, for pairs of different components, in the least bucket they share.
 
-    Shared weight is an upper bound of the probability Jaccard (an element adds at most its smaller share of the two
-    totals), so only pairs that reach the threshold by it or by the plain Jaccard are compared in full.
+    A row gets one link to each component at most: the others join nothing more. Shared weight is an upper bound of the
+    probability Jaccard (an element adds at most its smaller share of the two totals), so only pairs that reach the
+    threshold by it or by the plain Jaccard are compared in full.
     """
     sets = [np.frombuffer(v.as_buffer(), dtype="<u4") for v in y.column("shingles")]
     weights = [weight(np.frombuffer(v.as_buffer(), dtype="<u4")) for v in y.column("times")]
@@ -177,13 +203,14 @@ def tile_links(x: pa.Table, y: pa.Table, bucket: int, threshold: float) -> tuple
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
     flat, share = np.concatenate(sets), np.concatenate([w / w.sum() for w in weights])
     ids, component, outside = (y.column(c).to_numpy() for c in ("row_id", "component", "outside"))
-    bands_of = lambda t: np.array(t.column("bands").to_pylist(), dtype=np.int64)
-    y_bands, found_a, found_b = bands_of(y), [], []
-    for i, x_bands in enumerate(bands_of(x)):
+    listed = y.column("bands").combine_chunks()
+    of_y, begin = listed.flatten().to_numpy(), np.diff(listed.offsets.to_numpy())
+    begin = np.cumsum(begin) - begin
+    found_a, found_b = [], []
+    for i, x_bands in enumerate(x.column("bands").to_pylist()):
         me, mine = x.column("row_id")[i].as_py(), x.column("component")[i].as_py()
-        same = y_bands == x_bands
-        here = x_bands[same.argmax(axis=1)] == bucket  # a pair that shares several buckets is compared in the first
-        wanted = here & (component != mine) & (~outside | (ids > me))
+        least = np.minimum.reduceat(np.where(np.isin(of_y, x_bands), of_y, np.iinfo(np.int64).max), begin)
+        wanted = (least == bucket) & (component != mine) & (~outside | (ids > me))  # a pair that shares several buckets is compared in the least
         if not wanted.any():
             continue
         own = np.frombuffer(x.column("shingles")[i].as_buffer(), dtype="<u4")
@@ -193,8 +220,10 @@ def tile_links(x: pa.Table, y: pa.Table, bucket: int, threshold: float) -> tuple
         both = np.add.reduceat(hit.astype(np.int64), at)
         most = np.add.reduceat(np.where(hit, np.minimum(share, (w / w.sum())[place]), 0.0), at)
         plain = both / (size + len(own) - both)
+        joined: set[int] = set()
         for j in np.flatnonzero(wanted & (np.maximum(plain, most) >= threshold - 1e-9)):
-            if similar(own, w, sets[j], weights[j]) >= threshold:
+            if int(component[j]) not in joined and similar(own, w, sets[j], weights[j]) >= threshold:
+                joined.add(int(component[j]))
                 found_a.append(min(me, int(ids[j])))
                 found_b.append(max(me, int(ids[j])))
     return found_a, found_b
@@ -259,12 +288,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, text: str = "text")
     classes = written(rows.where("text_key IS NOT NULL").groupBy("text_key").agg(first.alias("first")).select("text_key", F.col("first.doc_id").alias("class_id"), F.col("first.row_id").alias("rep")), "classes")
 
     reps = classes.select(F.col("rep").alias("row_id"))
-    numbered = F.posexplode("bands").alias("band", "bucket")
-    following = F.element_at("bands", (F.col("band") + 1) % BANDS + 1)
-    members = written(sketches.select("row_id", "bands").join(reps, "row_id", "left_semi").select("row_id", "bands", numbered).select("row_id", "bucket", following.alias("next")), "bands")
-    hubs = members.groupBy("bucket").agg(F.min("row_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    each = F.explode(F.arrays_zip("bands", "nexts")).alias("e")
+    members = written(sketches.join(reps, "row_id", "left_semi").select("row_id", each).select("row_id", F.col("e.bands").alias("bucket"), F.col("e.nexts").alias("next")), "bands")
+    hubs = members.groupBy("bucket").agg(F.min("row_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     crowded = written(members.join(hubs, "bucket"), "crowded")
-    near = Window.partitionBy("bucket", F.pmod("next", F.lit(64))).orderBy("next", "row_id")
+    # rows of a large bucket are dealt to runs of about NEIGHBOURS; what two runs part meets by the hub or in the second pass
+    run = F.when(F.col("n") > NEIGHBOURS, F.pmod(F.xxhash64("next", "row_id"), F.ceil(F.col("n") / NEIGHBOURS))).otherwise(F.lit(0))
+    near = Window.partitionBy("bucket", run).orderBy("next", "row_id")
     reached = crowded.select("row_id", F.array("hub", F.lag("row_id", 1).over(near), F.lag("row_id", 2).over(near)).alias("others"))
     tested = written(reached.select(F.explode("others").alias("o"), "row_id").where("o IS NOT NULL AND o <> row_id").select(F.least("o", "row_id").alias("a"), F.greatest("o", "row_id").alias("b")).distinct(), "pairs")
     found = components(verified(tested, sketches, threshold))
@@ -278,19 +308,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, text: str = "text")
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8, text: str = "text") -> DataFrame:
-    """The rows of docs without all but one of each group of near duplicates, with the columns of docs."""
+    """The rows of docs without all but one of each group of near duplicates, with the columns of docs, whatever their names.
+
+    Rows with a null text are alone and stay. Empty texts are one group. Of rows repeated whole one stays. Null doc_ids come after all
+    others where one of a group is chosen. An empty table gives an empty one.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"_{k}" for k in range(len(names))))  # the names of docs can't clash with those used here
+    doc_id, body = f"_{names.index('doc_id')}", f"_{names.index(text)}"
     found = written(near_duplicates(docs, threshold, text).where("text_key IS NOT NULL").select("doc_id", "text_key", "kept"), "groups")
     counted = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    keyed = docs.withColumn("__key", F.md5(F.col(text).cast("binary")))
+    keyed = plain.withColumn("key", F.md5(F.col(body).cast("binary")))
 
     def only(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
-        which = which.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text"))
+        which = which.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
         if which.count() <= BROADCAST_IDS:
             which = F.broadcast(which)
-        return rows.join(which, rows["doc_id"].eqNullSafe(which["__doc"]) & (rows["__key"] == which["__text"]), how)
+        return rows.join(which, rows[doc_id].eqNullSafe(which["of_doc"]) & (rows["key"] == which["of_text"]), how)
 
     left = only(keyed, counted.where("NOT kept"), "left_anti")
     repeated = counted.where("kept AND n > 1")  # rows repeated whole: one stays
     if not repeated.isEmpty():
-        left = only(left, repeated, "left_anti").unionByName(only(left, repeated, "left_semi").dropDuplicates(["doc_id", "__key"]))
-    return left.drop("__key")
+        left = only(left, repeated, "left_anti").unionByName(only(left, repeated, "left_semi").dropDuplicates([doc_id, "key"]))
+    return left.drop("key").toDF(*names)
