@@ -4,19 +4,19 @@ Every language has a codeword of bits. For each bit one linear n-gram classifier
 with a 0: the mean, over a text's letter n-grams, of the log odds of the n-gram in either group. Counts of n-grams come
 from all labelled training rows in one aggregation. Loss-weighted decoding adds up, for each language, the logistic loss
 of its codeword's bits, each weighted by how often that bit came out right for that language on a fold of the training
-rows, and takes the language with the least loss. A text is ambiguous if more of its bits are off the nearest codeword
+rows that classifiers learnt from the other rows have not seen, and takes the language with the least loss. A text is ambiguous if more of its bits are off the nearest codeword
 than the code can correct, or if the runner-up's loss is close.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,8 @@ from tidewatch.llm.common import LOWER, bounded_batches, claim, slices, text_byt
 FEATURES = (1 << 16) + (1 << 16)
 UNKNOWN = "und"
 CLOSE = 0.1
-_LETTER = re.compile(r"[^\W\d_]")
+#: Labels learnt, those with the most training rows: the tables on the driver are this many x FEATURES at most.
+MOST_LANGUAGES = 256
 _STEP = 1 << 19
 
 
@@ -110,65 +111,69 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> Model | None:
-    """Learn from all rows with a label; None without any. Null texts count for nothing.
+def _weights(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The bits' classifiers from counts (languages x FEATURES): log odds of each n-gram in either group of languages."""
+    share = (table + 0.5) / (table + 0.5).sum(axis=1, keepdims=True)
+    return np.stack([np.log(share[bit > 0].mean(axis=0)) - np.log(share[bit < 0].mean(axis=0)) for bit in codes.T]).astype(np.float32)
+
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", most: int = MOST_LANGUAGES) -> Model | None:
+    """Learn from all rows with one of the `most` most frequent labels; None without any. Null texts count for nothing.
 
-    What returns to the driver: at most FEATURES counts for each language.
+    What returns to the driver: at most FEATURES counts for each label and fold.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
+    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
+    if not languages:
+        return None
+    fold = F.coalesce(F.crc32(F.col("text").cast("binary")) % 4 == 1, F.lit(False))
+    rows = rows.where(F.col("lang").isin(languages)).withColumn("fold", fold)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("language_id")
-        totals: dict[str, np.ndarray] = {}
+        totals: dict[tuple[str, bool], np.ndarray] = {}
         for whole in batches:
             for batch in slices(whole, "text", _STEP):
                 features, begin, _ = ngrams(*text_bytes(batch.column("text")))
-                langs = batch.column("lang").to_pylist()
-                for lang in set(langs):
-                    own = np.repeat(np.array([x == lang for x in langs]), np.diff(begin))
-                    totals[lang] = totals.get(lang, 0) + np.bincount(features[own], minlength=FEATURES)
-        for lang, c in totals.items():
-            at = np.flatnonzero(c) if c.any() else np.zeros(1, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "feature", "n"])
-
-    counts = rows.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(counts.column("lang").to_pylist()))
-    if not languages:
-        return None
+                groups = list(zip(batch.column("lang").to_pylist(), batch.column("fold").to_pylist(), strict=True))
+                for group in set(groups):
+                    own = np.repeat(np.array([x == group for x in groups]), np.diff(begin))
+                    totals[group] = totals.get(group, 0) + np.bincount(features[own], minlength=FEATURES)
+        for (lang, folded), c in totals.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([folded] * len(at), pa.bool_()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "fold", "feature", "n"])
+
+    counts = rows.mapInArrow(count, "lang string, fold boolean, feature int, n long").groupBy("lang", "fold", "feature").agg(F.sum("n").alias("n")).toArrow()
     place = {x: i for i, x in enumerate(languages)}
-    table = np.zeros((len(languages), FEATURES))
-    table[[place[x] for x in counts.column("lang").to_pylist()], counts.column("feature").to_numpy()] = counts.column("n").to_numpy()
-    share = (table + 0.5) / (table + 0.5).sum(axis=1, keepdims=True)
+    table = np.zeros((2, len(languages), FEATURES))
+    of_fold = counts.column("fold").to_numpy(zero_copy_only=False).astype(int)
+    table[of_fold, [place[x] for x in counts.column("lang").to_pylist()], counts.column("feature").to_numpy()] = counts.column("n").to_numpy()
     codes = codewords(len(languages))
     if len(languages) == 1:
         return Model(languages, codes, np.zeros((1, FEATURES), np.float32), np.ones((1, 1)))
-    weights = np.stack([np.log(share[bit > 0].mean(axis=0)) - np.log(share[bit < 0].mean(axis=0)) for bit in codes.T]).astype(np.float32)
-    model = Model(languages, codes, weights, np.full(codes.shape, 1 / codes.shape[1]))
-
-    fold = rows.where(F.crc32(F.col("text").cast("binary")) % 4 == 1)
-    shared = labelled.sparkSession.sparkContext.broadcast(model)  # languages x bits x FEATURES, whatever the input
+    even = np.full(codes.shape, 1 / codes.shape[1])
+    shared = labelled.sparkSession.sparkContext.broadcast(Model(languages, codes, _weights(table[0], codes), even))  # languages x bits x FEATURES, whatever the input
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("language_id")
         m = shared.value
         right, seen = np.zeros(m.codes.shape), np.zeros(len(m.languages))
-        known = {x: i for i, x in enumerate(m.languages)}
         for whole in batches:
             for batch in slices(whole, "text", _STEP):
                 margins, letters = m.margins(*text_bytes(batch.column("text")))
-                own = np.array([known[x] for x in batch.column("lang").to_pylist()])
+                own = np.array([place[x] for x in batch.column("lang").to_pylist()])
                 np.add.at(right, own[letters > 0], (np.sign(margins) == m.codes[own])[letters > 0])
                 np.add.at(seen, own[letters > 0], 1)
         for i in range(len(m.languages)):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([seen[i]]), pa.array([right[i].tolist()])], ["language", "seen", "bits"])
 
-    judged = fold.mapInArrow(judge, "language long, seen double, bits array<double>").select("language", "seen", F.posexplode("bits").alias("bit", "ok"))
+    judged = rows.where("fold").mapInArrow(judge, "language long, seen double, bits array<double>").select("language", "seen", F.posexplode("bits").alias("bit", "ok"))
+    trust = even.copy()
     for r in judged.groupBy("language", "bit").agg(F.sum("seen").alias("seen"), F.sum("ok").alias("ok")).collect():
-        model.trust[r["language"], r["bit"]] = (r["ok"] + 1) / (r["seen"] + 2)
-    model.trust /= model.trust.sum(axis=1, keepdims=True)
+        trust[r["language"], r["bit"]] = (r["ok"] + 1) / (r["seen"] + 2)
     shared.unpersist()
-    return model
+    return Model(languages, codes, _weights(table.sum(axis=0), codes), trust / trust.sum(axis=1, keepdims=True))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -191,10 +196,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 lang, score, ambiguous = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.ones(n, dtype=bool)
                 if m is not None:
                     margins, letters = m.margins(*text_bytes(batch.column(text)))
-                    real = letters > 0
-                    column = batch.column(text)
-                    for i in np.flatnonzero(real):  # bytes beyond ASCII needn't be letters
-                        real[i] = _LETTER.search(column[int(i)].as_py()) is not None
+                    letter = pc.match_substring_regex(batch.column(text).fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
+                    real = (letters > 0) & letter  # bytes beyond ASCII needn't be letters
                     best, share, unsure = m.decode(margins)
                     lang[real], score[real], ambiguous[real] = np.array(m.languages, dtype=object)[best[real]], share[real], unsure[real]
                 arrays = [batch.column(c) for c in names]
@@ -205,6 +208,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the rows that aren't held out, then predict every row: doc_id, held_out, lang_pred, score, ambiguous."""
+    """Learn from the rows that aren't held out, then predict every row: doc_id, held_out, lang_pred, score, ambiguous.
+
+    A row with a null doc_id isn't held out. Null texts, texts without a letter and, if no row has a label, all texts are
+    `und`. Repeated rows count as often as they occur and each get a row; extra columns are ignored; an empty table gives
+    an empty result.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")), model).drop("text")
