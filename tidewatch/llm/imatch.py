@@ -7,7 +7,8 @@ from a quarter of its terms down to a thousandth. A small edit spares the hashes
 equal hashes tells how alike two documents are.
 
 The band is a share of the documents, so the lexicon holds at most (mean distinct terms of a document) / LEAST terms,
-whatever the number of documents; it is broadcast as sorted 40-bit numbers after a check of its size.
+whatever the number of documents; it is broadcast as sorted 40-bit numbers after a check of that size. The band never
+moves with the corpus.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from tidewatch.llm.common import BATCH_BYTES, bounded_batches, claim, mix, slice
 
 #: The band: document frequency over number of documents, and at least two documents.
 LEAST, MOST = 1 / 1000, 1 / 50
-#: Terms broadcast at most; with more (very long documents) the band's lower end is doubled until they fit.
-LEXICON_TERMS = 4_000_000
+#: Terms broadcast at most (8 bytes each). By the bound above, more would need documents of 32,000 distinct terms on average.
+LEXICON_TERMS = 32_000_000
 #: Subsets of the lexicon: (one in so many terms, number of subsets).
 SUBSETS = ((4, 4), (16, 8), (64, 24), (256, 32), (1024, 32))
 _BITS = 40
@@ -66,13 +67,10 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: flo
     n_docs = docs.count()
     chosen = docs.select(F.col(text).cast("string").alias("text"))
     df = chosen.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    inside = df.where((F.col("n") >= max(2.0, least * n_docs)) & (F.col("n") <= max(2.0, most * n_docs))).persist()
-    try:
-        while inside.where(F.col("n") >= max(2.0, least * n_docs)).count() > LEXICON_TERMS:
-            least *= 2
-        found = inside.where(F.col("n") >= max(2.0, least * n_docs)).select("term").toArrow().column("term").to_numpy()
-    finally:
-        inside.unpersist()
+    inside = df.where((F.col("n") >= max(2.0, least * n_docs)) & (F.col("n") <= max(2.0, most * n_docs))).select("term")
+    found = inside.limit(LEXICON_TERMS + 1).toArrow().column("term").to_numpy()
+    if len(found) > LEXICON_TERMS:
+        raise ValueError(f"the band holds over {LEXICON_TERMS} terms; give a narrower one")
     return np.sort(found.astype(_U))
 
 
@@ -103,8 +101,8 @@ def fingerprints(texts: list[str], known: np.ndarray) -> list[str]:
             on = drawn < _U((1 << 64) // one_in)
             part = np.zeros(n, _U)
             np.add.at(part, owner[on], mix(drawn[on]))  # a sum over the sorted distinct terms
-            columns.append(np.where(part == 0, 0, part % _U(0xFFFF) + _U(1)).astype(">u2"))
-    tail = np.stack(columns, axis=1) if columns else np.zeros((n, 0), ">u2")
+            columns.append(np.where(part == 0, 0, part % _U(0xFFFF) + _U(1)))
+    tail = np.stack(columns, axis=1).astype(">u2") if columns else np.zeros((n, 0), ">u2")
     head = whole.astype(">u8")
     return [head[i : i + 1].tobytes().hex() + tail[i].tobytes().hex() for i in range(n)]
 
@@ -124,13 +122,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, rows: int = 256, most_blocks: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, rows: int = 256) -> DataFrame:
     """(block, tail, doc_id, text) so that each block, sorted by tail, doc_id descending, holds every row's next row.
 
     Documents run by descending doc_id, null ids last, equal ids by a hash of the text; after the last comes the first.
-    Blocks are ranges of doc_id; each also gets the first rows of the block that follows, marked as its tail.
+    Blocks are ranges of doc_id, `rows` documents each or, if fewer, 64 for each of the session's shuffle partitions;
+    each also gets the first rows of the block that follows, marked as its tail.
     """
     spark = docs.sparkSession
+    most_blocks = 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = min(most_blocks, max(1, base.count() // rows))
     cuts = []
