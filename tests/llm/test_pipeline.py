@@ -63,6 +63,26 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert Counter(tuple(r)[:5] for r in whole.collect()) == Counter(tuple(r)[:5] for r in out[3])
 
 
+def test_stages_keep_extra_columns_of_any_name(spark, tmp_path):
+    rows = [(1, "the first text of these has some words in it", "en", "a", 1), (2, "un autre texte avec des mots dedans et plus", "fr", None, 2), (2, "un autre texte avec des mots dedans et plus", "fr", None, 2), (None, "the third text of them has other words too", "en", "b", 3), (5, None, None, "b", 4), (6, "", None, "b", 5), (7, "12 !", None, "b", 6)]
+    clashing = ["key", "copies", "size", "rate", "kept", "bands", "lang_pred", "ambiguous", "__text", "row_id", "copy", "target", "rank", "stratum", "start"]
+    docs = spark.createDataFrame([(*r, *[f"{c}{i}" for c in clashing]) for i, r in enumerate(rows)], ", ".join([SCHEMA, *(f"`{c}` string" for c in clashing)]))
+    names = docs.columns
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == names and {r.doc_id for r in kept.collect()} == {1, 2, None}
+    alone = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert alone.columns == names and sorted(str(r.doc_id) for r in alone.collect()) == ["1", "2", "5", "6", "7", "None"]
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == names and {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in docs.collect()}
+    packed = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in packed) == ["1", "2", "2", "5", "6", "7", "None"]
+
+
+def test_no_label_keeps_what_has_a_letter(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "a", 1), (2, "12 !", None, "a", 1), (3, None, None, "a", 1), (4, "és", None, "a", 1)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -50,23 +50,23 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return above.select("source", "source_size", "documents", target.alias("target"))
 
 
-def copies(sized: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
-    """Add source_size, target and copies to rows with doc_id, source, size."""
+def copies(sized: DataFrame, targets: DataFrame, seed: str = "mix", doc_id: str = "doc_id", source: str = "source", size: str = "size") -> DataFrame:
+    """Add __source_size, __target and __copies to rows with doc_id, source, size."""
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    t = targets.withColumnRenamed("source", "of_source")
-    joined = sized.join(t, sized["source"].eqNullSafe(t["of_source"]), "left").drop("of_source")
-    name = F.coalesce(F.col("source"), F.lit(""))
-    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    strata = F.ceil(F.col("documents") / STRATUM)
+    t = targets.toDF("__of", "__source_size", "__documents", "__target")
+    joined = sized.join(t, sized[source].eqNullSafe(t["__of"]), "left").drop("__of")
+    name = F.coalesce(F.col(source), F.lit(""))
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+    strata = F.ceil(F.col("__documents") / STRATUM)
     stratum = F.floor(unit(F.concat(key, F.lit("|stratum"))) * strata)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    part = F.col("rate") - F.floor("rate")
-    rank = F.row_number().over(Window.partitionBy("source", "stratum").orderBy(F.desc("size"), F.md5(key.cast("binary")), "doc_id"))
-    start = unit(F.concat_ws("|", F.lit(seed), name, F.col("stratum").cast("string")))
-    drawn = F.floor(part * F.col("rank") + F.col("start")) - F.floor(part * (F.col("rank") - 1) + F.col("start"))
-    ranked = joined.withColumns({"stratum": stratum, "rate": rate}).withColumns({"rank": rank, "start": start})
-    return ranked.withColumn("copies", (F.floor("rate") + drawn).cast("long")).drop("documents", "stratum", "rate", "rank", "start")
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    part = F.col("__rate") - F.floor("__rate")
+    rank = F.row_number().over(Window.partitionBy(source, "__stratum").orderBy(F.desc(size), F.md5(key.cast("binary")), doc_id))
+    start = unit(F.concat_ws("|", F.lit(seed), name, F.col("__stratum").cast("string")))
+    drawn = F.floor(part * F.col("__rank") + F.col("__start")) - F.floor(part * (F.col("__rank") - 1) + F.col("__start"))
+    ranked = joined.withColumns({"__stratum": stratum, "__rate": rate}).withColumns({"__rank": rank, "__start": start})
+    return ranked.withColumn("__copies", (F.floor("__rate") + drawn).cast("long")).drop("__documents", "__stratum", "__rate", "__rank", "__start")
 
 
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
@@ -77,15 +77,21 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     """
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     mixed = copies(sized, source_targets(sized, weights, cap), seed)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
-    """The mixed corpus: every document as often as it is taken, with the columns of docs."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    targets = written(source_targets(sized.select("source", "size"), weights, cap), "targets")
-    taken = copies(sized, targets, seed)
-    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mixed corpus: every document as often as it is taken, with the columns of docs, whatever their names.
+
+    Cases are handled as in mix_report. Texts go through one shuffle.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"_{k}" for k in range(len(names))))  # the names of docs can't clash with those used here
+    doc_id, source, text = (f"_{names.index(c)}" for c in ("doc_id", "source", "text"))
+    sized = plain.withColumn("__size", word_count(F.col(text)))
+    targets = written(source_targets(sized.select(F.col(source).alias("source"), F.col("__size").alias("size")), weights, cap), "targets")
+    taken = copies(sized, targets, seed, doc_id, source, "__size").where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*plain.columns).toDF(*names)
 
 
 #: The whole mix in DuckDB SQL; {stratum} rows to a stratum.
