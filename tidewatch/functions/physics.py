@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewatch.functions.geo import axial_difference_deg
+from tidewatch.functions.geo import axial_difference_deg, round_to
 
 # Wind window (m/s), gates, weights of the logistic score, confidence points.
 WIND_WINDOW = (2.0, 3.5, 7.5, 12.0)
@@ -160,3 +160,12 @@ def db_to_linear(db: Column) -> Column:
 
 def linear_to_db(x: Column) -> Column:
     return 10.0 * F.log10(F.greatest(x, F.lit(1e-12)))
+
+
+def evidence_text(failed: Column, rejected: Column, shape: Column, wind: Column, area_km2: Column, p_oil: Column) -> Column:
+    """A sentence on why a region was taken for oil or not; `failed` is its gate."""
+    wind, area_km2, p_oil = round_to(wind, 1), round_to(area_km2, 1), round_to(p_oil, 2)
+    return (
+        F.when(failed == "wind_too_low", F.format_string("wind %.1f m/s is below what makes oil visible", wind)).when(failed == "wind_too_high", F.format_string("wind %.1f m/s mixes oil away", wind))
+        .when(failed.isNotNull(), F.replace(failed, F.lit("_"), F.lit(" "))).when(rejected, F.format_string("likely a look-alike (p %.2f)", p_oil)).otherwise(F.format_string("%s slick of %.1f km2, p %.2f", shape, area_km2, p_oil))
+    )

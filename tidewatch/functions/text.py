@@ -87,3 +87,11 @@ def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     sides = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     crossed = F.filter(sides, lambda s: ((s["a"]["lat"] > lat) != (s["b"]["lat"] > lat)) & (lon < (s["b"]["lon"] - s["a"]["lon"]) * (lat - s["a"]["lat"]) / (s["b"]["lat"] - s["a"]["lat"]) + s["a"]["lon"]))
     return F.size(crossed) % 2 == 1
+
+
+def vertex_centroid(ring: Column) -> Column:
+    """struct(lon, lat): the mean of a ring's corners; a closing point that repeats the first doesn't count."""
+    closed = (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
+    corners = F.when(closed, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+    mean = lambda x: F.aggregate(corners, F.lit(0.0), lambda a, p: a + p[x]) / F.size(corners)
+    return F.struct(mean("lon").alias("lon"), mean("lat").alias("lat"))

@@ -1,11 +1,16 @@
-"""Particle drift: analytic and gridded velocity fields, fourth-order steps back and forth in time."""
+"""Particle drift: analytic and gridded velocity fields, fourth-order steps back and forth in time.
+
+A candidate's particles are a cloud of bounded size that lives in one numpy kernel, fed by Arrow batches of candidates:
+rows of candidates go in, rows of candidates come out, no particle is ever shuffled.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +18,13 @@ from tidewatch.functions.geo import haversine_km
 
 LEEWAY = 0.03
 M_PER_DEGREE_LAT, M_PER_DEGREE_LON = 110_574.0, 111_320.0
+# Km of model error an hour; hours beyond which an origin is a blur, a forecast unreliable, or refused.
+ERROR_KM_PER_HOUR = 0.9
+ORIGIN_HOURS, FORECAST_HOURS, LAST_HOURS = 24.0, 48.0, 72.0
+#: Particles that a kernel moves at a time.
+PARTICLES_AT_ONCE = 1 << 15
+
+Field = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def toward(speed: float, direction_deg: float) -> tuple[float, float]:
@@ -25,41 +37,194 @@ def leeway(speed: float, from_deg: float, blown_from: bool = True) -> tuple[floa
     return toward(speed * LEEWAY, from_deg + 180.0 if blown_from else from_deg)
 
 
-def rotating_field(lon: Column, lat: Column, hours: Column) -> tuple[Column, Column]:
+def rotating_field(lon: np.ndarray, lat: np.ndarray, hours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A base current with an eddy and a tide of 12.42 hours."""
     k = 2 * np.pi / 0.6
-    tide = 0.12 * F.cos(2 * np.pi * hours / 12.42)
-    return 0.25 + 0.18 * F.sin(k * lat) + tide, -0.10 - 0.18 * F.sin(k * lon)
+    return 0.18 * np.sin(k * lat) + (0.25 + 0.12 * np.cos(2 * np.pi / 12.42 * hours)), -0.10 - 0.18 * np.sin(k * lon)
 
 
-def _step(state: Column, dt: float, u0: float, v0: float, eddy: bool) -> Column:
-    """One fourth-order step of struct(lon, lat, hours)."""
+def _velocity(u0: float | np.ndarray, v0: float | np.ndarray, eddy: bool) -> Field:
+    """Current plus a constant part, such as wind drift."""
+    if not eddy:
+        return lambda lon, lat, hours: (u0 + np.zeros_like(lon), v0 + np.zeros_like(lat))
 
-    def velocity(lon: Column, lat: Column, hours: Column) -> tuple[Column, Column]:
-        if not eddy:
-            return F.lit(u0), F.lit(v0)
+    def both(lon: np.ndarray, lat: np.ndarray, hours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         u, v = rotating_field(lon, lat, hours)
-        return u + u0, v + v0
+        u += u0
+        v += v0
+        return u, v
+
+    return both
 
-    def moved(u: Column, v: Column, share: float) -> tuple[Column, Column]:
-        return state["lon"] + u * (dt * share) / (M_PER_DEGREE_LON * F.cos(F.radians(state["lat"]))), state["lat"] + v * (dt * share / M_PER_DEGREE_LAT)
 
-    t = state["hours"]
-    k1 = velocity(state["lon"], state["lat"], t)
-    k2 = velocity(*moved(*k1, 0.5), t + dt / 7200.0)
-    k3 = velocity(*moved(*k2, 0.5), t + dt / 7200.0)
-    k4 = velocity(*moved(*k3, 1.0), t + dt / 3600.0)
-    u, v = ((k1[i] + 2.0 * k2[i] + 2.0 * k3[i] + k4[i]) / 6.0 for i in (0, 1))
-    lon, lat = moved(u, v, 1.0)
-    return F.struct(lon.alias("lon"), lat.alias("lat"), (t + dt / 3600.0).alias("hours"))
+def moved(lon: np.ndarray, lat: np.ndarray, east_m: np.ndarray, north_m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return lon + east_m / (M_PER_DEGREE_LON * np.cos(np.radians(lat))), lat + north_m / M_PER_DEGREE_LAT
+
+
+def rk4(lon: np.ndarray, lat: np.ndarray, hours: np.ndarray, dt: float | np.ndarray, velocity: Field) -> tuple[np.ndarray, np.ndarray]:
+    """One fourth-order step of dt seconds, back in time if dt is negative; hours and dt may be one for each row of particles."""
+    across, along = dt / (M_PER_DEGREE_LON * np.cos(np.radians(lat))), dt / M_PER_DEGREE_LAT
+    u, v = velocity(lon, lat, hours)
+    u1, v1 = velocity(lon + u * (across * 0.5), lat + v * (along * 0.5), hours + dt / 7200.0)
+    u2, v2 = velocity(lon + u1 * (across * 0.5), lat + v1 * (along * 0.5), hours + dt / 7200.0)
+    u3, v3 = velocity(lon + u2 * across, lat + v2 * along, hours + dt / 3600.0)
+    return lon + (u + 2 * (u1 + u2) + u3) * (across / 6), lat + (v + 2 * (v1 + v2) + v3) * (along / 6)
 
 
 def advect(particles: DataFrame, hours: float, dt: float, u0: float = 0.0, v0: float = 0.0, eddy: bool = False) -> DataFrame:
-    """Move particles (lon, lat, hours: time in hours) by `hours` in steps of dt seconds; negative dt goes back in time."""
+    """Move particles (lon, lat, hours: time in hours) by `hours` in steps of dt seconds; negative dt goes back in time.
+
+    Other columns and the order of columns stay.
+    """
     steps = round(hours * 3600 / abs(dt))
-    start = F.struct(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("hours").cast("double").alias("hours"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, _: _step(s, dt, u0, v0, eddy)) if steps else start
-    return particles.withColumn("__end", end).withColumns({c: F.col("__end")[c] for c in ("lon", "lat", "hours")}).drop("__end")
+    velocity = _velocity(u0, v0, eddy)
+    typed = particles.withColumns({c: F.col(c).cast("double") for c in ("lon", "lat", "hours")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lon, lat, t = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lon", "lat", "hours"))
+            for _ in range(steps):
+                lon, lat = rk4(lon, lat, t, dt, velocity)
+                t = t + dt / 3600.0
+            new = {"lon": lon, "lat": lat, "hours": t}
+            yield pa.RecordBatch.from_arrays([pa.array(new[c], from_pandas=True) if c in new else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    return typed.mapInArrow(run, typed.schema)
+
+
+def sample_polygon(ring: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n points spread evenly in a simple polygon (k x 2), by rejection from its box: at most 200 n attempts.
+
+    A ring that takes no point, or has fewer than three corners, is an error.
+    """
+    if len(ring) < 3:
+        raise ValueError("a polygon needs three corners")
+    low, high = ring.min(axis=0), ring.max(axis=0)
+    (x0, y0), (x1, y1) = ring.T, np.roll(ring, -1, axis=0).T
+    found, left = [], 200 * n
+    while left > 0 and sum(map(len, found)) < n:
+        p = low + rng.random((min(2 * n, left), 2)) * (high - low)
+        left -= len(p)
+        x, y = p[:, :1], p[:, 1:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crossed = ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+        found.append(p[crossed.sum(axis=1) % 2 == 1])
+    points = np.concatenate(found)[:n] if found else np.zeros((0, 2))
+    if not len(points):
+        raise ValueError("no particle falls into the polygon")
+    return points
+
+
+def generator(candidate_id: int, salt: int = 0) -> np.random.Generator:
+    """A candidate's own random numbers, whatever rows it meets in a batch."""
+    return np.random.Generator(np.random.Philox(key=[candidate_id & 0xFFFFFFFFFFFFFFFF, salt]))
+
+
+def spread_of(lon: np.ndarray, lat: np.ndarray) -> tuple[float, float, float]:
+    """Centre of a cloud and the radius in km that holds 68 % of it."""
+    a, b = lon.mean(), lat.mean()
+    h = np.sin(np.radians(lat - b) / 2) ** 2 + np.cos(np.radians(b)) * np.cos(np.radians(lat)) * np.sin(np.radians(lon - a) / 2) ** 2
+    return float(a), float(b), float(np.percentile(2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1.0, h))), 68))
+
+
+CLOUD = "candidate_id long, centre_lon double, centre_lat double, spread_km double, particles long, uncertainty_km double, reliable boolean, wkt string, problem string, track array<struct<hours:double,lon:double,lat:double,spread_km:double>>"
+
+NAMES = ["candidate_id", "centre_lon", "centre_lat", "spread_km", "particles", "uncertainty_km", "reliable", "wkt", "problem", "track"]
+
+
+def drift_clouds(candidates: DataFrame, hours: Column | float, dt: float, n: int = 500, diffusion: float = 5.0, eddy: bool = True, u0: float = 0.0, v0: float = 0.0, track: bool = False, hull: bool = True) -> DataFrame:
+    """Seed n particles in each candidate's polygon, move them `hours` on (back, if negative), and sum the cloud up.
+
+    candidates: candidate_id, ring (array of struct lon, lat), at (time in hours), and if there are such columns wind_u,
+    wind_v (m/s): LEEWAY of them is added to the current. Horizontal diffusion (m2/s) is a random walk of sqrt(2 K dt)
+    m a step. The uncertainty adds ERROR_KM_PER_HOUR of the way to the spread. A forecast beyond LAST_HOURS is refused:
+    the cloud stays and isn't reliable, nor is one beyond FORECAST_HOURS, or an origin beyond ORIGIN_HOURS or 50 km.
+    A candidate whose ring takes no particle has nulls and the problem. track: the cloud's centre and spread after each
+    step, from the observation on; hull: its convex hull as WKT; null otherwise.
+    """
+    wind = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in candidates.columns else F.lit(0.0).alias(c) for c in ("wind_u", "wind_v")]
+    far = F.lit(float(hours)) if isinstance(hours, int | float) else hours.cast("double")
+    rows = candidates.select("candidate_id", "ring", F.col("at").cast("double").alias("at"), far.alias("hours"), *wind)
+
+    def cloud_rows(some: list[dict]) -> Iterator[tuple]:
+        seeded, made = [], {}
+        for k, r in enumerate(some):
+            rng = generator(r["candidate_id"])
+            try:
+                seeded.append((k, sample_polygon(np.array([(p["lon"], p["lat"]) for p in r["ring"] or []], float).reshape(-1, 2), n, rng), rng))
+            except ValueError as e:
+                made[k] = (r["candidate_id"], None, None, None, 0, None, False, None, str(e), None)
+        # the longest way first, so that those under way at a step are the first rows
+        way = {k: some[k]["hours"] if some[k]["hours"] is not None and some[k]["hours"] <= LAST_HOURS else 0.0 for k, _, _ in seeded}
+        steps = {k: max(1, round(abs(h) * 3600 / abs(dt))) if h else 0 for k, h in way.items()}
+        seeded.sort(key=lambda x: -steps[x[0]])
+        each = lambda values: np.array(values, float)[:, None]
+        cloud_of = np.zeros((2, len(seeded), n))
+        for row, (_, points, _) in enumerate(seeded):
+            cloud_of[:, row, : len(points)] = points.T
+        lon, lat = cloud_of
+        tracks: dict[int, list[dict]] = {k: [] for k, _, _ in seeded}
+
+        def note(step: int, rows_of: int) -> None:
+            for row, (k, points, _) in enumerate(seeded[:rows_of] if track else []):
+                x, y, spread = spread_of(lon[row, : len(points)], lat[row, : len(points)])
+                tracks[k].append({"hours": step * float(np.sign(way[k])) * abs(dt) / 3600.0, "lon": x, "lat": y, "spread_km": spread})
+
+        note(0, len(seeded))
+        if seeded:
+            sign, t = each([np.sign(way[k]) for k, _, _ in seeded]), each([some[k]["at"] or 0.0 for k, _, _ in seeded])
+            u, v = each([u0 + LEEWAY * some[k]["wind_u"] for k, _, _ in seeded]), each([v0 + LEEWAY * some[k]["wind_v"] for k, _, _ in seeded])
+            walk = np.sqrt(2 * diffusion * abs(dt))
+            for step in range(steps[seeded[0][0]]):
+                m = sum(steps[k] > step for k, _, _ in seeded)
+                d = sign[:m] * abs(dt)
+                lon[:m], lat[:m] = rk4(lon[:m], lat[:m], t[:m], d, _velocity(u[:m], v[:m], eddy))
+                t[:m] += d / 3600.0
+                if diffusion > 0:
+                    shaken = np.stack([rng.standard_normal((2, n)) for _, _, rng in seeded[:m]], axis=1) * walk
+                    lon[:m], lat[:m] = moved(lon[:m], lat[:m], *shaken)
+                note(step + 1, m)
+        for row, (k, points, _) in enumerate(seeded):
+            x, y, asked = lon[row, : len(points)], lat[row, : len(points)], some[k]["hours"]
+            a, b, spread = spread_of(x, y)
+            unsure = float(np.hypot(spread, ERROR_KM_PER_HOUR * abs(way[k])))
+            good = asked is not None and (unsure <= 50.0 and -asked <= ORIGIN_HOURS if asked < 0 else asked <= FORECAST_HOURS)
+            problem = "too old for a forecast" if asked is not None and asked > LAST_HOURS else None
+            made[k] = (some[k]["candidate_id"], a, b, spread, len(points), unsure, good, hull_wkt(np.stack([x, y], axis=1)) if hull else None, problem, tracks[k] if track else None)
+        yield from (made[k] for k in range(len(some)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_once = max(1, PARTICLES_AT_ONCE // n)
+        for batch in batches:
+            for a in range(0, batch.num_rows, at_once):
+                cols = list(zip(*cloud_rows(batch.slice(a, at_once).to_pylist()), strict=True))
+                types = (pa.int64(), *[pa.float64()] * 3, pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.struct([(x, pa.float64()) for x in ("hours", "lon", "lat", "spread_km")])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], NAMES)
+
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks).mapInArrow(run, CLOUD)  # a row is small, its particles take milliseconds
+
+
+def forecast_state(hours: Column) -> Column:
+    """What a forecast over so many hours is worth: not in the past, refused, unreliable, reliable."""
+    return F.when(hours <= 0, "not in the past").when(hours > LAST_HOURS, "refused").when(hours > FORECAST_HOURS, "unreliable").otherwise("reliable")
+
+
+def origin_reliable(hours: Column, uncertainty_km: Column) -> Column:
+    return (hours <= ORIGIN_HOURS) & (uncertainty_km <= 50.0)
+
+
+def ellipse(lon: Column, lat: Column, area_km2: Column, elongation: Column, axis_deg: Column, corners: int = 16) -> Column:
+    """The ring of an ellipse of a slick's area and elongation, its long axis toward axis_deg: array<struct<lon, lat>>."""
+    half = F.sqrt(area_km2 / np.pi / F.greatest(elongation, F.lit(1.0))) * 1000.0
+    along, turn = half * F.greatest(elongation, F.lit(1.0)), F.radians(axis_deg)
+
+    def corner(k: int) -> Column:
+        a, b = float(np.cos(2 * np.pi * k / corners)) * along, float(np.sin(2 * np.pi * k / corners)) * half
+        east, north = a * F.sin(turn) + b * F.cos(turn), a * F.cos(turn) - b * F.sin(turn)
+        return F.struct((lon + east / (M_PER_DEGREE_LON * F.cos(F.radians(lat)))).alias("lon"), (lat + north / M_PER_DEGREE_LAT).alias("lat"))
+
+    return F.array(*(corner(k) for k in range(corners)))
 
 
 def seed(candidates: DataFrame, n: int, radius_km: float) -> DataFrame:
@@ -80,72 +245,92 @@ def cloud(particles: DataFrame, key: str = "candidate_id") -> DataFrame:
 def backtrack(particles: DataFrame, hours: float, dt: float, **field) -> DataFrame:
     """Origin of each candidate: the cloud after drifting back, with the error that grows 0.9 km an hour added."""
     origin = cloud(advect(particles, hours, -abs(dt), **field))
-    unsure = F.sqrt(F.col("spread_km") * F.col("spread_km") + F.lit((0.9 * hours) ** 2))
-    return origin.withColumn("uncertainty_km", unsure).withColumn("reliable", F.lit(hours <= 24) & (F.col("uncertainty_km") <= 50.0))
+    unsure = F.sqrt(F.col("spread_km") * F.col("spread_km") + F.lit((ERROR_KM_PER_HOUR * hours) ** 2))
+    return origin.withColumn("uncertainty_km", unsure).withColumn("reliable", F.lit(hours <= ORIGIN_HOURS) & (F.col("uncertainty_km") <= 50.0))
+
+
+#: Particles that meet the field's cells of one tile in one task.
+TILE_PARTICLES, TILE_CELLS = 50_000, 32
 
 
 def advect_grid(particles: DataFrame, grid: DataFrame, lon0: float, lat0: float, step: float, hours: float, dt: float) -> DataFrame:
-    """Particles of each candidate through a gridded steady field (i, j, u, v): one candidate is one group.
+    """Particles (candidate_id, pid, lon, lat) through a gridded steady field (i, j, u, v): the same, moved, and parked.
 
-    Particles that leave the grid stay where they left it, and say so. A candidate's particles and the cells within
-    its reach meet by candidate, so no task holds the whole grid.
+    Particles that leave the grid stay where they left it, and say so. Particles of a tile of the grid meet its cells and
+    those within reach around it (3 m/s at most); a tile with many particles is dealt to several tasks, each with a copy
+    of those cells.
     """
-    reach = abs(hours) * 3600 * 3.0 / M_PER_DEGREE_LAT / step + 2  # 3 m/s at most
-    box = particles.groupBy("candidate_id").agg(*(f(x).alias(f"{n}_{x}") for n, f in (("lo", F.min), ("hi", F.max)) for x in ("lon", "lat")))
-    i, j = F.floor((F.col("lo_lon") - lon0) / step - reach), F.floor((F.col("lo_lat") - lat0) / step - reach)
-    wanted = box.withColumn("i", F.explode(F.sequence(i, F.floor((F.col("hi_lon") - lon0) / step + reach)))).withColumn("j", F.explode(F.sequence(j, F.floor((F.col("hi_lat") - lat0) / step + reach))))
-    cells = wanted.select(F.col("candidate_id").alias("of"), "i", "j").join(grid, ["i", "j"])
+    reach = int(np.ceil(abs(hours) * 3600 * 3.0 / M_PER_DEGREE_LAT / step)) + 2
+    tile = lambda x, origin: F.floor((F.col(x) - origin) / step / TILE_CELLS)
+    tiled = particles.select("candidate_id", "pid", "lon", "lat").withColumns({"ti": tile("lon", lon0), "tj": tile("lat", lat0)})
+    shares = tiled.groupBy("ti", "tj").agg(F.ceil(F.count("*") / TILE_PARTICLES).alias("shares"))
+    dealt = tiled.join(shares, ["ti", "tj"]).withColumn("share", F.pmod(F.xxhash64("candidate_id", "pid"), F.col("shares"))).drop("shares")
+    around = lambda x: F.sequence(F.floor((F.col(x) - reach) / TILE_CELLS), F.floor((F.col(x) + reach) / TILE_CELLS))
+    cells = grid.withColumn("ti", F.explode(around("i"))).withColumn("tj", F.explode(around("j"))).join(shares, ["ti", "tj"])
+    cells = cells.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select("ti", "tj", "share", "i", "j", "u", "v")
 
     def run(key: tuple, points: pd.DataFrame, field: pd.DataFrame) -> pd.DataFrame:
-        known = {(a, b): (u, v) for a, b, u, v in zip(field["i"], field["j"], field["u"], field["v"], strict=True)}
-        nan = (np.nan, np.nan)
-
-        def velocity(p: np.ndarray) -> np.ndarray:
-            x, y = (p[:, 0] - lon0) / step, (p[:, 1] - lat0) / step
-            i0, j0 = np.floor(x).astype(int), np.floor(y).astype(int)
-            fx, fy = (x - i0)[:, None], (y - j0)[:, None]
-            at = lambda di, dj: np.array([known.get((a + di, b + dj), nan) for a, b in zip(i0, j0, strict=True)])
-            return (1 - fx) * ((1 - fy) * at(0, 0) + fy * at(0, 1)) + fx * ((1 - fy) * at(1, 0) + fy * at(1, 1))
-
-        p = points[["lon", "lat"]].to_numpy(float)
-        parked = np.zeros(len(p), dtype=bool)
+        i, j = field["i"].to_numpy(), field["j"].to_numpy()
+        i_low, j_low = (i.min(), j.min()) if len(i) else (0, 0)
+        table = np.full((2, i.max() - i_low + 3, j.max() - j_low + 3) if len(i) else (2, 2, 2), np.nan)  # nothing beyond the last cells
+        table[:, i - i_low, j - j_low] = field["u"], field["v"]
+
+        def velocity(lon: np.ndarray, lat: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            x, y = (lon - lon0) / step - i_low, (lat - lat0) / step - j_low
+            a, b = np.floor(x), np.floor(y)
+            inside = (a >= 0) & (b >= 0) & (a < table.shape[1] - 1) & (b < table.shape[2] - 1)
+            a, b = np.where(inside, a, table.shape[1] - 2).astype(int), np.where(inside, b, table.shape[2] - 2).astype(int)
+            fx, fy = x - a, y - b
+            at = lambda di, dj: table[:, a + di, b + dj]
+            u, v = (1 - fx) * ((1 - fy) * at(0, 0) + fy * at(0, 1)) + fx * ((1 - fy) * at(1, 0) + fy * at(1, 1))
+            return np.where(inside, u, np.nan), np.where(inside, v, np.nan)
+
+        lon, lat = points["lon"].to_numpy(float), points["lat"].to_numpy(float)
+        parked, still = np.zeros(len(lon), dtype=bool), np.zeros(len(lon))
         for _ in range(round(abs(hours) * 3600 / abs(dt))):
-            scale = np.stack([dt / (M_PER_DEGREE_LON * np.cos(np.radians(p[:, 1]))), np.full(len(p), dt / M_PER_DEGREE_LAT)], axis=1)
-            k1 = velocity(p)
-            k2 = velocity(p + k1 * scale / 2)
-            k3 = velocity(p + k2 * scale / 2)
-            moved = p + (k1 + 2 * k2 + 2 * k3 + velocity(p + k3 * scale)) * scale / 6
-            parked |= np.isnan(moved).any(axis=1)
-            p = np.where(parked[:, None], p, moved)
-        return points.assign(lon=p[:, 0], lat=p[:, 1], parked=parked)[["candidate_id", "pid", "lon", "lat", "parked"]]
+            x, y = rk4(lon, lat, still, dt, velocity)
+            parked |= np.isnan(x) | np.isnan(y)
+            lon, lat = np.where(parked, lon, x), np.where(parked, lat, y)
+        return points.assign(lon=lon, lat=lat, parked=parked)[["candidate_id", "pid", "lon", "lat", "parked"]]
 
-    grouped = particles.select("candidate_id", "pid", "lon", "lat").groupBy("candidate_id")
-    return grouped.cogroup(cells.groupBy("of")).applyInPandas(run, "candidate_id long, pid int, lon double, lat double, parked boolean")
+    keys = ("ti", "tj", "share")
+    return dealt.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(run, "candidate_id long, pid int, lon double, lat double, parked boolean")
 
 
-def hulls(particles: DataFrame) -> DataFrame:
-    """Convex hull of each candidate's particles as WKT; a candidate's particles are bounded by the seeding."""
+def _outer(points: np.ndarray) -> np.ndarray:
+    """The points that don't lie inside the octagon of the extreme ones, which can't be on the hull."""
+    if len(points) < 20:
+        return points
+    x, y = points.T
+    corner = points[[x.argmin(), (x + y).argmin(), y.argmin(), (y - x).argmin(), x.argmax(), (x + y).argmax(), y.argmax(), (x - y).argmin()]]
+    side = np.roll(corner, -1, axis=0) - corner
+    left = side[:, :1] * (y - corner[:, 1:]) - side[:, 1:] * (x - corner[:, :1])
+    real = (side != 0).any(axis=1)
+    return points[~(left[real] > 0).all(axis=0)]
 
-    def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-        points = sorted(set(points))
 
-        def chain(ordered: list) -> list:
-            out: list = []
-            for p in ordered:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(p)
-            return out[:-1]
+def hull_wkt(points: np.ndarray) -> str:
+    """Convex hull of points (n x 2) as WKT, by monotone chains."""
+    ordered = sorted({(float(x), float(y)) for x, y in _outer(points)})
 
-        return chain(points) + chain(points[::-1]) if len(points) > 2 else points
+    def chain(some: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
+        for p in some:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    h = chain(ordered) + chain(ordered[::-1]) if len(ordered) > 2 else ordered
+    return "POLYGON ((" + ", ".join(f"{x:.6f} {y:.6f}" for x, y in [*h, h[0]]) + "))" if len(h) > 2 else "POLYGON EMPTY"
+
+
+def hulls(particles: DataFrame) -> DataFrame:
+    """Convex hull of each candidate's particles as WKT; a candidate's particles are bounded by the seeding."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            made = []
-            for ring in pdf["points"]:
-                h = hull([(p["lon"], p["lat"]) for p in ring])
-                made.append("POLYGON ((" + ", ".join(f"{x:.6f} {y:.6f}" for x, y in [*h, h[0]]) + "))" if len(h) > 2 else "POLYGON EMPTY")
-            yield pdf[["candidate_id"]].assign(wkt=made)
+            yield pdf[["candidate_id"]].assign(wkt=[hull_wkt(np.array([(p["lon"], p["lat"]) for p in ring], float).reshape(-1, 2)) for ring in pdf["points"]])
 
     rings = particles.groupBy("candidate_id").agg(F.collect_list(F.struct("lon", "lat")).alias("points"))
     return rings.mapInPandas(run, "candidate_id long, wkt string")

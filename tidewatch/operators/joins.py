@@ -1,4 +1,4 @@
-"""Joins by place and time: grid buckets for ranges, as-of, brackets."""
+"""Joins by place and time: grid cells for ranges, as-of, brackets."""
 
 from __future__ import annotations
 
@@ -7,40 +7,48 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import physics
 from tidewatch.functions.geo import haversine_km
+from tidewatch.operators import cells
 
+#: Radii of known incidents lie between these powers of two of a km: 30 km to 250 km.
+_RADII = (5, 8)
+DAYS_BEFORE, DAYS_AFTER = 2, 14
+#: A vessel's nearest fix counts up to here, and up to so many times the origin's uncertainty (beyond, its score is below 1e-6).
+SEARCH_KM, SIGMAS = 50.0, 5.26
 
-def near_cells(lon: Column, lat: Column, degrees: float) -> Column:
-    """The 3 x 3 grid cells around a point, as array<struct<cx, cy>>."""
-    cx, cy = F.floor(lon / degrees), F.floor(lat / degrees)
-    return F.array(*(F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
 
-
-def range_join_bucketed(points: DataFrame, targets: DataFrame, degrees: float) -> DataFrame:
-    """Pairs of rows in the same or neighbouring grid cells, by an equi-join; targets have target_lon, target_lat.
-
-    Points are taken nine times, targets once. Callers add the exact distance.
-    """
-    spread = points.withColumn("cell", F.explode(near_cells(F.col("lon"), F.col("lat"), degrees)))
-    placed = targets.withColumns({"cx": F.floor(F.col("target_lon") / degrees), "cy": F.floor(F.col("target_lat") / degrees)})
-    return spread.join(placed, (F.col("cell.cx") == F.col("cx")) & (F.col("cell.cy") == F.col("cy"))).drop("cell", "cx", "cy")
-
-
-def corroborate(slicks: DataFrame, incidents: DataFrame, degrees: float = 5.0, base_km: float = 30.0) -> DataFrame:
-    """Documented incidents that could explain a slick: candidate_id, incident_id, km, days, confidence.
+def corroborate(slicks: DataFrame, incidents: DataFrame, base_km: float = 30.0) -> DataFrame:
+    """Documented incidents that could explain a slick: candidate_id, incident_id, km, days, persistent, natural_seep, confidence.
 
     slicks: candidate_id, lon, lat, observed; incidents: incident_id, lon, lat, occurred (null: undated), persistent,
-    duration_days.
+    duration_days and, if known, natural_seep. A dated incident's radius grows with the days since, so it is placed for each day on
+    which it may still be seen, by that day's radius; the others once, for any day.
     """
-    target = incidents.withColumnsRenamed({"lon": "target_lon", "lat": "target_lat"})
-    pairs = range_join_bucketed(slicks.select("candidate_id", "lon", "lat", "observed"), target, degrees)
-    km = haversine_km(F.col("lon"), F.col("lat"), F.col("target_lon"), F.col("target_lat"))
+    end = DAYS_AFTER + F.col("duration_days")
+    seep = F.coalesce("natural_seep", F.lit(False)) if "natural_seep" in incidents.columns else F.lit(False)
+    incidents = incidents.withColumns({"persistent": F.coalesce("persistent", F.lit(False)), "natural_seep": seep})
+    timed = incidents.where("occurred IS NOT NULL AND NOT persistent")
+    day = F.explode(F.sequence(F.to_date(F.col("occurred") - _hours(24.0 * DAYS_BEFORE)), F.date_add(F.to_date("occurred"), F.ceil(end).cast("int") + 1)))
+    until = F.timestamp_diff("MICROSECOND", F.col("occurred"), F.date_add("__day", 1).cast("timestamp_ntz")) / 86400e6  # the day's latest moment
+    by_day = cells.place_targets(timed.withColumn("__day", day), physics.corroboration_radius_km(until, base_km), *_RADII).withColumn("__slot", F.datediff("__day", F.lit("1970-01-01"))).drop("__day")
+    always = cells.place_targets(incidents.where("occurred IS NULL OR persistent"), _steady_radius(base_km), *_RADII).withColumn("__slot", F.lit(-1_000_000))
+    targets = by_day.unionByName(always).withColumnsRenamed({"lon": "target_lon", "lat": "target_lat"})
+    seen = slicks.select("candidate_id", "lon", "lat", "observed")
+    placed = cells.place_points(seen, cells.levels(*_RADII)).withColumn("__slot", F.explode(F.array(F.datediff("observed", F.lit("1970-01-01")), F.lit(-1_000_000))))
+    pairs = cells.meet(placed, targets, "__slot")
     days = F.when(~F.col("persistent"), F.timestamp_diff("MICROSECOND", F.col("occurred"), F.col("observed")) / 86400e6)
-    placed = pairs.withColumns({"km": km, "days": days}).where("days IS NULL OR (days >= -2 AND days <= 14 + duration_days)")
-    radius = F.when(F.col("days").isNotNull(), physics.corroboration_radius_km(F.col("days"), base_km)).when(F.col("persistent"), max(base_km, 100.0)).otherwise(base_km)
+    in_time = pairs.withColumn("days", days).where(F.col("days").isNull() | ((F.col("days") >= -DAYS_BEFORE) & (F.col("days") <= end)))
+    radius = F.when(F.col("days").isNotNull(), physics.corroboration_radius_km(F.col("days"), base_km)).otherwise(_steady_radius(base_km))
+    km = haversine_km(F.col("lon"), F.col("lat"), F.col("target_lon"), F.col("target_lat"))
+    ringed = in_time.withColumn("radius", radius).where(F.abs(F.col("lat") - F.col("target_lat")) <= F.col("radius") / cells.KM_PER_DEGREE + 1e-9)
+    near = ringed.withColumn("km", km).where("km <= radius")
     fresh = F.when(F.col("days").isNotNull(), F.exp(-F.greatest(F.col("days") - F.col("duration_days"), F.lit(0.0)) / 7.0)).when(F.col("persistent"), 1.0).otherwise(0.4)
-    near = placed.withColumn("radius", radius).where("km <= radius")
     score = 0.6 * F.greatest(F.lit(0.0), 1.0 - F.col("km") / F.col("radius")) + 0.4 * fresh
-    return near.select("candidate_id", "incident_id", "km", "days", "persistent", score.alias("confidence"))
+    return near.select("candidate_id", "incident_id", "km", "days", "persistent", "natural_seep", score.alias("confidence"))
+
+
+def _steady_radius(base_km: float) -> Column:
+    """The radius of persistent and of undated incidents."""
+    return F.when(F.col("persistent"), F.lit(max(base_km, 100.0))).otherwise(F.lit(base_km))
 
 
 def top_matches(matches: DataFrame, n: int = 3) -> DataFrame:
@@ -59,20 +67,26 @@ def match_known_source(points: DataFrame, catalogue: DataFrame) -> DataFrame:
     return got.withColumns({"source_name": F.col("__near.name"), "source_kind": F.col("__near.kind"), "source_km": F.col("__near.km")}).drop("__all", "__near")
 
 
-def closest_approach(origins: DataFrame, positions: DataFrame, hours_before: float, hours_after: float) -> DataFrame:
-    """For each origin and vessel with fixes from hours_before to hours_after around the release: the nearest fix.
+def closest_approach(origins: DataFrame, positions: DataFrame, hours_before: float, hours_after: float, reach_km: Column | float = SEARCH_KM) -> DataFrame:
+    """For each origin and vessel with fixes within reach_km, hours_before to hours_after around the release: the nearest fix.
 
-    origins: candidate_id, lon, lat, release. An equi-join on the days that the window touches stands for the interval.
+    origins: candidate_id, lon, lat, release and what reach_km (at most SEARCH_KM) refers to. Origins meet fixes by cell and
+    by stretch of hours.
     """
+    hours = max(1, round((hours_before + hours_after) / 2))
     first, last = F.col("release") - _hours(hours_before), F.col("release") + _hours(hours_after)
-    days = F.sequence(F.to_date(first), F.to_date(last))
-    spread = origins.select("candidate_id", F.col("lon").alias("origin_lon"), F.col("lat").alias("origin_lat"), "release", first.alias("first"), last.alias("last"), F.explode(days).alias("day"))
-    fixes = positions.select("mmsi", "ts", "event_id", "lon", "lat", F.to_date("ts").alias("day"))
-    pairs = spread.join(fixes, "day").where("ts >= first AND ts <= last")
+    reach = F.lit(reach_km) if isinstance(reach_km, int | float) else reach_km
+    aimed = origins.withColumn("__reach_km", reach).select("candidate_id", F.col("lon").alias("origin_lon"), F.col("lat").alias("origin_lat"), "release", first.alias("first"), last.alias("last"), "__reach_km")
+    slots = aimed.withColumn("__slot", F.explode(F.sequence(cells.slot(F.col("first"), hours), cells.slot(F.col("last"), hours))))
+    targets = cells.place_targets(slots, F.col("__reach_km"), 3, 6, "origin_lon", "origin_lat")
+    fixes = positions.select("mmsi", "ts", "event_id", "lon", "lat", cells.slot(F.col("ts"), hours).alias("__slot"))
+    pairs = cells.meet(cells.place_points(fixes, cells.levels(3, 6)), targets, "__slot").where("ts >= first AND ts <= last")
+    banded = pairs.where(F.abs(F.col("lat") - F.col("origin_lat")) <= F.col("__reach_km") / cells.KM_PER_DEGREE + 1e-9)
     km = haversine_km(F.col("origin_lon"), F.col("origin_lat"), F.col("lon"), F.col("lat"))
-    hours = F.timestamp_diff("MICROSECOND", F.col("release"), F.col("ts")) / 3600e6
-    near = F.min(F.struct(km.alias("km"), F.col("ts"), F.col("event_id"), hours.alias("hours"))).alias("near")
-    return pairs.groupBy("candidate_id", "mmsi").agg(near).select("candidate_id", "mmsi", "near.km", F.col("near.ts").alias("approach_at"), "near.hours")
+    after = F.timestamp_diff("MICROSECOND", F.col("release"), F.col("ts")) / 3600e6
+    near = F.min(F.struct(F.col("km"), F.col("ts"), F.col("event_id"), after.alias("hours"))).alias("near")
+    met = banded.withColumn("km", km).where(F.col("km") <= F.col("__reach_km")).groupBy("candidate_id", "mmsi").agg(near)
+    return met.select("candidate_id", "mmsi", "near.km", F.col("near.ts").alias("approach_at"), "near.hours")
 
 
 def _hours(n: float) -> Column:
@@ -80,25 +94,44 @@ def _hours(n: float) -> Column:
 
 
 def dark_events(origins: DataFrame, gaps: DataFrame, slack_hours: float = 1.0) -> DataFrame:
-    """Gaps near an origin, with how suspicious each is: near and spanning the release, near only, or far."""
-    days = F.sequence(F.to_date(F.col("gap_start") - _hours(slack_hours)), F.to_date(F.col("gap_end") + _hours(slack_hours)))
-    spread = gaps.withColumn("day", F.explode(days))
-    at = origins.select("candidate_id", F.col("lon").alias("origin_lon"), F.col("lat").alias("origin_lat"), "unc_km", "release", F.to_date("release").alias("day"))
-    spans = (F.col("release") >= F.col("gap_start") - _hours(slack_hours)) & (F.col("release") <= F.col("gap_end") + _hours(slack_hours))
-    pairs = at.join(spread, "day").where(spans)
+    """Gaps near an origin that span its release: candidate_id, mmsi, the gap, km, suspicion.
+
+    Origins meet the middles of gaps by cell and by stretches of six hours that the gap touches.
+    """
+    first, last = F.col("gap_start") - _hours(slack_hours), F.col("gap_end") + _hours(slack_hours)
+    spread = gaps.withColumn("__slot", F.explode(F.sequence(cells.slot(first, 6), cells.slot(last, 6))))
+    tolerance = F.greatest(F.col("unc_km") * 2.0, F.lit(10.0))
+    at = origins.select("candidate_id", F.col("lon").alias("origin_lon"), F.col("lat").alias("origin_lat"), tolerance.alias("tolerance"), "release", cells.slot(F.col("release"), 6).alias("__slot"))
+    targets = cells.place_targets(at, F.col("tolerance"), 4, 7, "origin_lon", "origin_lat")
+    pairs = cells.meet(cells.place_points(spread, cells.levels(4, 7), "mid_lon", "mid_lat"), targets, "__slot").where((F.col("release") >= first) & (F.col("release") <= last))
     km = haversine_km(F.col("origin_lon"), F.col("origin_lat"), F.col("mid_lon"), F.col("mid_lat"))
-    near = pairs.withColumns({"km": km, "tolerance": F.greatest(F.col("unc_km") * 2.0, F.lit(10.0))}).where("km <= tolerance")
+    near = pairs.withColumn("km", km).where("km <= tolerance")
     suspicion = 0.6 * F.greatest(F.lit(0.0), 1.0 - F.col("km") / F.col("tolerance")) + 0.4 * F.least(F.col("minutes") / 240.0, F.lit(1.0))
     return near.select("candidate_id", "mmsi", "gap_start", "gap_end", "minutes", "knots", "km", F.least(suspicion, F.lit(1.0)).alias("suspicion"))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], id_col: str) -> DataFrame:
-    """For each left row the right row of the same key and day nearest in time, the earlier of two; days don't mix."""
-    day = lambda c: F.to_date(c)
-    pairs = left.withColumn("__day", day(left_time)).join(right.withColumn("__day", day(right_time)).withColumnRenamed(right_time, "__ts"), [key, "__day"])
-    apart = F.abs(F.timestamp_diff("MICROSECOND", F.col("__ts"), F.col(left_time)))
-    best = F.min_by(F.struct("__ts", *values), F.struct(apart.alias("apart"), F.col("__ts"))).alias("best")
-    return pairs.groupBy(id_col).agg(best).select(id_col, F.col("best.__ts").alias("matched_at"), *(f"best.{v}" for v in values))
+    """For each left row the right row of the same key and day nearest in time: id_col, matched_at and `values`; days don't mix.
+
+    The earlier of two rows as near, of rows at one time the one with the least values. Left rows without a match are left
+    out. Both sides run through one sort by time, in which each left row sees the last right row before it and the
+    first one after it; no pairs are made.
+    """
+    payload = F.struct(F.col(right_time).alias("at"), *values)
+    ours = left.select(F.col(key).alias("__key"), F.col(left_time).alias("__ts"), F.lit(1).alias("__left"), F.col(id_col).alias("__id"), F.lit(None).cast(_type(right, payload)).alias("__value"))
+    theirs = right.select(F.col(key).alias("__key"), F.col(right_time).alias("__ts"), F.lit(0).alias("__left"), F.lit(None).cast(_type(left, F.col(id_col))).alias("__id"), payload.alias("__value"))
+    both = ours.unionByName(theirs).withColumn("__day", F.to_date("__ts"))
+    of = Window.partitionBy("__key", "__day")
+    seen = lambda *order: F.last("__value", ignorenulls=True).over(of.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sought = both.withColumn("__before", seen(F.col("__ts"), F.col("__left"), F.col("__value").desc())).withColumn("__after", seen(F.col("__ts").desc(), F.col("__left"), F.col("__value").desc())).where("__left = 1")
+    apart = lambda c: F.abs(F.timestamp_diff("MICROSECOND", F.col(c)["at"], F.col("__ts")))
+    best = F.when(F.col("__before").isNull() | (apart("__after") < apart("__before")), F.col("__after")).otherwise(F.col("__before"))
+    matched = sought.withColumn("__best", best).where("__best IS NOT NULL")
+    return matched.select(F.col("__id").alias(id_col), F.col("__best.at").alias("matched_at"), *(F.col(f"__best.{v}").alias(v) for v in values))
+
+
+def _type(df: DataFrame, x: Column) -> str:
+    return df.select(x.alias("x")).schema["x"].dataType.simpleString()
 
 
 def bilinear(points: DataFrame, grid: DataFrame, lon0: float, lat0: float, step: float) -> DataFrame:

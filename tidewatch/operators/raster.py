@@ -96,6 +96,72 @@ def calibrate(pixels: DataFrame, mode: str, nodata_db: float = -99.0) -> DataFra
     return scaled.withColumns({"db": F.when(v > 0, 10.0 * F.log10(F.greatest(v * v / F.col("__p95"), F.lit(1e-6)))).otherwise(nodata_db), "valid": v > 0}).drop("__p95")
 
 
+def calibrate_by_table(pixels: DataFrame, table: DataFrame, nodata_db: float = -99.0) -> DataFrame:
+    """Amplitudes v to decibels by a calibration table (value): v squared over the square of the table's mean."""
+    a = table.agg(F.avg("value").alias("__a"))  # one row
+    v = F.col("v")
+    scaled = pixels.join(F.broadcast(a))
+    return scaled.withColumns({"db": F.when(v > 0, 10.0 * F.log10(F.greatest(v * v / (F.col("__a") * F.col("__a")), F.lit(1e-6)))).otherwise(nodata_db), "valid": v > 0}).drop("__a")
+
+
+def screen(pixels: DataFrame, land: DataFrame, threshold: float, least_sea: float) -> DataFrame:
+    """(tile, score, kept): tiles of enough sea (land: tile, land) whose darkness reaches the threshold; others score 0."""
+    sea = land.groupBy("tile").agg(F.avg(F.when(F.col("land"), 0.0).otherwise(1.0)).alias("sea"))
+    scored = tile_darkness(pixels).join(sea, "tile")
+    score = F.when(F.col("sea") >= least_sea, F.col("score")).otherwise(0.0)
+    return scored.select("tile", score.alias("score"), ((F.col("sea") >= least_sea) & (F.col("score") >= threshold)).alias("kept"))
+
+
+def screen_stats(screened: DataFrame) -> DataFrame:
+    """One row: kept, total, and the share left out."""
+    return screened.agg(F.count_if("kept").alias("kept"), F.count("*").alias("total")).withColumn("reduction", 1.0 - F.col("kept") / F.greatest(F.col("total"), F.lit(1)))
+
+
+def median_filter(pixels: DataFrame, window: int, size: tuple[int, int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """The median of each window x window neighbourhood, mirrored at the edges: each pixel is sent to those it is near."""
+    k = window // 2
+    spread = mirrored(mirrored(pixels.select(*keys, "r", "c", "db"), "r", k, size[0]).drop("real"), "c", k, size[1]).drop("real")
+    near = lambda x, n: F.explode(F.sequence(F.greatest(F.col(x) - k, F.lit(0)), F.least(F.col(x) + k, F.lit(n - 1))))
+    sent = spread.withColumn("__r", near("r", size[0])).withColumn("__c", near("c", size[1]))
+    return sent.groupBy(*keys, F.col("__r").alias("r"), F.col("__c").alias("c")).agg(F.median("db").alias("db"))
+
+
+def filtered(pixels: DataFrame, method: str, window: int, size: tuple[int, int], keys: tuple[str, ...] = (), looks: float = 4.4) -> DataFrame:
+    """Speckle filter by name: none, lee, refined_lee (square tiles by `tile`) or median."""
+    if method == "none":
+        return pixels
+    if method == "lee":
+        return lee_filter(pixels, window, looks, size, keys)
+    if method == "median":
+        return median_filter(pixels, window, size, keys)
+    if method == "refined_lee" and keys == ("tile",) and size[0] == size[1]:
+        return per_tile(pixels, lambda grid: refined_lee(grid, window, looks), size[0])
+    raise ValueError(f"no such speckle filter here: {method}")
+
+
+def radiometric_land(pixels: DataFrame, bright_db: float = -5.0, window: int = 15, uneven_db: float = 2.5) -> DataFrame:
+    """Pixels (r, c) of one scene that are brighter than the sea and uneven around: land, where no coastline is known."""
+    rows, cols = pixels.agg(F.coalesce(F.max("r") + 1, F.lit(1)), F.coalesce(F.max("c") + 1, F.lit(1))).first()
+    local = local_statistics(pixels.select("r", "c", "db"), "db", window, (rows, cols))
+    return local.where((F.col("db") > bright_db) & (F.sqrt("variance") > uneven_db)).select("r", "c")
+
+
+def buffered(mask: DataFrame, pixels: DataFrame, steps: int) -> DataFrame:
+    """A mask (r, c) grown by so many steps to the side, up and down, within the scene."""
+    moves = [(a, b) for a in range(-steps, steps + 1) for b in range(-steps, steps + 1) if abs(a) + abs(b) <= steps]
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in moves)))
+    grown = mask.withColumn("d", each).select((F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c")).distinct()
+    return grown.join(pixels.select("r", "c"), ["r", "c"], "left_semi")
+
+
+def classified(scores: DataFrame, column: str, of: int) -> DataFrame:
+    """Adds class (the place of the largest score, the first of equals) and p, the softmax share of class `of`."""
+    x, most = F.col(column), F.array_max(column)
+    powers = F.transform(x, lambda v: F.exp(v - most))
+    total = F.aggregate(powers, F.lit(0.0), lambda a, v: a + v)
+    return scores.withColumns({"class": (F.array_position(x, most) - 1).cast("int"), "p": F.element_at(powers, of + 1) / total})
+
+
 def tiles(rows: int, cols: int, size: int, overlap: float, spark) -> DataFrame:
     """(row, col) of overlapping windows that cover a raster; the last of each axis is moved back to end at the edge."""
     stride = max(1, int(size * (1 - overlap)))
@@ -146,11 +212,11 @@ def regions(labelled: DataFrame, pixel_km: float) -> DataFrame:
     )
 
 
-def components(dark: DataFrame, keys: tuple[str, ...] = (), rounds: int = 60) -> DataFrame:
+def components(dark: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """8-connected components of pixels (r, c): adds label, the smallest r * 2^32 + c of the component.
 
-    Labels pass between neighbours and along their own pointers until none changes; every round is written to the
-    shared folder.
+    Labels pass between neighbours and along their own pointers until none changes, however wide a component is; every
+    round is written to the shared folder.
     """
     pid = F.col("r") * F.lit(1 << 32) + F.col("c")
     at = written(dark.select(*keys, "r", "c").distinct().withColumn("pid", pid), "pixels")
@@ -158,7 +224,7 @@ def components(dark: DataFrame, keys: tuple[str, ...] = (), rounds: int = 60) ->
     near = at.withColumn("d", F.explode(moves)).select(*keys, (F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c"), F.col("pid").alias("near"))
     edges = written(near.join(at, [*keys, "r", "c"]).select(*keys, "pid", "near"), "edges")
     labels = at.select(*keys, "pid", F.col("pid").alias("label"))
-    for _ in range(rounds):
+    while True:
         of = labels.select(*keys, F.col("pid").alias("near"), F.col("label").alias("near_label"))
         low = edges.join(of, [*keys, "near"]).groupBy(*keys, "pid").agg(F.min("near_label").alias("label"))
         jump = low.select(*keys, F.col("pid").alias("label"), F.col("label").alias("root"))
@@ -167,8 +233,6 @@ def components(dark: DataFrame, keys: tuple[str, ...] = (), rounds: int = 60) ->
         labels = new
         if changed.isEmpty():
             break
-    else:
-        raise RuntimeError(f"components wider than {rounds} rounds reach")
     return at.join(labels, [*keys, "pid"]).drop("pid")
 
 

@@ -115,3 +115,10 @@ def project_arrival(ends: DataFrame, ports: DataFrame, hours: float = 48.0) -> D
         *[c for c in ends.columns if c not in ("lon", "lat")], F.col("best.port").alias("port"), F.coalesce(F.col("best.lon"), ahead["lon"]).alias("to_lon"), F.coalesce(F.col("best.lat"), ahead["lat"]).alias("to_lat"),
         (F.coalesce(F.col("best.km"), ahead_km) / (F.col("knots") * KNOT_KM)).alias("eta_hours"), F.col("best.off").alias("off_course_deg"),
     )
+
+
+def coordinates(positions: DataFrame) -> DataFrame:
+    """Each vessel's fixes in time as GeoJSON coordinates (text): mmsi, coordinates, fixes."""
+    point = F.struct("ts", "event_id", F.format_string("[%.5f,%.5f]", "lon", "lat").alias("json"))
+    ordered = F.transform(F.array_sort(F.collect_list(point)), lambda p: p["json"])
+    return positions.groupBy("mmsi").agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("coordinates"), F.count("*").alias("fixes"))

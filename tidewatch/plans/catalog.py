@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import drifting, learning, rasters, screening, streams, vessels, views  # noqa: F401
+from tidewatch.plans import drifting, extraction, learning, projections, rasters, screening, streams, vessels, views  # noqa: F401
 from tidewatch.plans.registry import ORACLES, QUERIES, Query
 
 

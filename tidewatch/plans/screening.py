@@ -12,6 +12,7 @@ from tidewatch.plans import sql
 from tidewatch.plans.registry import query
 from tidewatch.plans.vessels import _r, incidents, ranked_vessels, slicks
 from tidewatch.sources.relations import known_sources, relation
+from tidewatch.sources.shared import written
 
 
 def judged(slick: DataFrame) -> DataFrame:
@@ -49,8 +50,8 @@ _KIND = "CASE WHEN source_kind IS NOT NULL THEN source_kind WHEN elongation >= 6
 _SHAPED = f"src AS (SELECT candidate_id, arg_min(source_kind, {sql.km('lon', 'lat', 'source_lon', 'source_lat')}) AS source_kind FROM slick CROSS JOIN source WHERE {sql.km('lon', 'lat', 'source_lon', 'source_lat')} <= radius_km GROUP BY candidate_id), shaped AS (SELECT j.*, {_SHAPE} AS shape, {_KIND} AS source_type FROM judged j LEFT JOIN src USING (candidate_id))"
 
 
-def shaped(spark: SparkSession, d: str) -> DataFrame:
-    near = joins.match_known_source(judged(slicks(spark, d)), known_sources(spark))
+def shaped(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    near = joins.match_known_source(judged(slicks(spark, d) if of is None else of), known_sources(spark))
     both = near.withColumn("m", physics.morphology(F.col("source_kind"), F.col("elongation"), F.col("compactness")))
     return both.withColumns({"shape": F.col("m.morphology"), "source_type": F.col("m.source_type")}).drop("m")
 
@@ -61,8 +62,9 @@ def f13_morphology(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TIERED = (
-    f"{sql.matched()}, best AS (SELECT candidate_id, max(confidence) AS best FROM match GROUP BY candidate_id), "
-    f"pointed AS (SELECT s.*, best, {sql.window_score('wind_ms')} AS win, CASE WHEN p_oil >= 0.75e0 THEN 0.34e0 WHEN p_oil >= 0.5e0 THEN 0.18e0 ELSE 0e0 END + CASE WHEN damping_db >= 5 THEN 0.22e0 WHEN damping_db >= 2.5e0 THEN 0.11e0 ELSE 0e0 END "
+    f"{sql.matched()}, placed AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY confidence DESC, incident_id) AS k FROM match), "
+    "best AS (SELECT candidate_id, max(confidence) AS best, arg_min(CASE WHEN natural_seep THEN 'natural_seep' ELSE 'infrastructure' END, k) FILTER (k <= 3 AND (natural_seep OR persistent)) AS fixed FROM placed GROUP BY candidate_id), "
+    f"pointed AS (SELECT s.* REPLACE (CASE WHEN source_type IN ('vessel', 'unknown') THEN coalesce(fixed, source_type) ELSE source_type END AS source_type), best, {sql.window_score('wind_ms')} AS win, CASE WHEN p_oil >= 0.75e0 THEN 0.34e0 WHEN p_oil >= 0.5e0 THEN 0.18e0 ELSE 0e0 END + CASE WHEN damping_db >= 5 THEN 0.22e0 WHEN damping_db >= 2.5e0 THEN 0.11e0 ELSE 0e0 END "
     f"+ CASE WHEN {sql.window_score('wind_ms')} >= 0.6e0 THEN 0.2e0 WHEN {sql.window_score('wind_ms')} >= 0.25e0 THEN 0.09e0 ELSE 0e0 END + CASE WHEN shape = 'linear' AND elongation >= 8 THEN 0.14e0 WHEN shape = 'linear' THEN 0.07e0 ELSE 0e0 END "
     "+ CASE WHEN area_km2 >= 0.3e0 THEN 0.1e0 ELSE 0e0 END AS points FROM shaped s LEFT JOIN best USING (candidate_id)), "
     "graded AS (SELECT *, CASE WHEN rejected THEN 0e0 WHEN best IS NOT NULL THEN least(1e0, points + 0.3e0 * least(1e0, 0.4e0 + best)) ELSE points END AS conf FROM pointed), "
@@ -71,10 +73,17 @@ _TIERED = (
 _ALL = f"{sql.judged()}, {_SHAPED}, {_TIERED}"
 
 
-def tiered(spark: SparkSession, d: str) -> DataFrame:
-    """Slicks with shape, source type, best corroboration, confidence tier and score."""
-    match = joins.corroborate(slicks(spark, d), incidents(spark, d)).groupBy("candidate_id").agg(F.max("confidence").alias("best"))
-    both = shaped(spark, d).join(match, "candidate_id", "left").withColumn("win", physics.wind_window_score(F.col("wind_ms")))
+def tiered(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """Slicks with shape, source type, best corroboration, confidence tier and score.
+
+    A documented fixed source among a slick's three best matches outranks its shape: no vessel is sought for it.
+    """
+    seen = slicks(spark, d) if of is None else of
+    fixed = F.when(F.col("natural_seep"), "natural_seep").otherwise("infrastructure")
+    rank = F.when(F.col("natural_seep") | F.col("persistent"), F.col("rank"))
+    match = joins.top_matches(joins.corroborate(seen, incidents(spark, d)), 3).groupBy("candidate_id").agg(F.max("confidence").alias("best"), F.min_by(fixed, rank).alias("fixed"))
+    source = F.when(F.col("source_type").isin("vessel", "unknown"), F.coalesce("fixed", "source_type")).otherwise(F.col("source_type"))
+    both = shaped(spark, d, seen).join(match, "candidate_id", "left").withColumns({"win": physics.wind_window_score(F.col("wind_ms")), "source_type": source}).drop("fixed")
     args = [F.col(c) for c in ("p_oil", "damping_db", "win", "shape", "elongation", "area_km2", "rejected", "best", "source_type")]
     return both.withColumn("g", physics.confidence(*args)).withColumns({"tier": F.col("g.tier"), "conf": F.col("g.score")}).drop("g")
 
@@ -88,15 +97,20 @@ _DECIDED = (
     f"{_ALL}, {sql.approached()}, {sql.gapped()}, {sql.ranked()}, tops AS (SELECT candidate_id, count(*) AS n, max(CASE WHEN place = 1 THEN score END) AS top, max(CASE WHEN place = 2 THEN score END) AS second, max(CASE WHEN place = 1 THEN mmsi END) AS suspect FROM ranked GROUP BY candidate_id), "
     "decided AS (SELECT t.*, coalesce(n, 0) AS vessels, top, second, suspect, CASE WHEN rejected THEN 'not classified as oil' WHEN win < 0.15e0 THEN 'wind at the edge of the detection window' "
     "WHEN source_type IN ('natural_seep', 'infrastructure') THEN 'source classified as ' || replace(source_type, '_', ' ') WHEN unc_km > 60 THEN 'drift origin too uncertain' WHEN n IS NULL THEN 'no AIS tracks near the origin' "
-    "WHEN top < 0.35e0 THEN 'best candidate below threshold' WHEN n >= 2 AND top - second < 0.08e0 THEN 'top two candidates too close' END AS reason FROM tiered t LEFT JOIN tops USING (candidate_id))"
+    "WHEN top < 0.35e0 THEN 'best candidate below threshold' WHEN n >= 2 AND top - second < 0.08e0 THEN 'top two candidates too close' END AS reason FROM tiered t LEFT JOIN tops ON tops.candidate_id = t.candidate_id AND NOT rejected AND source_type NOT IN ('natural_seep', 'infrastructure'))"
 )
 
 
-def decided(spark: SparkSession, d: str) -> DataFrame:
-    """Slicks with the two best vessels and the reason to abstain, if any."""
+def decided(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """Slicks with the two best vessels and the reason to abstain, if any.
+
+    Vessels are sought only for slicks that are neither rejected nor laid to a fixed source; the others have none.
+    """
+    found = written(tiered(spark, d, of), "tiered")
+    sought = found.where(~F.col("rejected") & ~F.col("source_type").isin("natural_seep", "infrastructure"))
     at = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
-    tops = ranked_vessels(spark, d).groupBy("candidate_id").agg(F.count("*").alias("n"), at(1, "score").alias("top"), at(2, "score").alias("second"), at(1, "mmsi").alias("suspect"))
-    both = tiered(spark, d).join(tops, "candidate_id", "left").withColumn("vessels", F.coalesce("n", F.lit(0)))
+    tops = ranked_vessels(spark, d, sought).groupBy("candidate_id").agg(F.count("*").alias("n"), at(1, "score").alias("top"), at(2, "score").alias("second"), at(1, "mmsi").alias("suspect"))
+    both = found.join(tops, "candidate_id", "left").withColumn("vessels", F.coalesce("n", F.lit(0)))
     args = ("rejected", "win", "source_type", None, "unc_km", "vessels", "top", "second")
     return both.withColumn("reason", physics.abstain_reason(*(F.col(a) if a else F.lit(True) for a in args)))
 

@@ -1,4 +1,4 @@
-"""Pieces of DuckDB SQL for the oracles: the domain relations and the formulae, written out independently of the plans."""
+"""Pieces of DuckDB SQL for the oracles: the domain relations, from the same expressions as the plans' own, and the formulae, written out apart from the plans."""
 
 from __future__ import annotations
 
@@ -104,13 +104,13 @@ def gapped() -> str:
 
 
 def approached() -> str:
-    """CTE near: the closest fix of each vessel to each slick from 8 hours before to 6 hours after its release."""
+    """CTE near: the closest fix, within 50 km, of each vessel to each slick from 8 hours before to 6 hours after its release."""
     d = km("s.lon", "s.lat", "p.lon", "p.lat")
     return (
         f"pair AS (SELECT s.candidate_id, p.mmsi, p.ts, p.event_id, {d} AS km, {minutes('s.observed', 'p.ts')} / 60 AS hours, "
         f"row_number() OVER (PARTITION BY s.candidate_id, p.mmsi ORDER BY {d}, p.ts, p.event_id) AS n "
         "FROM slick s JOIN pos p ON p.ts >= s.observed - INTERVAL 8 HOUR AND p.ts <= s.observed + INTERVAL 6 HOUR), "
-        "near AS (SELECT candidate_id, mmsi, ts, km, hours FROM pair WHERE n = 1)"
+        "near AS (SELECT candidate_id, mmsi, ts, km, hours FROM pair WHERE n = 1 AND km <= 50)"
     )
 
 
@@ -130,12 +130,12 @@ def ranked() -> str:
 
 
 def matched() -> str:
-    """CTE match: documented incidents near each slick, in the cells around it."""
+    """CTE match: documented incidents near each slick; the cells of five degrees hold every radius up to 60 degrees of latitude."""
     d, days = km("s.lon", "s.lat", "i.lon", "i.lat"), "(epoch_us(s.observed) - epoch_us(i.occurred)) / 86400e6"
     return (
-        f"paired AS (SELECT s.candidate_id, i.incident_id, i.persistent, i.duration_days, {d} AS km, CASE WHEN NOT i.persistent THEN {days} END AS days FROM slick s JOIN incident i "
+        f"paired AS (SELECT s.candidate_id, i.incident_id, i.persistent, i.natural_seep, i.duration_days, {d} AS km, CASE WHEN NOT i.persistent THEN {days} END AS days FROM slick s JOIN incident i "
         "ON abs(floor(s.lon / 5) - floor(i.lon / 5)) <= 1 AND abs(floor(s.lat / 5) - floor(i.lat / 5)) <= 1), "
         "ringed AS (SELECT *, CASE WHEN days IS NULL THEN CASE WHEN persistent THEN 100e0 ELSE 30e0 END WHEN days > 0 THEN least(30e0 + 20 * days, 250e0) ELSE 30e0 END AS radius, "
         "CASE WHEN days IS NOT NULL THEN exp(-greatest(days - duration_days, 0e0) / 7) WHEN persistent THEN 1e0 ELSE 0.4e0 END AS fresh FROM paired WHERE days IS NULL OR (days >= -2 AND days <= 14 + duration_days)), "
-        "match AS (SELECT candidate_id, incident_id, km, days, persistent, 0.6e0 * greatest(0e0, 1 - km / radius) + 0.4e0 * fresh AS confidence FROM ringed WHERE km <= radius)"
+        "match AS (SELECT candidate_id, incident_id, km, days, persistent, natural_seep, 0.6e0 * greatest(0e0, 1 - km / radius) + 0.4e0 * fresh AS confidence FROM ringed WHERE km <= radius)"
     )

@@ -170,10 +170,10 @@ def j06_j07_dark_events(spark: SparkSession, d: str) -> DataFrame:
     return events.where("suspicion >= 0.2").select("candidate_id", "mmsi", _r("minutes"), _r("km"), _r("suspicion"))
 
 
-def ranked_vessels(spark: SparkSession, d: str) -> DataFrame:
-    """Every vessel that stays in play for each slick, with terms, score and place."""
-    pos, slick = relation(spark, d, "pos"), origins(spark, d)
-    near = joins.closest_approach(slick, pos, 8, 6)
+def ranked_vessels(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """Every vessel that stays in play for each slick (of those in `of`, if given), with terms, score and place."""
+    pos, slick = relation(spark, d, "pos"), origins(spark, d) if of is None else of.select("candidate_id", "lon", "lat", "unc_km", "axis_deg", F.col("observed").alias("release"))
+    near = joins.closest_approach(slick, pos, 8, 6, F.least(F.greatest(F.col("unc_km"), F.lit(1.0)) * joins.SIGMAS, F.lit(joins.SEARCH_KM)))
     dark = joins.dark_events(slick, tracks.gaps(pos)).select("candidate_id", "mmsi").distinct().withColumn("went_dark", F.lit(True))
     known = near.join(slick.select("candidate_id", "unc_km", "axis_deg"), "candidate_id").join(tracks.mean_courses(pos), "mmsi").join(dark, ["candidate_id", "mmsi"], "left")
     terms = known.withColumns({
@@ -207,7 +207,7 @@ _WIND = "joined AS (SELECT s.candidate_id, w.ts, w.speed, w.direction, row_numbe
 @query(sql.with_relations("slick", "wind", then=_WIND) + f" SELECT candidate_id, ts AS matched_at, {sql.r('speed')} AS speed FROM joined WHERE k = 1")
 def j10_wind_asof(spark: SparkSession, d: str) -> DataFrame:
     left = slicks(spark, d).select("candidate_id", (F.col("candidate_id") % 20).alias("cell"), "observed")
-    near = joins.asof_nearest(left, relation(spark, d, "wind"), "cell", "observed", "ts", ["speed", "direction"], "candidate_id")
+    near = joins.asof_nearest(left, relation(spark, d, "wind"), "cell", "observed", "ts", ["direction", "speed"], "candidate_id")
     return near.select("candidate_id", "matched_at", _r("speed"))
 
 

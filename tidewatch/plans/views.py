@@ -10,10 +10,9 @@ from tidewatch.functions.geo import round_to
 from tidewatch.plans import screening, sql
 from tidewatch.plans.registry import query
 from tidewatch.plans.vessels import _r, incidents
-from tidewatch.sources.relations import EPOCH, relation
+from tidewatch.sources.relations import EPOCH, NOW, relation
 from tidewatch.sources.world_incidents import WORLD_INCIDENTS, world_incidents
 
-NOW = "2024-01-20 00:00:00"
 _OIL = " OR ".join(f"contains(t, '{w}')" for w in text.OIL_KEYWORDS)
 _NOT = " OR ".join(f"contains(t, '{w}')" for w in text.NON_OIL_KEYWORDS)
 _REGISTRY = f"named AS (SELECT *, lower(commodity || ' ' || name) AS t FROM incident), registry AS (SELECT *, NOT ({_NOT}) AND ({_OIL}) AS petroleum, gallons * 0.00378541e0 AS volume_m3 FROM named)"
@@ -107,7 +106,7 @@ def f27_f32_map_buckets(spark: SparkSession, d: str) -> DataFrame:
 @query(_VIEW + f"""
 SELECT {_STATUS} AS status, source_type, count(*) AS slicks, count(DISTINCT scene_id) AS scenes, {sql.r('avg(conf)')} AS mean_conf FROM decided WHERE NOT rejected AND tier IN ('confirmed', 'probable', 'unknown') GROUP BY 1, 2""")
 def a18_n02_world_index(spark: SparkSession, d: str) -> DataFrame:
-    shown = screening.decided(spark, d).where("NOT rejected AND tier IN ('confirmed', 'probable', 'unknown')")
+    shown = screening.tiered(spark, d).where("NOT rejected AND tier IN ('confirmed', 'probable', 'unknown')")
     return shown.groupBy(status().alias("status"), "source_type").agg(F.count("*").alias("slicks"), F.countDistinct("scene_id").alias("scenes"), _r("mean_conf", F.avg("conf")))
 
 
@@ -124,7 +123,7 @@ def a17_n09_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_VIEW + " SELECT coalesce(gate, CASE WHEN rejected THEN 'low score' END) AS bucket, count(*) AS slicks FROM decided WHERE rejected GROUP BY 1 ORDER BY 2 DESC, 1")
 def o05_rejection_histogram(spark: SparkSession, d: str) -> DataFrame:
-    rejected = screening.decided(spark, d).where("rejected")
+    rejected = screening.judged(relation(spark, d, "slick")).where("rejected")
     return rejected.groupBy(F.coalesce("gate", F.lit("low score")).alias("bucket")).agg(F.count("*").alias("slicks")).orderBy(F.desc("slicks"), "bucket")
 
 
@@ -140,9 +139,11 @@ def k10_n03_geojson(spark: SparkSession, d: str) -> DataFrame:
 @query(_VIEW + " SELECT candidate_id, scene_id, rejected, tier, reason FROM decided WHERE candidate_id = (SELECT min(candidate_id) FROM decided WHERE NOT rejected)")
 def n05_j18_slick_detail(spark: SparkSession, d: str) -> DataFrame:
     """The point lookup of one candidate, here the first that isn't rejected."""
-    out = screening.decided(spark, d)
-    first = out.where("NOT rejected").agg(F.min("candidate_id").alias("candidate_id"))
-    return out.join(F.broadcast(first), "candidate_id").select("candidate_id", "scene_id", "rejected", "tier", "reason")  # one row
+    from tidewatch.plans.vessels import slicks
+
+    first = screening.judged(relation(spark, d, "slick")).where("NOT rejected").agg(F.min("candidate_id").alias("candidate_id"))  # one row
+    one = slicks(spark, d).join(F.broadcast(first), "candidate_id")
+    return screening.decided(spark, d, one).select("candidate_id", "scene_id", "rejected", "tier", "reason")
 
 
 @query(sql.with_relations("slick") + f" SELECT scene_id, count(*) AS slicks, {sql.r('max(area_km2)')} AS largest, arg_max(candidate_id, (area_km2, -candidate_id)) AS largest_id FROM slick GROUP BY scene_id")

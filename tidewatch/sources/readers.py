@@ -122,7 +122,8 @@ def patch_metadata(spark: SparkSession, path: str, columns: int = 24) -> DataFra
 class PagedSource(DataSource):
     """A REST listing read page by page: format("tidewatch.paged") with a `fetch` importable as module:function.
 
-    fetch(offset) returns (rows, next offset or None); rows are tuples of the schema given.
+    fetch(offset) returns (rows, next offset or None); rows are tuples of the schema given. All pages are read, unless
+    the option `most` asks for a number of rows.
     """
 
     @classmethod
@@ -148,10 +149,10 @@ class PagedReader(DataSourceReader):
 
         module, _, name = self.options["fetch"].partition(":")
         fetch: Callable = getattr(importlib.import_module(module), name)
-        offset, left = 0, int(self.options.get("most", "100000"))
+        offset, left = 0, float(self.options.get("most", "inf"))
         while offset is not None and left > 0:
             rows, offset = fetch(offset)
-            yield from rows[:left]
+            yield from rows[: int(min(left, len(rows)))]
             left -= len(rows)
 
 

@@ -44,6 +44,8 @@ RELATIONS: dict[str, tuple[str, str | None, list[str]]] = {
 }
 #: 2024-01-01 00:00 UTC; observation times are hours from it, incident days count from 17 days before.
 EPOCH = "2024-01-01 00:00:00"
+#: The present of the queries that ask for one.
+NOW = "2024-01-20 00:00:00"
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
