@@ -228,8 +228,8 @@ def ellipse(lon: Column, lat: Column, area_km2: Column, elongation: Column, axis
 
 
 def seed(candidates: DataFrame, n: int, radius_km: float) -> DataFrame:
-    """n particles within radius_km of each candidate (candidate_id, lon, lat), spread by hashes: the same every time."""
-    u = lambda salt: F.pmod(F.xxhash64("candidate_id", "pid", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    """n particles within radius_km of each candidate (candidate_id, lon, lat), spread by MD5: the same every time, in any engine."""
+    u = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("|", "candidate_id", "pid", F.lit(str(salt))).cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
     far, turn = radius_km * F.sqrt(u(1)), 2 * np.pi * u(2)
     spread = candidates.withColumn("pid", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return spread.withColumns({"lon": F.col("lon") + far * F.sin(turn) * 1000.0 / (M_PER_DEGREE_LON * F.cos(F.radians("lat"))), "lat": F.col("lat") + far * F.cos(turn) * 1000.0 / M_PER_DEGREE_LAT})

@@ -54,14 +54,15 @@ def wave_trains(regions: DataFrame) -> DataFrame:
             double = np.radians(2 * axis[ids])
             mean_axis = np.degrees(np.arctan2(np.sin(double).sum(), np.cos(double).sum())) / 2 % 180
             gap = np.diff(np.sort(_offsets(pdf.loc[ids], mean_axis)))
-            if gap.mean() <= 1e-9 or gap.std() / gap.mean() > MAX_CV:
+            gap = gap[gap > 1e-6]  # regions in line with each other are one band
+            if not len(gap) or gap.std() / gap.mean() > MAX_CV:
                 continue
             used[ids] = True
             out += [(pdf["scene_id"][i], train, pdf["candidate_id"][i], mean_axis, gap.mean(), gap.std() / gap.mean()) for i in ids]
             train += 1
         return pd.DataFrame(out, columns=["scene_id", "train", "candidate_id", "axis", "spacing_km", "cv"])
 
-    chosen = regions.where(F.col("elongation") >= MIN_ELONGATION).select("scene_id", "candidate_id", "lon", "lat", "axis_deg", "area_km2")
+    chosen = regions.where((F.col("elongation") >= MIN_ELONGATION) & (F.col("area_km2") > 0)).select("scene_id", "candidate_id", "lon", "lat", "axis_deg", "area_km2")
     return chosen.groupBy("scene_id").applyInPandas(run, "scene_id long, train int, candidate_id long, axis double, spacing_km double, cv double")
 
 

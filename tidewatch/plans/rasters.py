@@ -77,9 +77,20 @@ def r02_lee_filter(spark: SparkSession, d: str) -> DataFrame:
     return raster.lee_filter(local(spark, d), 3, 4.4, (8, 8), ("tile",)).select("tile", "r", "c", _r("db", digits=3))
 
 
-@query()
+_HALVES = ["a <= 0", "a >= 0", "b <= 0", "b >= 0", "a <= b", "a >= b", "a <= -b", "a >= -b"]
+_WIDE = (
+    f"o AS (SELECT unnest(range(-3, 4)) AS k), t AS (SELECT tile, i // 8 AS r, i % 8 AS c, pow(10e0, db / 10) AS p FROM pix), near AS (SELECT t.tile, t.r, t.c, n.p, a.k AS a, b.k AS b FROM t CROSS JOIN o a CROSS JOIN o b JOIN t n ON n.tile = t.tile AND n.r = {_mirror('t.r + a.k')} AND n.c = {_mirror('t.c + b.k')}), "
+    f"m AS (SELECT tile, r, c, avg(p) AS mean, var_pop(p) AS var, [{', '.join(f'avg(p) FILTER ({h})' for h in _HALVES)}] AS means, [{', '.join(f'var_pop(p) FILTER ({h})' for h in _HALVES)}] AS vars FROM near GROUP BY tile, r, c), "
+    "s AS (SELECT *, sqrt(var) / greatest(mean, 1e-12) AS cv, [sqrt(vars[1]) / greatest(means[1], 1e-12)" + "".join(f", sqrt(vars[{k}]) / greatest(means[{k}], 1e-12)" for k in range(2, 9)) + "] AS cvs FROM m), "
+    "e AS (SELECT s.*, t.p, list_position(cvs, list_min(cvs)) AS pick, 1 / sqrt(4.4e0) AS cu FROM s JOIN t USING (tile, r, c)), "
+    "g AS (SELECT *, CASE WHEN cv > cu THEN means[pick] ELSE mean END AS mm, CASE WHEN cv > cu THEN vars[pick] ELSE var END AS vv FROM e), "
+    "f AS (SELECT *, mm * cu * mm * cu AS noise, greatest(0e0, (vv - mm * cu * mm * cu) / (1 + cu * cu)) AS signal FROM g)"
+)
+
+
+@query(sql.with_relations("pix", then=_WIDE) + f" SELECT tile, r, c, {sql.r('10 * log10(greatest(CASE WHEN cv > sqrt(1 + 2 / 4.4e0) THEN p ELSE mm + CASE WHEN signal + noise > 0 THEN signal / greatest(signal + noise, 1e-30) ELSE 0e0 END * (p - mm) END, 1e-12))', 3)} AS db FROM f")
 def r03_refined_lee(spark: SparkSession, d: str) -> DataFrame:
-    return raster.per_tile(local(spark, d), raster.refined_lee, 8)
+    return raster.per_tile(local(spark, d), raster.refined_lee, 8).select("tile", "r", "c", _r("db", digits=3))
 
 
 @query()
