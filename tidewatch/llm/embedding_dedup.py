@@ -177,8 +177,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id:
     bounded_batches(vectors.sparkSession)
     x = F.col(embedding).cast("array<double>")
     usable = F.coalesce((F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
-    rows = written(vectors.select(F.monotonically_increasing_id().alias("row_id"), F.col(vec_id).cast("long").alias("vec_id"), F.when(usable, x).alias("vector")), "vectors")
-    classes = written(rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("row_id").alias("node"), F.count("*").alias("n"), F.min("vec_id").alias("first")), "classes")
+    key = [F.xxhash64(F.lit(salt), "vector").alias(f"key{salt}") for salt in (1, 2)]  # 128 bits stand for a vector in joins
+    rows = vectors.select(F.monotonically_increasing_id().alias("row_id"), F.col(vec_id).cast("long").alias("vec_id"), F.when(usable, x).alias("vector"))
+    rows = written(rows.select("*", *key), "vectors")
+    grouped = rows.where("vector IS NOT NULL").groupBy("key1", "key2").agg(F.first("vector").alias("vector"), F.min("row_id").alias("node"), F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    classes = written(grouped, "classes")
     found = None
     for r in classes.select(F.size("vector").alias("dims")).distinct().collect():  # one row per length of vectors
         linked = _linked(classes.where(F.size("vector") == r["dims"]).select("node", "n", "vector"), r["dims"], threshold)
@@ -189,8 +192,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id:
     found = written(found, "linked")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = classes.select("vector", "node", "n", "first").join(counts, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select("key1", "key2", "node", "n", "first").join(counts, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    every = named.join(smallest, "component").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.where("vector IS NOT NULL").join(every, "vector").select("vec_id", "n_links", "component_id")
+    every = named.join(smallest, "component").select("key1", "key2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    out = rows.where("vector IS NOT NULL").select("vec_id", "key1", "key2").join(every, ["key1", "key2"]).select("vec_id", "n_links", "component_id")
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull()))
