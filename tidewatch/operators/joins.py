@@ -31,11 +31,12 @@ def corroborate(slicks: DataFrame, incidents: DataFrame, base_km: float = 30.0)
     until = F.timestamp_diff("MICROSECOND", F.col("occurred"), F.date_add("__day", 1).cast("timestamp_ntz")) / 86400e6  # the day's latest moment
     by_day = cells.place_targets(timed.withColumn("__day", day), physics.corroboration_radius_km(until, base_km), *_RADII).withColumn("__slot", F.datediff("__day", F.lit("1970-01-01"))).drop("__day")
     always = cells.place_targets(incidents.where("occurred IS NULL OR persistent"), _steady_radius(base_km), *_RADII).withColumn("__slot", F.lit(-1_000_000))
-    targets = by_day.unionByName(always).withColumnsRenamed({"lon": "target_lon", "lat": "target_lat"})
-    seen = slicks.select("candidate_id", "lon", "lat", "observed")
-    placed = cells.place_points(seen, cells.levels(*_RADII)).withColumn("__slot", F.explode(F.array(F.datediff("observed", F.lit("1970-01-01")), F.lit(-1_000_000))))
+    targets = by_day.unionByName(always).withColumnsRenamed({"lon": "target_lon", "lat": "target_lat"}).withColumn("__occurred", _micros("occurred"))
+    targets = targets.select("incident_id", "target_lon", "target_lat", "persistent", "natural_seep", "duration_days", "__occurred", *cells.CELL, "__slot")
+    seen = slicks.select("candidate_id", "lon", "lat", "observed", _micros("observed").alias("__seen"))
+    placed = cells.place_points(seen, cells.levels(*_RADII)).withColumn("__slot", F.explode(F.array(F.datediff("observed", F.lit("1970-01-01")), F.lit(-1_000_000)))).drop("observed")
     pairs = cells.meet(placed, targets, "__slot")
-    days = F.when(~F.col("persistent"), F.timestamp_diff("MICROSECOND", F.col("occurred"), F.col("observed")) / 86400e6)
+    days = F.when(~F.col("persistent"), (F.col("__seen") - F.col("__occurred")) / 86400e6)
     in_time = pairs.withColumn("days", days).where(F.col("days").isNull() | ((F.col("days") >= -DAYS_BEFORE) & (F.col("days") <= end)))
     radius = F.when(F.col("days").isNotNull(), physics.corroboration_radius_km(F.col("days"), base_km)).otherwise(_steady_radius(base_km))
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("target_lon"), F.col("target_lat"))
@@ -46,6 +47,11 @@ def corroborate(slicks: DataFrame, incidents: DataFrame, base_km: float = 30.0)
     return near.select("candidate_id", "incident_id", "km", "days", "persistent", "natural_seep", score.alias("confidence"))
 
 
+def _micros(ts: str) -> Column:
+    """A timestamp as a whole number: differences of pairs are then plain subtractions."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+
+
 def _steady_radius(base_km: float) -> Column:
     """The radius of persistent and of undated incidents."""
     return F.when(F.col("persistent"), F.lit(max(base_km, 100.0))).otherwise(F.lit(base_km))
@@ -76,14 +82,14 @@ def closest_approach(origins: DataFrame, positions: DataFrame, hours_before: flo
     hours = max(1, round((hours_before + hours_after) / 2))
     first, last = F.col("release") - _hours(hours_before), F.col("release") + _hours(hours_after)
     reach = F.lit(reach_km) if isinstance(reach_km, int | float) else reach_km
-    aimed = origins.withColumn("__reach_km", reach).select("candidate_id", F.col("lon").alias("origin_lon"), F.col("lat").alias("origin_lat"), "release", first.alias("first"), last.alias("last"), "__reach_km")
+    aimed = origins.withColumn("__reach_km", reach).select("candidate_id", F.col("lon").alias("origin_lon"), F.col("lat").alias("origin_lat"), "release", first.alias("first"), last.alias("last"), "__reach_km", _micros("release").alias("__released"))
     slots = aimed.withColumn("__slot", F.explode(F.sequence(cells.slot(F.col("first"), hours), cells.slot(F.col("last"), hours))))
     targets = cells.place_targets(slots, F.col("__reach_km"), 3, 6, "origin_lon", "origin_lat")
-    fixes = positions.select("mmsi", "ts", "event_id", "lon", "lat", cells.slot(F.col("ts"), hours).alias("__slot"))
+    fixes = positions.select("mmsi", "ts", "event_id", "lon", "lat", cells.slot(F.col("ts"), hours).alias("__slot"), _micros("ts").alias("__at"))
     pairs = cells.meet(cells.place_points(fixes, cells.levels(3, 6)), targets, "__slot").where("ts >= first AND ts <= last")
     banded = pairs.where(F.abs(F.col("lat") - F.col("origin_lat")) <= F.col("__reach_km") / cells.KM_PER_DEGREE + 1e-9)
     km = haversine_km(F.col("origin_lon"), F.col("origin_lat"), F.col("lon"), F.col("lat"))
-    after = F.timestamp_diff("MICROSECOND", F.col("release"), F.col("ts")) / 3600e6
+    after = (F.col("__at") - F.col("__released")) / 3600e6
     near = F.min(F.struct(F.col("km"), F.col("ts"), F.col("event_id"), after.alias("hours"))).alias("near")
     met = banded.withColumn("km", km).where(F.col("km") <= F.col("__reach_km")).groupBy("candidate_id", "mmsi").agg(near)
     return met.select("candidate_id", "mmsi", "near.km", F.col("near.ts").alias("approach_at"), "near.hours")
