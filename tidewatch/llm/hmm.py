@@ -37,6 +37,8 @@ END_HASH = -0x1E5D7A3B9C2F4D61
 ROUNDS = 6
 #: Tokens whose texts take their steps together; a step costs less the more texts share it.
 TOKENS_AT_ONCE = 1_500_000
+#: Steps from one token to the next that are added up at once, in double precision.
+MOVES_AT_ONCE = 1 << 14
 #: Text of a block; its dictionary takes part in the shuffle once.
 BLOCK_BYTES = 8 << 20
 #: Dictionary entries that meet in one task, about.
@@ -281,11 +283,11 @@ def expectations(model: Model, seq: np.ndarray, lengths: np.ndarray) -> tuple[np
     before = np.arange(begin[1], len(items)) - np.repeat(alive[:-1], alive[1:])  # each later token's predecessor
     ends = np.ones(len(items), dtype=bool)
     ends[before] = False
-    for a in range(0, len(before), 1 << 17):
-        here, to = before[a : a + (1 << 17)], e[begin[1] + a : begin[1] + a + (1 << 17)]
-        state, rest = alpha[here], to @ back
+    for a in range(0, len(before), MOVES_AT_ONCE):
+        here, to = before[a : a + MOVES_AT_ONCE], e[begin[1] + a : begin[1] + a + MOVES_AT_ONCE].astype(np.float64)
+        state, rest = alpha[here].astype(np.float64), to @ model.move.T
         state /= (state * rest).sum(axis=1, keepdims=True)
-        moves += state.T @ to
+        moves += state.T @ to  # in double precision: a sum over so many tokens must not hang on the order of its terms
         alpha[here] = state * rest
     alpha[ends] /= alpha[ends].sum(axis=1, keepdims=True)
     emitted = np.stack([np.bincount(items, weights=alpha[:, s], minlength=CLASSES) for s in range(len(start))], axis=1)
