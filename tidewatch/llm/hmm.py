@@ -291,7 +291,7 @@ def expectations(model: Model, seq: np.ndarray, lengths: np.ndarray) -> tuple[np
         alpha[here] = state * rest
     alpha[ends] /= alpha[ends].sum(axis=1, keepdims=True)
     emitted = np.stack([np.bincount(items, weights=alpha[:, s], minlength=CLASSES) for s in range(len(start))], axis=1)
-    return alpha[: begin[1]].sum(axis=0, dtype=np.float64), moves * move, emitted
+    return alpha[: begin[1]].sum(axis=0, dtype=np.float64), moves * model.move, emitted
 
 
 def begin_model(n: np.ndarray, states: int, seed: int = 11) -> Model:
