@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import edit_counts, embedding_dedup, hmm, imatch, language_id, licenses, mixing, near_dedup, packing, token_files
+from tidewatch.llm import edit_counts, embedding_dedup, hmm, imatch, language_id, licenses, mixing, near_dedup, packing, token_files, url_filters, vector_codes, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +56,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), scale=64, offset=1_000_000, components=32)
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_report(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_license_scan, op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_token_files, op6_edit_aware_counts, op7_imatch_fingerprints, op8_source_mixing, op9_embedding_near_dedup, op10_lm_scoring)
+    named = (op1_license_scan, op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_token_files, op6_edit_aware_counts, op7_imatch_fingerprints, op8_source_mixing, op9_embedding_near_dedup, op10_lm_scoring, op11_vector_code_compression, op12_embedding_whitening, op13_url_filters)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.report_sql(), "op8_source_mixing": mixing.REPORT_SQL}
+    return {"op1_license_scan": licenses.report_sql(), "op8_source_mixing": mixing.REPORT_SQL, "op13_url_filters": url_filters.REPORT_SQL}
