@@ -21,6 +21,23 @@ def haversine_km(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) ->
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """A point of the unit sphere. Joins compare squared chords of such points instead of taking sines for every pair."""
+    x, y = F.radians(lon), F.radians(lat)
+    return F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)
+
+
+def chord2_of(km: Column) -> Column:
+    """The squared chord that spans so many km on the unit sphere."""
+    half = F.sin(km / F.lit(2 * EARTH_RADIUS_KM))
+    return 4.0 * half * half
+
+
+def chord2_km(chord2: Column) -> Column:
+    """The km that a squared chord spans."""
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), chord2 / 4.0)))
+
+
 def bearing_deg(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) -> Column:
     """Initial bearing, 0 to 360 clockwise from north."""
     turn = F.radians(lon_b - lon_a)

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KM_PER_DEGREE = 6371.0088 * math.pi / 180.0
-CELL = ("__level", "__band", "__cell")
+#: The column that holds a cell: level, band and number in the band in one long, so that a sort has one key to compare.
+CELL = "__place"
 
 
 def _height(level: Column) -> Column:
@@ -28,8 +29,12 @@ def _around(band: Column, height: Column) -> Column:
     return F.greatest(F.floor(360.0 * F.cos(F.radians(far)) / height), F.lit(1).cast("long"))
 
 
+def _cell(level: Column, band: Column, cell: Column) -> Column:
+    return (level.cast("long") * (1 << 20) + band + (1 << 19)) * (1 << 20) + cell
+
+
 def _covering(lon: Column, lat: Column, reach_km: Column, level: Column) -> Column:
-    """The cells that a circle can touch, as array<struct<band, cell>>."""
+    """The cells that a circle can touch, as an array."""
     height, reach = _height(level), reach_km / KM_PER_DEGREE
     wide = F.when(F.abs(lat) + reach >= 90.0, 180.0).otherwise(F.degrees(F.asin(F.least(F.sin(F.radians(reach)) / F.cos(F.radians(lat)), F.lit(1.0))))) + 1e-9
     bands = F.sequence(F.floor((lat - reach) / height - 1e-9), F.floor((lat + reach) / height + 1e-9))
@@ -38,7 +43,7 @@ def _covering(lon: Column, lat: Column, reach_km: Column, level: Column) -> Colu
         n = _around(band, height)
         first = F.floor((lon - wide + 180.0) / 360.0 * n)
         last = F.least(F.floor((lon + wide + 180.0) / 360.0 * n), first + n - 1)
-        return F.transform(F.sequence(first, last), lambda cell: F.struct(band.alias("band"), F.pmod(cell, n).alias("cell")))
+        return F.transform(F.sequence(first, last), lambda cell: _cell(level, band, F.pmod(cell, n)))
 
     return F.flatten(F.transform(bands, row))
 
@@ -51,26 +56,35 @@ def level_of(reach_km: Column, least: int, most: int) -> Column:
 def place_targets(targets: DataFrame, reach_km: Column, least: int, most: int, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Targets once for each cell that they reach; a null place or radius reaches nothing."""
     levelled = targets.withColumns({"__reach": reach_km, "__level": level_of(reach_km, least, most)})
-    spread = levelled.withColumn("__at", F.explode(_covering(F.col(lon), F.col(lat), F.col("__reach"), F.col("__level"))))
-    return spread.withColumns({"__band": F.col("__at.band"), "__cell": F.col("__at.cell")}).drop("__at", "__reach")
+    return levelled.withColumn(CELL, F.explode(_covering(F.col(lon), F.col(lat), F.col("__reach"), F.col("__level")))).drop("__reach", "__level")
 
 
 def place_points(points: DataFrame, levels: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Points once for each of an array of levels."""
     each = points.withColumn("__level", F.explode(levels))
-    band = F.floor(F.col(lat) / _height(F.col("__level")))
-    banded = each.withColumn("__band", band)
+    banded = each.withColumn("__band", F.floor(F.col(lat) / _height(F.col("__level"))))
     n = _around(F.col("__band"), _height(F.col("__level")))
-    return banded.withColumn("__cell", F.pmod(F.floor((F.col(lon) + 180.0) / 360.0 * n), n))
+    cell = F.pmod(F.floor((F.col(lon) + 180.0) / 360.0 * n), n)
+    return banded.withColumn(CELL, _cell(F.col("__level"), F.col("__band"), cell)).drop("__level", "__band")
 
 
 def levels(least: int, most: int) -> Column:
     return F.array(*(F.lit(k) for k in range(least, most + 1)))
 
 
+def levels_in_use(targets: DataFrame, reach_km: Column, least: int, most: int) -> Column:
+    """The levels of these targets' radii (most - least + 1 rows at most return): points needn't lie in cells of any other."""
+    used = targets.select(level_of(reach_km, least, most).alias("level")).where("level IS NOT NULL").distinct().collect()
+    return F.array(*(F.lit(k) for k in sorted(r["level"] for r in used))).cast("array<int>")
+
+
 def meet(points: DataFrame, targets: DataFrame, *keys: str) -> DataFrame:
-    """Placed points and targets in the same cell, with equal `keys` (columns of both)."""
-    return points.join(targets, [*CELL, *keys]).drop(*CELL, *keys)
+    """Placed points and targets in the same cell, with equal `keys` (columns of both).
+
+    Both sides are shuffled and sorted: Spark's estimate of a side's size doesn't see how often its rows were placed, so
+    left to itself it would broadcast what fits no executor. Hot cells are split by adaptive execution.
+    """
+    return points.join(targets.hint("merge"), [CELL, *keys]).drop(CELL, *keys)
 
 
 def slot(ts: Column, hours: int) -> Column:

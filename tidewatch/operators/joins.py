@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import physics
-from tidewatch.functions.geo import haversine_km
+from tidewatch.functions.geo import chord2_km, chord2_of, haversine_km, unit_vector
 from tidewatch.operators import cells
+from tidewatch.sources.shared import written
 
 #: Radii of known incidents lie between these powers of two of a km: 30 km to 250 km.
 _RADII = (5, 8)
@@ -25,14 +28,14 @@ def corroborate(slicks: DataFrame, incidents: DataFrame, base_km: float = 30.0)
     """
     end = DAYS_AFTER + F.col("duration_days")
     seep = F.coalesce("natural_seep", F.lit(False)) if "natural_seep" in incidents.columns else F.lit(False)
-    incidents = incidents.withColumns({"persistent": F.coalesce("persistent", F.lit(False)), "natural_seep": seep})
+    incidents = incidents.repartition("incident_id").withColumns({"persistent": F.coalesce("persistent", F.lit(False)), "natural_seep": seep})
     timed = incidents.where("occurred IS NOT NULL AND NOT persistent")
     day = F.explode(F.sequence(F.to_date(F.col("occurred") - _hours(24.0 * DAYS_BEFORE)), F.date_add(F.to_date("occurred"), F.ceil(end).cast("int") + 1)))
     until = F.timestamp_diff("MICROSECOND", F.col("occurred"), F.date_add("__day", 1).cast("timestamp_ntz")) / 86400e6  # the day's latest moment
     by_day = cells.place_targets(timed.withColumn("__day", day), physics.corroboration_radius_km(until, base_km), *_RADII).withColumn("__slot", F.datediff("__day", F.lit("1970-01-01"))).drop("__day")
     always = cells.place_targets(incidents.where("occurred IS NULL OR persistent"), _steady_radius(base_km), *_RADII).withColumn("__slot", F.lit(-1_000_000))
     targets = by_day.unionByName(always).withColumnsRenamed({"lon": "target_lon", "lat": "target_lat"}).withColumn("__occurred", _micros("occurred"))
-    targets = targets.select("incident_id", "target_lon", "target_lat", "persistent", "natural_seep", "duration_days", "__occurred", *cells.CELL, "__slot")
+    targets = targets.select("incident_id", "target_lon", "target_lat", "persistent", "natural_seep", "duration_days", "__occurred", cells.CELL, "__slot")
     seen = slicks.select("candidate_id", "lon", "lat", "observed", _micros("observed").alias("__seen"))
     placed = cells.place_points(seen, cells.levels(*_RADII)).withColumn("__slot", F.explode(F.array(F.datediff("observed", F.lit("1970-01-01")), F.lit(-1_000_000)))).drop("observed")
     pairs = cells.meet(placed, targets, "__slot")
@@ -73,26 +76,64 @@ def match_known_source(points: DataFrame, catalogue: DataFrame) -> DataFrame:
     return got.withColumns({"source_name": F.col("__near.name"), "source_kind": F.col("__near.kind"), "source_km": F.col("__near.km")}).drop("__all", "__near")
 
 
-def closest_approach(origins: DataFrame, positions: DataFrame, hours_before: float, hours_after: float, reach_km: Column | float = SEARCH_KM) -> DataFrame:
+def bounded(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """df, marked for broadcast if it has no more than so many (narrow) rows; beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def closest_approach(origins: DataFrame, positions: DataFrame, hours_before: float, hours_after: float, reach_km: Column | float = SEARCH_KM, by_candidate: bool = False) -> DataFrame:
     """For each origin and vessel with fixes within reach_km, hours_before to hours_after around the release: the nearest fix.
 
+    Sums are of primitives, which Spark keeps in a hash table. by_candidate: pairs are shuffled by candidate alone, so that
+    what ranks a candidate's vessels needs no shuffle of its own.
+    """
+    pairs = _fixes_near(origins, positions, hours_before, hours_after, reach_km)
+    met = (pairs.repartition("candidate_id") if by_candidate else pairs).groupBy("candidate_id", "mmsi").agg(F.min("km").alias("km"), F.min_by("__at", "__order").alias("__at"), F.min("__released").alias("__released"))
+    approach_at = F.timestamp_micros(F.col("__at") + F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp"))).cast("timestamp_ntz")
+    return met.select("candidate_id", "mmsi", "km", approach_at.alias("approach_at"), ((F.col("__at") - F.col("__released")) / 3600e6).alias("hours"))
+
+
+def flag_dark(near: DataFrame, origins: DataFrame, gaps: DataFrame, slack_hours: float = 1.0) -> DataFrame:
+    """Add went_dark to pairs (candidate_id, mmsi): whether dark_events has any for them; and the origins' own columns.
+
+    Pairs look up their vessel's gaps in the stretch of six hours that holds the release: there are as many as fit into it,
+    twelve or so. No gap meets an origin whose vessel isn't near.
+    """
+    first, last = F.col("gap_start") - _hours(slack_hours), F.col("gap_end") + _hours(slack_hours)
+    held = F.struct(_micros("first").alias("first"), _micros("last").alias("last"), *(c.alias(k) for k, c in zip("xyz", unit_vector(F.col("mid_lon"), F.col("mid_lat")), strict=True)))
+    slots = gaps.withColumns({"first": first, "last": last}).withColumn("__slot", F.explode(F.sequence(cells.slot(F.col("first"), 6), cells.slot(F.col("last"), 6))))
+    silent = written(slots.groupBy("mmsi", "__slot").agg(F.collect_list(held).alias("__gaps")), "gaps")
+    here = zip(("__x", "__y", "__z"), unit_vector(F.col("lon"), F.col("lat")), strict=True)
+    at = origins.withColumns({"__slot": cells.slot(F.col("release"), 6), "__released": _micros("release"), "__far": chord2_of(F.greatest(F.col("unc_km") * 2.0, F.lit(10.0))), **dict(here)})
+    chord2 = lambda g: sum((F.col(f"__{k}") - g[k]) * (F.col(f"__{k}") - g[k]) for k in "xyz")
+    dark = F.exists("__gaps", lambda g: (F.col("__released") >= g["first"]) & (F.col("__released") <= g["last"]) & (chord2(g) <= F.col("__far")))
+    both = near.join(bounded(at), "candidate_id").join(bounded(silent, 500_000), ["mmsi", "__slot"], "left").withColumn("went_dark", F.coalesce(dark, F.lit(False)))
+    return both.select(*near.columns, *(c for c in origins.columns if c != "candidate_id"), "went_dark")
+
+
+def _fixes_near(origins: DataFrame, positions: DataFrame, hours_before: float, hours_after: float, reach_km: Column | float) -> DataFrame:
+    """Fixes within reach_km of an origin around its release: candidate_id, mmsi, km, __at and __released (microseconds), __order.
+
     origins: candidate_id, lon, lat, release and what reach_km (at most SEARCH_KM) refers to. Origins meet fixes by cell and
-    by stretch of hours.
+    by stretch of hours. The least __order is the nearest fix, of those as near as each other (to 62 bits for distance
+    and milliseconds together) the earliest.
     """
     hours = max(1, round((hours_before + hours_after) / 2))
     first, last = F.col("release") - _hours(hours_before), F.col("release") + _hours(hours_after)
-    reach = F.lit(reach_km) if isinstance(reach_km, int | float) else reach_km
-    aimed = origins.withColumn("__reach_km", reach).select("candidate_id", F.col("lon").alias("origin_lon"), F.col("lat").alias("origin_lat"), "release", first.alias("first"), last.alias("last"), "__reach_km", _micros("release").alias("__released"))
-    slots = aimed.withColumn("__slot", F.explode(F.sequence(cells.slot(F.col("first"), hours), cells.slot(F.col("last"), hours))))
-    targets = cells.place_targets(slots, F.col("__reach_km"), 3, 6, "origin_lon", "origin_lat")
-    fixes = positions.select("mmsi", "ts", "event_id", "lon", "lat", cells.slot(F.col("ts"), hours).alias("__slot"), _micros("ts").alias("__at"))
-    pairs = cells.meet(cells.place_points(fixes, cells.levels(3, 6)), targets, "__slot").where("ts >= first AND ts <= last")
-    banded = pairs.where(F.abs(F.col("lat") - F.col("origin_lat")) <= F.col("__reach_km") / cells.KM_PER_DEGREE + 1e-9)
-    km = haversine_km(F.col("origin_lon"), F.col("origin_lat"), F.col("lon"), F.col("lat"))
-    after = (F.col("__at") - F.col("__released")) / 3600e6
-    near = F.min(F.struct(F.col("km"), F.col("ts"), F.col("event_id"), after.alias("hours"))).alias("near")
-    met = banded.withColumn("km", km).where(F.col("km") <= F.col("__reach_km")).groupBy("candidate_id", "mmsi").agg(near)
-    return met.select("candidate_id", "mmsi", "near.km", F.col("near.ts").alias("approach_at"), "near.hours")
+    reach = F.lit(float(reach_km)) if isinstance(reach_km, int | float) else reach_km
+    aimed = origins.withColumn("__reach_km", reach).select("candidate_id", F.col("lon").alias("origin_lon"), F.col("lat").alias("origin_lat"), first.alias("first"), last.alias("last"), "__reach_km", _micros("release").alias("__released"))
+    slots = aimed.repartition("candidate_id").withColumn("__slot", F.explode(F.sequence(cells.slot(F.col("first"), hours), cells.slot(F.col("last"), hours))))
+    used = F.array(F.lit(max(3, min(6, math.ceil(math.log2(reach_km)))))) if isinstance(reach_km, int | float) else cells.levels_in_use(aimed, F.col("__reach_km"), 3, 6)
+    placed = cells.place_targets(slots, F.col("__reach_km"), 3, 6, "origin_lon", "origin_lat")
+    at = lambda side, lon, lat: [c.alias(f"{side}{k}") for k, c in enumerate(unit_vector(F.col(lon), F.col(lat)))]
+    targets = placed.select("candidate_id", "__released", _micros("first").alias("__first"), _micros("last").alias("__last"), chord2_of(F.col("__reach_km")).alias("__far"), *at("__o", "origin_lon", "origin_lat"), cells.CELL, "__slot")
+    fixes = cells.place_points(positions.select("mmsi", "lon", "lat", cells.slot(F.col("ts"), hours).alias("__slot"), _micros("ts").alias("__at")), used)
+    pairs = cells.meet(fixes.select("mmsi", "__at", *at("__p", "lon", "lat"), cells.CELL, "__slot"), targets, "__slot")
+    chord2 = sum((F.col(f"__o{k}") - F.col(f"__p{k}")) * (F.col(f"__o{k}") - F.col(f"__p{k}")) for k in range(3))  # no sine for a pair that is too far apart
+    near = pairs.where((F.col("__at") >= F.col("__first")) & (F.col("__at") <= F.col("__last")) & (chord2 <= F.col("__far"))).withColumn("km", chord2_km(chord2))
+    bits = math.ceil(math.log2((hours_before + hours_after) * 3600e3 + 2))  # of the milliseconds since `first`
+    order = F.floor(F.col("km") * float((1 << (62 - bits)) / (SEARCH_KM + 1))) * F.lit(1 << bits) + F.floor((F.col("__at") - F.col("__first")) / 1000)
+    return near.select("candidate_id", "mmsi", "km", "__at", "__released", order.alias("__order"))
 
 
 def _hours(n: float) -> Column:

@@ -11,6 +11,7 @@ from tidewatch.operators import joins, tracks
 from tidewatch.plans import sql
 from tidewatch.plans.registry import query
 from tidewatch.sources.relations import EPOCH, known_sources, ports, relation
+from tidewatch.sources.shared import written
 
 
 def slicks(spark: SparkSession, d: str) -> DataFrame:
@@ -173,12 +174,12 @@ def j06_j07_dark_events(spark: SparkSession, d: str) -> DataFrame:
 def ranked_vessels(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
     """Every vessel that stays in play for each slick (of those in `of`, if given), with terms, score and place."""
     pos, slick = relation(spark, d, "pos"), origins(spark, d) if of is None else of.select("candidate_id", "lon", "lat", "unc_km", "axis_deg", F.col("observed").alias("release"))
-    near = joins.closest_approach(slick, pos, 8, 6, F.least(F.greatest(F.col("unc_km"), F.lit(1.0)) * joins.SIGMAS, F.lit(joins.SEARCH_KM)))
-    dark = joins.dark_events(slick, tracks.gaps(pos)).select("candidate_id", "mmsi").distinct().withColumn("went_dark", F.lit(True))
-    known = near.join(slick.select("candidate_id", "unc_km", "axis_deg"), "candidate_id").join(tracks.mean_courses(pos), "mmsi").join(dark, ["candidate_id", "mmsi"], "left")
+    reach = F.least(F.greatest(F.col("unc_km"), F.lit(1.0)) * joins.SIGMAS, F.lit(joins.SEARCH_KM))
+    near = joins.closest_approach(slick, pos, 8, 6, reach, by_candidate=True)
+    courses = written(tracks.mean_courses(pos), "courses")
+    known = joins.flag_dark(near, slick, tracks.gaps(pos)).join(joins.bounded(courses), "mmsi")
     terms = known.withColumns({
-        "went_dark": F.coalesce("went_dark", F.lit(False)), "parity": physics.parity_score(F.col("course"), F.col("axis_deg")),
-        "proximity": physics.proximity_score(F.col("km"), F.col("unc_km")), "temporality": physics.temporality_score(F.col("hours")),
+        "parity": physics.parity_score(F.col("course"), F.col("axis_deg")), "proximity": physics.proximity_score(F.col("km"), F.col("unc_km")), "temporality": physics.temporality_score(F.col("hours")),
     })
     kept = terms.where(physics.disqualified(F.col("proximity"), F.col("temporality")).isNull())
     scored = kept.withColumn("score", physics.vessel_score(F.col("parity"), F.col("proximity"), F.col("temporality"), F.col("went_dark")))
