@@ -135,8 +135,8 @@ NAMES = ["candidate_id", "centre_lon", "centre_lat", "spread_km", "particles", "
 def drift_clouds(candidates: DataFrame, hours: Column | float, dt: float, n: int = 500, diffusion: float = 5.0, eddy: bool = True, u0: float = 0.0, v0: float = 0.0, track: bool = False, hull: bool = True) -> DataFrame:
     """Seed n particles in each candidate's polygon, move them `hours` on (back, if negative), and sum the cloud up.
 
-    candidates: candidate_id, ring (array of struct lon, lat), at (time in hours), and if there are such columns wind_u,
-    wind_v (m/s): LEEWAY of them is added to the current. Horizontal diffusion (m2/s) is a random walk of sqrt(2 K dt)
+    candidates: candidate_id, ring (array of struct lon, lat) or points (the same, as seeds themselves, n of them at most), at (time
+    in hours), and if there are such columns wind_u, wind_v (m/s): LEEWAY of them is added to the current. Horizontal diffusion (m2/s) is a random walk of sqrt(2 K dt)
     m a step. The uncertainty adds ERROR_KM_PER_HOUR of the way to the spread. A forecast beyond LAST_HOURS is refused:
     the cloud stays and isn't reliable, nor is one beyond FORECAST_HOURS, or an origin beyond ORIGIN_HOURS or 50 km.
     A candidate whose ring takes no particle has nulls and the problem. track: the cloud's centre and spread after each
@@ -144,14 +144,18 @@ def drift_clouds(candidates: DataFrame, hours: Column | float, dt: float, n: int
     """
     wind = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in candidates.columns else F.lit(0.0).alias(c) for c in ("wind_u", "wind_v")]
     far = F.lit(float(hours)) if isinstance(hours, int | float) else hours.cast("double")
-    rows = candidates.select("candidate_id", "ring", F.col("at").cast("double").alias("at"), far.alias("hours"), *wind)
+    given = "points" in candidates.columns
+    rows = candidates.select("candidate_id", (F.col("points") if given else F.col("ring")).alias("ring"), F.col("at").cast("double").alias("at"), far.alias("hours"), *wind)
 
     def cloud_rows(some: list[dict]) -> Iterator[tuple]:
         seeded, made = [], {}
         for k, r in enumerate(some):
             rng = generator(r["candidate_id"])
             try:
-                seeded.append((k, sample_polygon(np.array([(p["lon"], p["lat"]) for p in r["ring"] or []], float).reshape(-1, 2), n, rng), rng))
+                corners = np.array([(p["lon"], p["lat"]) for p in r["ring"] or []], float).reshape(-1, 2)
+                if given and (not len(corners) or np.isnan(corners).any()):
+                    raise ValueError("no particle to follow")
+                seeded.append((k, corners if given else sample_polygon(corners, n, rng), rng))
             except ValueError as e:
                 made[k] = (r["candidate_id"], None, None, None, 0, None, False, None, str(e), None)
         # the longest way first, so that those under way at a step are the first rows
@@ -227,6 +231,23 @@ def ellipse(lon: Column, lat: Column, area_km2: Column, elongation: Column, axis
     return F.array(*(corner(k) for k in range(corners)))
 
 
+def laid_out(candidate_id: Column, lon: Column, lat: Column, area_km2: Column, elongation: Column, axis_deg: Column, n: int) -> Column:
+    """n points spread evenly over a slick's ellipse (see `ellipse`) by MD5 of candidate and number: array<struct<lon, lat>>, the same every time.
+
+    A slick without a place or an area has nulls in it.
+    """
+    half = F.sqrt(F.when(area_km2 > 0, area_km2) / np.pi / F.greatest(elongation, F.lit(1.0))) * 1000.0
+    along, turn = half * F.greatest(elongation, F.lit(1.0)), F.radians(axis_deg)
+
+    def point(pid: Column) -> Column:
+        u = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("|", candidate_id.cast("string"), pid.cast("string"), F.lit(str(salt))).cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
+        a, b = F.sqrt(u(1)) * F.cos(2 * np.pi * u(2)) * along, F.sqrt(u(1)) * F.sin(2 * np.pi * u(2)) * half
+        east, north = a * F.sin(turn) + b * F.cos(turn), a * F.cos(turn) - b * F.sin(turn)
+        return F.struct((lon + east / (M_PER_DEGREE_LON * F.cos(F.radians(lat)))).alias("lon"), (lat + north / M_PER_DEGREE_LAT).alias("lat"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
+
+
 def seed(candidates: DataFrame, n: int, radius_km: float) -> DataFrame:
     """n particles within radius_km of each candidate (candidate_id, lon, lat), spread by MD5: the same every time, in any engine."""
     u = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("|", "candidate_id", "pid", F.lit(str(salt))).cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0

@@ -67,7 +67,9 @@ def wave_trains(regions: DataFrame) -> DataFrame:
 
 
 def override(judged: DataFrame, trains: DataFrame) -> DataFrame:
-    """Reject members of wave trains that weren't rejected yet; their p_oil is at most 0.2."""
+    """Reject members of wave trains that weren't rejected yet; their p_oil is at most 0.2, and a gate (if there is such a column) says why."""
     marked = judged.join(trains.select("candidate_id").withColumn("in_train", F.lit(True)), "candidate_id", "left").withColumn("in_train", F.coalesce("in_train", F.lit(False)))
     fresh = F.col("in_train") & ~F.col("rejected")
+    if "gate" in judged.columns:
+        marked = marked.withColumn("gate", F.when(fresh, "internal_wave_train").otherwise(F.col("gate")))
     return marked.withColumns({"p_oil": F.when(fresh, F.least("p_oil", F.lit(0.2))).otherwise(F.col("p_oil")), "rejected": F.col("rejected") | F.col("in_train")})

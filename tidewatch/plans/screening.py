@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import physics
 from tidewatch.functions.geo import round_to
-from tidewatch.operators import joins, wavetrain
+from tidewatch.operators import drift, joins, wavetrain
 from tidewatch.plans import sql
 from tidewatch.plans.registry import query
 from tidewatch.plans.vessels import _r, incidents, ranked_vessels, slicks
@@ -47,15 +47,24 @@ def p04_f12_lookalike(spark: SparkSession, d: str) -> DataFrame:
 
 _SHAPE = "CASE WHEN source_kind IS NOT NULL THEN 'blob' WHEN elongation >= 6 AND compactness <= 0.35e0 THEN 'linear' WHEN compactness >= 0.45e0 THEN 'blob' ELSE 'unknown' END"
 _KIND = "CASE WHEN source_kind IS NOT NULL THEN source_kind WHEN elongation >= 6 AND compactness <= 0.35e0 THEN 'vessel' ELSE 'unknown' END"
-_SHAPED = f"src AS (SELECT candidate_id, arg_min(source_kind, {sql.km('lon', 'lat', 'source_lon', 'source_lat')}) AS source_kind FROM slick CROSS JOIN source WHERE {sql.km('lon', 'lat', 'source_lon', 'source_lat')} <= radius_km GROUP BY candidate_id), shaped AS (SELECT j.*, {_SHAPE} AS shape, {_KIND} AS source_type FROM judged j LEFT JOIN src USING (candidate_id))"
+_SHAPED_OF = f"src AS (SELECT candidate_id, arg_min(source_kind, {sql.km('lon', 'lat', 'source_lon', 'source_lat')}) AS source_kind FROM slick CROSS JOIN source WHERE {sql.km('lon', 'lat', 'source_lon', 'source_lat')} <= radius_km GROUP BY candidate_id), shaped AS (SELECT j.*, {_SHAPE} AS shape, {_KIND} AS source_type FROM {{}} j LEFT JOIN src USING (candidate_id))"
+_SHAPED = _SHAPED_OF.format("judged")
 
 
 def shaped(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
-    near = joins.match_known_source(judged(slicks(spark, d) if of is None else of), known_sources(spark))
+    """Slicks with their screen (of, if given: slicks that have it), the fixed source they lie at, shape and source type."""
+    near = joins.match_known_source(judged(slicks(spark, d)) if of is None else of, known_sources(spark))
     both = near.withColumn("m", physics.morphology(F.col("source_kind"), F.col("elongation"), F.col("compactness")))
     return both.withColumns({"shape": F.col("m.morphology"), "source_type": F.col("m.source_type")}).drop("m")
 
 
+def screened(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """Slicks (of those in `of`, if given) with their screen; members of their scene's wave trains are rejected."""
+    every = slicks(spark, d)
+    regions = every if of is None else every.join(of.select("scene_id").distinct(), "scene_id", "left_semi")
+    return wavetrain.override(judged(every if of is None else of), wavetrain.wave_trains(regions))
+
+
 @query(sql.with_relations("slick", "source", then=f"{sql.judged()}, {_SHAPED}") + " SELECT candidate_id, shape, source_type FROM shaped")
 def f13_morphology(spark: SparkSession, d: str) -> DataFrame:
     return shaped(spark, d).select("candidate_id", "shape", "source_type")
@@ -70,7 +79,7 @@ _TIERED = (
     "graded AS (SELECT *, CASE WHEN rejected THEN 0e0 WHEN best IS NOT NULL THEN least(1e0, points + 0.3e0 * least(1e0, 0.4e0 + best)) ELSE points END AS conf FROM pointed), "
     "tiered AS (SELECT *, CASE WHEN rejected THEN 'insufficient' WHEN best >= 0.35e0 AND conf >= 0.55e0 THEN 'confirmed' WHEN conf >= 0.62e0 THEN 'probable' WHEN conf >= 0.38e0 AND source_type IN ('natural_seep', 'infrastructure') THEN 'probable' WHEN conf >= 0.38e0 THEN 'possible' ELSE 'insufficient' END AS tier FROM graded)"
 )
-_ALL = f"{sql.judged()}, {_SHAPED}, {_TIERED}"
+_ALL = f"{sql.judged()}, {sql.trained()}, {_SHAPED_OF.format('screened')}, {_TIERED}"
 
 
 def tiered(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
@@ -83,7 +92,7 @@ def tiered(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFram
     rank = F.when(F.col("natural_seep") | F.col("persistent"), F.col("rank"))
     match = joins.top_matches(joins.corroborate(seen, incidents(spark, d)), 3).groupBy("candidate_id").agg(F.max("confidence").alias("best"), F.min_by(fixed, rank).alias("fixed"))
     source = F.when(F.col("source_type").isin("vessel", "unknown"), F.coalesce("fixed", "source_type")).otherwise(F.col("source_type"))
-    both = shaped(spark, d, seen).join(match, "candidate_id", "left").withColumns({"win": physics.wind_window_score(F.col("wind_ms")), "source_type": source}).drop("fixed")
+    both = shaped(spark, d, screened(spark, d, of)).join(match, "candidate_id", "left").withColumns({"win": physics.wind_window_score(F.col("wind_ms")), "source_type": source}).drop("fixed")
     args = [F.col(c) for c in ("p_oil", "damping_db", "win", "shape", "elongation", "area_km2", "rejected", "best", "source_type")]
     return both.withColumn("g", physics.confidence(*args)).withColumns({"tier": F.col("g.tier"), "conf": F.col("g.score")}).drop("g")
 
@@ -93,26 +102,62 @@ def f14_f15_confidence(spark: SparkSession, d: str) -> DataFrame:
     return tiered(spark, d).select("candidate_id", "tier", _r("conf"), F.col("tier").isin("confirmed", "probable").alias("is_actual_oil"))
 
 
+#: How far origins are drifted back, in hours and in seconds a step, and by how many particles a slick.
+BACK_HOURS, DT, PARTICLES = 12.0, 1800, 50
+
+
+def origins_of(found: DataFrame) -> DataFrame:
+    """Slicks' origins: candidate_id, lon, lat, unc_km, release, axis_deg (of linear slicks only).
+
+    PARTICLES laid out over each slick drift back with the current and the wind; their centre is the origin, their spread
+    and the model's error its uncertainty, BACK_HOURS before the observation its time. There is no random walk, so that
+    a run can be repeated (and followed in SQL); drift.drift_clouds has one. A slick without a particle has no origin.
+    """
+    points = drift.laid_out(*(F.col(c) for c in ("candidate_id", "lon", "lat", "area_km2", "elongation", "axis_deg")), PARTICLES)
+    wind = (F.col("wind_ms") * f(F.radians("axis_deg")) for f in (F.sin, F.cos))
+    seeded = found.select("candidate_id", points.alias("points"), F.col("obs_hour").alias("at"), *(w.alias(n) for w, n in zip(wind, ("wind_u", "wind_v"), strict=True)))
+    clouds = drift.drift_clouds(seeded, -BACK_HOURS, DT, n=PARTICLES, diffusion=0.0, hull=False).select("candidate_id", "centre_lon", "centre_lat", "uncertainty_km").where("centre_lon IS NOT NULL")
+    known = found.select("candidate_id", "observed", F.when(F.col("shape") == "linear", F.col("axis_deg")).alias("axis_deg")).join(clouds, "candidate_id")
+    release = F.col("observed") - F.make_dt_interval(hours=F.lit(int(BACK_HOURS)))
+    return known.select("candidate_id", F.col("centre_lon").alias("lon"), F.col("centre_lat").alias("lat"), F.col("uncertainty_km").alias("unc_km"), release.alias("release"), "axis_deg")
+
+
+_LAID = "CAST(('0x' || substr(md5(candidate_id || '|' || pid || '|{}'), 1, 8)) AS BIGINT) / 4294967296e0"
+_ORIGINS = (
+    "sought AS (SELECT * FROM tiered WHERE NOT rejected AND source_type NOT IN ('natural_seep', 'infrastructure')), "
+    f"laid AS (SELECT *, sqrt({_LAID.format(1)}) AS far, 2 * pi() * {_LAID.format(2)} AS turn, sqrt(area_km2 / pi() / greatest(elongation, 1e0)) * 1000 AS half FROM sought, range({PARTICLES}) p(pid) WHERE area_km2 > 0), "
+    "spread AS (SELECT *, far * cos(turn) * half * greatest(elongation, 1e0) AS a, far * sin(turn) * half AS b FROM laid), "
+    "moving AS (SELECT candidate_id, pid, lon + (a * sin(radians(axis_deg)) + b * cos(radians(axis_deg))) / (111320e0 * cos(radians(lat))) AS lon, lat + (a * cos(radians(axis_deg)) - b * sin(radians(axis_deg))) / 110574e0 AS lat, CAST(obs_hour AS DOUBLE) AS h, 0 AS n, "
+    "3e-2 * wind_ms * sin(radians(axis_deg)) AS wu, 3e-2 * wind_ms * cos(radians(axis_deg)) AS wv FROM spread UNION ALL "
+    + sql.rk4(lambda *at: [f"{w} + {c}" for w, c in zip(("wu", "wv"), sql.eddy(*at), strict=True)], f"moving WHERE n < {round(BACK_HOURS * 3600 / DT)}", f"-{DT}e0", "candidate_id, pid", "wu, wv")
+    + f"), arrived AS (SELECT * FROM moving WHERE n = {round(BACK_HOURS * 3600 / DT)}), middle AS (SELECT candidate_id, avg(lon) AS a, avg(lat) AS b FROM arrived GROUP BY candidate_id), "
+    f"away AS (SELECT candidate_id, a, b, {sql.km('lon', 'lat', 'a', 'b')} AS km FROM arrived JOIN middle USING (candidate_id)), "
+    f"origin AS (SELECT candidate_id, c.lon, c.lat, sqrt(spread_km * spread_km + {(0.9 * BACK_HOURS) ** 2!r}e0) AS unc_km, CASE WHEN shape = 'linear' THEN axis_deg END AS axis_deg, observed - INTERVAL {round(BACK_HOURS)} HOUR AS observed "
+    "FROM sought JOIN (SELECT candidate_id, any_value(a) AS lon, any_value(b) AS lat, quantile_cont(km, 0.68) AS spread_km FROM away GROUP BY candidate_id) AS c USING (candidate_id))"
+)
 _DECIDED = (
-    f"{_ALL}, {sql.approached()}, {sql.gapped()}, {sql.ranked()}, tops AS (SELECT candidate_id, count(*) AS n, max(CASE WHEN place = 1 THEN score END) AS top, max(CASE WHEN place = 2 THEN score END) AS second, max(CASE WHEN place = 1 THEN mmsi END) AS suspect FROM ranked GROUP BY candidate_id), "
-    "decided AS (SELECT t.*, coalesce(n, 0) AS vessels, top, second, suspect, CASE WHEN rejected THEN 'not classified as oil' WHEN win < 0.15e0 THEN 'wind at the edge of the detection window' "
-    "WHEN source_type IN ('natural_seep', 'infrastructure') THEN 'source classified as ' || replace(source_type, '_', ' ') WHEN unc_km > 60 THEN 'drift origin too uncertain' WHEN n IS NULL THEN 'no AIS tracks near the origin' "
-    "WHEN top < 0.35e0 THEN 'best candidate below threshold' WHEN n >= 2 AND top - second < 0.08e0 THEN 'top two candidates too close' END AS reason FROM tiered t LEFT JOIN tops ON tops.candidate_id = t.candidate_id AND NOT rejected AND source_type NOT IN ('natural_seep', 'infrastructure'))"
+    f"{_ALL}, {_ORIGINS}, {sql.approached('origin')}, {sql.gapped()}, {sql.ranked('origin')}, tops AS (SELECT candidate_id, count(*) AS n, max(CASE WHEN place = 1 THEN score END) AS top, max(CASE WHEN place = 2 THEN score END) AS second, max(CASE WHEN place = 1 THEN mmsi END) AS suspect FROM ranked GROUP BY candidate_id), "
+    "decided AS (SELECT t.* EXCLUDE (unc_km), o.unc_km, coalesce(n, 0) AS vessels, top, second, suspect, CASE WHEN rejected THEN 'not classified as oil' WHEN win < 0.15e0 THEN 'wind at the edge of the detection window' "
+    "WHEN source_type IN ('natural_seep', 'infrastructure') THEN 'source classified as ' || replace(source_type, '_', ' ') WHEN o.candidate_id IS NULL THEN 'no drift origin' WHEN o.unc_km > 60 THEN 'drift origin too uncertain' WHEN n IS NULL THEN 'no AIS tracks near the origin' "
+    "WHEN top < 0.35e0 THEN 'best candidate below threshold' WHEN n >= 2 AND top - second < 0.08e0 THEN 'top two candidates too close' END AS reason FROM tiered t LEFT JOIN origin o USING (candidate_id) LEFT JOIN tops USING (candidate_id))"
 )
 
 
 def decided(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
-    """Slicks with the two best vessels and the reason to abstain, if any.
+    """Slicks with the two best vessels round their drift origin and the reason to abstain, if any.
 
-    Vessels are sought only for slicks that are neither rejected nor laid to a fixed source; the others have none.
+    Origins and vessels are sought only for slicks that are neither rejected nor laid to a fixed source; the others have
+    none. unc_km is the origin's.
     """
     found = written(tiered(spark, d, of), "tiered")
     sought = found.where(~F.col("rejected") & ~F.col("source_type").isin("natural_seep", "infrastructure"))
+    origin = written(origins_of(sought), "origins")
     at = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
-    tops = ranked_vessels(spark, d, sought).groupBy("candidate_id").agg(F.count("*").alias("n"), at(1, "score").alias("top"), at(2, "score").alias("second"), at(1, "mmsi").alias("suspect"))
-    both = found.join(tops, "candidate_id", "left").withColumn("vessels", F.coalesce("n", F.lit(0)))
-    args = ("rejected", "win", "source_type", None, "unc_km", "vessels", "top", "second")
-    return both.withColumn("reason", physics.abstain_reason(*(F.col(a) if a else F.lit(True) for a in args)))
+    tops = ranked_vessels(spark, d, origin).groupBy("candidate_id").agg(F.count("*").alias("n"), at(1, "score").alias("top"), at(2, "score").alias("second"), at(1, "mmsi").alias("suspect"))
+    known = origin.select("candidate_id", "unc_km", F.lit(True).alias("has_origin"))
+    both = found.drop("unc_km").join(known, "candidate_id", "left").join(tops, "candidate_id", "left").withColumns({"vessels": F.coalesce("n", F.lit(0)), "has_origin": F.coalesce("has_origin", F.lit(False))})
+    args = ("rejected", "win", "source_type", "has_origin", "unc_km", "vessels", "top", "second")
+    return both.withColumn("reason", physics.abstain_reason(*(F.col(a) for a in args)))
 
 
 @query(sql.with_relations("slick", "source", "incident", "pos", then=_DECIDED) + f" SELECT candidate_id, vessels, reason, reason IS NOT NULL AS abstained, CASE WHEN reason IS NULL THEN CAST(suspect AS VARCHAR) END AS suspect, {sql.r('top')} AS top FROM decided")
@@ -132,7 +177,7 @@ def a16_coverage_risk(spark: SparkSession, d: str) -> DataFrame:
 @query(sql.with_relations("slick", "source", "incident", "pos", then=_DECIDED) + f"""
 SELECT scene_id, count(*) AS slicks, count(*) FILTER (NOT rejected) AS confirmed, count(*) FILTER (tier IN ('confirmed', 'probable')) AS presented, count(*) FILTER (reason IS NULL) AS attributed, {sql.r('max(conf)')} AS best_conf, {sql.r('sum(area_km2)')} AS area_km2 FROM decided GROUP BY scene_id""")
 def p01_p02_scene_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """The whole chain, scene by scene: screen, shape, corroboration, confidence, vessels, decision."""
+    """The whole chain, scene by scene: screen, wave trains, shape, corroboration, confidence, drift, vessels, decision."""
     return decided(spark, d).groupBy("scene_id").agg(
         F.count("*").alias("slicks"), F.count_if(~F.col("rejected")).alias("confirmed"), F.count_if(F.col("tier").isin("confirmed", "probable")).alias("presented"),
         F.count_if(F.col("reason").isNull()).alias("attributed"), _r("best_conf", F.max("conf")), _r("area_km2", F.sum("area_km2")),
@@ -151,12 +196,16 @@ def j12_parallel_pairs(spark: SparkSession, d: str) -> DataFrame:
     return wavetrain.parallel_pairs(relation(spark, d, "slick"))
 
 
-@query()
+_TRAINS = sql.with_relations("slick", then=f"{sql.judged()}, {sql.trained()}")
+
+
+@query(_TRAINS + f" SELECT scene_id, train, candidate_id, {sql.r('axis')} AS axis, {sql.r('spacing')} AS spacing_km, {sql.r('cv')} AS cv FROM train")
 def j12_wave_trains(spark: SparkSession, d: str) -> DataFrame:
-    return wavetrain.wave_trains(relation(spark, d, "slick"))
+    trains = wavetrain.wave_trains(relation(spark, d, "slick"))
+    return trains.select("scene_id", "train", "candidate_id", _r("axis"), _r("spacing_km"), _r("cv"))
 
 
-@query()
+@query(_TRAINS + f" SELECT candidate_id, rejected, {sql.r('p_oil')} AS p_oil, in_train FROM screened")
 def p05_wave_train_override(spark: SparkSession, d: str) -> DataFrame:
     base = judged(relation(spark, d, "slick"))
     return wavetrain.override(base, wavetrain.wave_trains(base)).select("candidate_id", "rejected", _r("p_oil"), "in_train")

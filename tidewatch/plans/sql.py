@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from tidewatch.sources.relations import EPOCH, KNOWN_SOURCES, PORTS, RELATIONS
 
 
 def with_relations(*names: str, then: str = "") -> str:
-    """WITH clause of domain relations, and further tables in `then`."""
+    """WITH clause of domain relations, and further tables in `then`, recursive ones too."""
     parts = []
     for n in names:
         if n == "source":
@@ -25,7 +27,7 @@ def with_relations(*names: str, then: str = "") -> str:
             if n == "incident":
                 columns = [*columns, f"CASE WHEN c_custkey % 13 <> 0 THEN TIMESTAMP '{EPOCH}' + (c_custkey % 45 - 17) * INTERVAL 1 DAY END AS occurred"]
             parts.append(f"{n} AS (SELECT {', '.join(columns)} FROM {table}{f' WHERE {where}' if where else ''})")
-    return "WITH " + ", ".join(parts) + (f", {then}" if then else "")
+    return ("WITH RECURSIVE " if " UNION ALL SELECT" in then else "WITH ") + ", ".join(parts) + (f", {then}" if then else "")
 
 
 def r(x: str, digits: int = 4) -> str:
@@ -93,6 +95,35 @@ def judged() -> str:
     )
 
 
+def trained() -> str:
+    """CTEs train and screened: wave trains, scene by scene from the largest region down, and slicks that no train rejects; after judged().
+
+    walk holds for each scene how many regions have been seeds (k), which are used up, and the train that the last seed made.
+    """
+    at = {"a": "s.lon", "b": "s.lat", "c": "x.lon", "d": "x.lat"}
+    steps = [
+        "SELECT *, r[k + 1] AS s FROM walk WHERE k < len(r)",
+        f"SELECT *, CASE WHEN list_contains(used, s.id) THEN [] ELSE list_filter(r, lambda x: NOT list_contains(used, x.id) AND {axial('x.axis', 's.axis')} <= 20 AND greatest(x.area, s.area) <= 3 * least(x.area, s.area)) END AS near FROM ({{}}) AS w1",
+        f"SELECT *, list_transform(near, lambda x: x.id) AS found, {mod('degrees(atan2(list_sum(list_transform(near, lambda x: sin(radians(2 * x.axis)))), list_sum(list_transform(near, lambda x: cos(radians(2 * x.axis)))))) / 2', '180e0')} AS mean_axis FROM ({{}}) AS w2",
+        f"SELECT *, list_sort(list_transform(near, lambda x: {km(**at)} * cos(radians({bearing(**at)} - (mean_axis + 90))))) AS o FROM ({{}}) AS w3",
+        "SELECT *, list_filter(list_transform(range(1, len(o)), lambda i: o[i + 1] - o[i]), lambda g: g > 1e-6) AS gaps FROM ({}) AS w4",
+        "SELECT *, list_avg(gaps) AS mean_gap, list_aggregate(gaps, 'stddev_pop') / list_avg(gaps) AS uneven FROM ({}) AS w5",
+        "SELECT *, len(near) >= 3 AND len(gaps) > 0 AND uneven <= 0.45e0 AS ok FROM ({}) AS w6",
+    ]
+    nested = steps[0]
+    for step in steps[1:]:
+        nested = step.format(nested)
+    none = "CAST([] AS BIGINT[])"
+    return (
+        "scene_rows AS (SELECT scene_id, list({'id': candidate_id, 'lon': lon, 'lat': lat, 'axis': axis_deg, 'area': area_km2} ORDER BY area_km2 DESC, candidate_id) AS r FROM slick WHERE elongation >= 3 AND area_km2 > 0 GROUP BY scene_id), "
+        f"walk AS (SELECT scene_id, r, CAST(0 AS BIGINT) AS k, {none} AS used, 0 AS train, {none} AS ids, 0e0 AS axis, 0e0 AS spacing, 0e0 AS cv FROM scene_rows UNION ALL SELECT scene_id, r, k + 1, CASE WHEN ok THEN list_concat(used, found) ELSE used END, "
+        f"CASE WHEN ok THEN train + 1 ELSE train END, CASE WHEN ok THEN found ELSE {none} END, mean_axis, mean_gap, uneven FROM ({nested}) AS w7), "
+        "train AS (SELECT scene_id, train - 1 AS train, unnest(ids) AS candidate_id, axis, spacing, cv FROM walk WHERE len(ids) > 0), "
+        "marked AS (SELECT j.*, t.candidate_id IS NOT NULL AS in_train FROM judged j LEFT JOIN train t USING (candidate_id)), "
+        "screened AS (SELECT * REPLACE (CASE WHEN in_train AND NOT rejected THEN 'internal_wave_train' ELSE gate END AS gate, CASE WHEN in_train AND NOT rejected THEN least(p_oil, 0.2e0) ELSE p_oil END AS p_oil, rejected OR in_train AS rejected) FROM marked)"
+    )
+
+
 def gapped() -> str:
     """CTE gap: AIS silences of 30 minutes and more."""
     lag = lambda c: f"lag({c}) OVER (PARTITION BY mmsi ORDER BY ts, event_id)"
@@ -103,27 +134,27 @@ def gapped() -> str:
     )
 
 
-def approached() -> str:
-    """CTE near: the closest fix, within 50 km, of each vessel to each slick from 8 hours before to 6 hours after its release."""
+def approached(of: str = "slick") -> str:
+    """CTE near: the closest fix, within 50 km, of each vessel to each row of `of` from 8 hours before to 6 hours after its release."""
     d = km("s.lon", "s.lat", "p.lon", "p.lat")
     return (
         f"pair AS (SELECT s.candidate_id, p.mmsi, p.ts, p.event_id, {d} AS km, {minutes('s.observed', 'p.ts')} / 60 AS hours, "
         f"row_number() OVER (PARTITION BY s.candidate_id, p.mmsi ORDER BY {d}, p.ts, p.event_id) AS n "
-        "FROM slick s JOIN pos p ON p.ts >= s.observed - INTERVAL 8 HOUR AND p.ts <= s.observed + INTERVAL 6 HOUR), "
+        f"FROM {of} s JOIN pos p ON p.ts >= s.observed - INTERVAL 8 HOUR AND p.ts <= s.observed + INTERVAL 6 HOUR), "
         "near AS (SELECT candidate_id, mmsi, ts, km, hours FROM pair WHERE n = 1 AND km <= 50)"
     )
 
 
-def ranked() -> str:
-    """CTE ranked: vessels of each slick by score, after approached() and gapped()."""
+def ranked(of: str = "slick") -> str:
+    """CTE ranked: vessels of each row of `of` by score, after approached() and gapped()."""
     axes = axial("c.course", "s.axis_deg")
     return (
         f"course AS (SELECT mmsi, {mod('degrees(atan2(sum(sin(radians(cog))), sum(cos(radians(cog)))))', '360e0')} AS course FROM pos GROUP BY mmsi), "
-        "dark AS (SELECT DISTINCT s.candidate_id, g.mmsi FROM slick s JOIN gap g ON s.observed >= g.gap_start - INTERVAL 1 HOUR AND s.observed <= g.gap_end + INTERVAL 1 HOUR "
+        f"dark AS (SELECT DISTINCT s.candidate_id, g.mmsi FROM {of} s JOIN gap g ON s.observed >= g.gap_start - INTERVAL 1 HOUR AND s.observed <= g.gap_end + INTERVAL 1 HOUR "
         f"WHERE {km('s.lon', 's.lat', 'g.mid_lon', 'g.mid_lat')} <= greatest(s.unc_km * 2, 10e0)), "
-        f"termed AS (SELECT n.candidate_id, n.mmsi, n.km, greatest(0e0, 1 - {axes} / 90) AS parity, CASE WHEN n.km <= 50 THEN exp(-0.5e0 * pow(n.km / greatest(s.unc_km, 1e0), 2)) ELSE 0e0 END AS proximity, "
+        f"termed AS (SELECT n.candidate_id, n.mmsi, n.km, CASE WHEN s.axis_deg IS NULL THEN 0e0 ELSE greatest(0e0, 1 - {axes} / 90) END AS parity, CASE WHEN n.km <= 50 THEN exp(-0.5e0 * pow(n.km / greatest(s.unc_km, 1e0), 2)) ELSE 0e0 END AS proximity, "
         "CASE WHEN n.hours <= 0 THEN exp(n.hours / 8) ELSE exp(-3 * n.hours / 8) END AS temporality, d.mmsi IS NOT NULL AS went_dark "
-        "FROM near n JOIN slick s USING (candidate_id) JOIN course c USING (mmsi) LEFT JOIN dark d ON d.candidate_id = n.candidate_id AND d.mmsi = n.mmsi), "
+        f"FROM near n JOIN {of} s USING (candidate_id) JOIN course c USING (mmsi) LEFT JOIN dark d ON d.candidate_id = n.candidate_id AND d.mmsi = n.mmsi), "
         "summed AS (SELECT *, least(1e0, 0.3e0 * parity + 0.4e0 * proximity + 0.3e0 * temporality + CASE WHEN went_dark THEN 0.15e0 ELSE 0e0 END) AS score FROM termed WHERE proximity > 1e-6 AND temporality >= 0.05e0), "
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, mmsi) AS place FROM summed)"
     )
@@ -139,3 +170,17 @@ def matched() -> str:
         "CASE WHEN days IS NOT NULL THEN exp(-greatest(days - duration_days, 0e0) / 7) WHEN persistent THEN 1e0 ELSE 0.4e0 END AS fresh FROM paired WHERE days IS NULL OR (days >= -2 AND days <= 14 + duration_days)), "
         "match AS (SELECT candidate_id, incident_id, km, days, persistent, natural_seep, 0.6e0 * greatest(0e0, 1 - km / radius) + 0.4e0 * fresh AS confidence FROM ringed WHERE km <= radius)"
     )
+
+
+def rk4(velocity: Callable[[str, str, str], tuple[str, str]], of: str, dt: str, keep: str, then: str = "") -> str:
+    """One fourth-order step over `of` (lon, lat, h, n) in SQL, stage by stage: keep, lon, lat, h, n + 1, then."""
+    at = [("lon", "lat", "h"), *((f"lon + u{k} * ax * {s}e0", f"lat + v{k} * ay * {s}e0", f"h + d * {s}e0 / 3600") for k, s in ((1, 0.5), (2, 0.5), (3, 1.0)))]
+    inner = f"SELECT *, d / (111320e0 * cos(radians(lat))) AS ax, d / 110574e0 AS ay FROM (SELECT *, {dt} AS d FROM {of}) AS a0"
+    for k, place in enumerate(at, 1):
+        u, v = velocity(*place)
+        inner = f"SELECT *, {u} AS u{k}, {v} AS v{k} FROM ({inner}) AS a{k}"
+    return f"SELECT {keep}, lon + (u1 + 2 * (u2 + u3) + u4) * ax / 6 AS lon, lat + (v1 + 2 * (v2 + v3) + v4) * ay / 6 AS lat, h + d / 3600 AS h, n + 1 AS n{", " + then if then else ""} FROM ({inner}) AS a9"
+
+
+def eddy(lon: str, lat: str, h: str) -> tuple[str, str]:
+    return f"0.25e0 + 0.18e0 * sin(2 * pi() / 0.6e0 * ({lat})) + 0.12e0 * cos(2 * pi() / 12.42e0 * ({h}))", f"-0.1e0 - 0.18e0 * sin(2 * pi() / 0.6e0 * ({lon}))"

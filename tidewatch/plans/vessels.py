@@ -172,8 +172,8 @@ def j06_j07_dark_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked_vessels(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
-    """Every vessel that stays in play for each slick (of those in `of`, if given), with terms, score and place."""
-    pos, slick = relation(spark, d, "pos"), origins(spark, d) if of is None else of.select("candidate_id", "lon", "lat", "unc_km", "axis_deg", F.col("observed").alias("release"))
+    """Every vessel that stays in play for each origin (those in `of`, else slicks as seen), with terms, score and place."""
+    pos, slick = relation(spark, d, "pos"), origins(spark, d) if of is None else of
     reach = F.least(F.greatest(F.col("unc_km"), F.lit(1.0)) * joins.SIGMAS, F.lit(joins.SEARCH_KM))
     near = joins.closest_approach(slick, pos, 8, 6, reach, by_candidate=True)
     courses = written(tracks.mean_courses(pos), "courses")

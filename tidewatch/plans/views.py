@@ -123,7 +123,7 @@ def a17_n09_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_VIEW + " SELECT coalesce(gate, CASE WHEN rejected THEN 'low score' END) AS bucket, count(*) AS slicks FROM decided WHERE rejected GROUP BY 1 ORDER BY 2 DESC, 1")
 def o05_rejection_histogram(spark: SparkSession, d: str) -> DataFrame:
-    rejected = screening.judged(relation(spark, d, "slick")).where("rejected")
+    rejected = screening.screened(spark, d).where("rejected")
     return rejected.groupBy(F.coalesce("gate", F.lit("low score")).alias("bucket")).agg(F.count("*").alias("slicks")).orderBy(F.desc("slicks"), "bucket")
 
 
@@ -141,7 +141,7 @@ def n05_j18_slick_detail(spark: SparkSession, d: str) -> DataFrame:
     """The point lookup of one candidate, here the first that isn't rejected."""
     from tidewatch.plans.vessels import slicks
 
-    first = screening.judged(relation(spark, d, "slick")).where("NOT rejected").agg(F.min("candidate_id").alias("candidate_id"))  # one row
+    first = screening.screened(spark, d).where("NOT rejected").agg(F.min("candidate_id").alias("candidate_id"))  # one row
     one = slicks(spark, d).join(F.broadcast(first), "candidate_id")
     return screening.decided(spark, d, one).select("candidate_id", "scene_id", "rejected", "tier", "reason")
 
