@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.physics import db_to_linear, linear_to_db
+from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.sources.shared import written
 
 
@@ -79,7 +80,8 @@ def speckle_index(pixels: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def calibration_mode(pixels: DataFrame, value: str = "v") -> DataFrame:
     """One row: share of negative values, 1 % and 99 % quantiles and the mode they speak for."""
-    q = pixels.agg(F.avg(F.when(F.col(value) < 0, 1.0).otherwise(0.0)).alias("negative"), F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    p1, p99 = exact_quantiles(pixels, value, [0.01, 0.99])
+    q = pixels.agg(F.avg(F.when(F.col(value) < 0, 1.0).otherwise(0.0)).alias("negative")).withColumn("q", F.array(F.lit(p1).cast("double"), F.lit(p99).cast("double")))
     mode = F.when((F.col("negative") > 0.5) & (F.col("q")[0] > -60), "already_db").when(F.col("q")[1] <= 10, "already_sigma0").otherwise("raw_dn")
     return q.select("negative", F.col("q")[0].alias("p1"), F.col("q")[1].alias("p99"), mode.alias("mode"))
 
@@ -91,9 +93,8 @@ def calibrate(pixels: DataFrame, mode: str, nodata_db: float = -99.0) -> DataFra
         return pixels.withColumns({"db": F.when(v > -60, v).otherwise(nodata_db), "valid": v > -60})
     if mode == "already_sigma0":
         return pixels.withColumns({"db": F.when(v > 0, 10.0 * F.log10(F.greatest(v, F.lit(1e-6)))).otherwise(nodata_db), "valid": v > 0})
-    reference = pixels.where(v > 0).agg(F.percentile(v * v, 0.95).alias("__p95"))  # one row
-    scaled = pixels.join(F.broadcast(reference))
-    return scaled.withColumns({"db": F.when(v > 0, 10.0 * F.log10(F.greatest(v * v / F.col("__p95"), F.lit(1e-6)))).otherwise(nodata_db), "valid": v > 0}).drop("__p95")
+    p95 = F.lit(exact_quantiles(pixels.where(v > 0), v * v, [0.95])[0]).cast("double")
+    return pixels.withColumns({"db": F.when(v > 0, 10.0 * F.log10(F.greatest(v * v / p95, F.lit(1e-6)))).otherwise(nodata_db), "valid": v > 0})
 
 
 def calibrate_by_table(pixels: DataFrame, table: DataFrame, nodata_db: float = -99.0) -> DataFrame:
@@ -326,11 +327,12 @@ def dark_patches(pixels: DataFrame, sensitivity: float = 2.0, band: int = 256) -
     Darker than the surroundings on any scale below the scene's size, more so near edges. Median, MAD and the gradient's
     90th percentile are the scene's; windows are taken over bands of rows with halos, mirrored at the scene's rim.
     """
-    scene = pixels.agg(F.max("r").alias("r"), F.max("c").alias("c"), F.median("db").alias("median")).first()
-    if scene["median"] is None:
+    scene = pixels.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    median = exact_quantiles(pixels, "db", [0.5])[0]
+    if median is None:
         return pixels.select("tile", "r", "c", "db")
     rows, cols = scene["r"] + 1, scene["c"] + 1
-    sigma = max(1.4826 * pixels.agg(F.median(F.abs(F.col("db") - scene["median"]))).first()[0], 0.25)
+    sigma = max(1.4826 * exact_quantiles(pixels, F.abs(F.col("db") - median), [0.5])[0], 0.25)
     scales = [k for k in SCALES if k < min(rows, cols)]
     rim = int(4 * SIGMA + 0.5) + SUPPORT // 2
     halo = max([rim, *(k // 2 for k in scales)])
@@ -362,7 +364,7 @@ def dark_patches(pixels: DataFrame, sensitivity: float = 2.0, band: int = 256) -
     bands = F.sequence(F.floor(F.greatest(F.col("r") - halo, F.lit(0)) / band), F.floor(F.least(F.col("r") + halo, F.lit(rows - 1)) / band))
     spread = pixels.select("tile", "r", "c", "db", F.explode(bands).alias("band"))
     read = spread.groupBy("band").applyInPandas(run, "tile long, r long, c long, z double, slope double, near double")
-    whole = pixels.select("r", "c").join(read, ["r", "c"])
-    steep = whole.agg(F.greatest(F.percentile("slope", F.lit(0.9)), F.lit(1e-3)).alias("steep"))
-    p = 1.0 / (1.0 + F.exp(-(F.col("z") - sensitivity))) * (0.55 + 0.45 * F.least(F.col("near") / F.col("steep"), F.lit(1.0)))
-    return whole.join(F.broadcast(steep)).select("tile", "r", "c", p.alias("db"))  # one row
+    whole = written(pixels.select("r", "c").join(read, ["r", "c"]), "dark")
+    steep = max(exact_quantiles(whole, "slope", [0.9])[0], 1e-3)
+    p = 1.0 / (1.0 + F.exp(-(F.col("z") - sensitivity))) * (0.55 + 0.45 * F.least(F.col("near") / F.lit(steep), F.lit(1.0)))
+    return whole.select("tile", "r", "c", p.alias("db"))

@@ -160,12 +160,12 @@ def a28_source_prefixes(spark: SparkSession, d: str) -> DataFrame:
 _TEXT = r"t AS (SELECT conv_id, turn, text, '2024/0' || (turn % 9 + 1) || '/15 x' AS day, (conv_id % 1000) || ',' || lpad(CAST(turn % 1000 AS VARCHAR), 3, '0') || '.5' AS num FROM conversations)"
 
 
-@query("WITH " + _TEXT + r" SELECT conv_id, turn, TIMESTAMP '2024-01-15 00:00:00' + (turn % 9) * INTERVAL 1 MONTH AS day, CAST(replace(num, ',', '') AS DOUBLE) AS num, nullif(trim(substr(text, 1, 8)), '') AS first FROM t")
+@query("WITH " + _TEXT + r" SELECT conv_id, turn, TIMESTAMP '2024-01-15 00:00:00' + (turn % 9) * INTERVAL 1 MONTH AS day, CAST(replace(num, ',', '') AS DOUBLE) AS num, nullif(trim(text), '') AS first FROM t")
 def t02_t03_s04_fields(spark: SparkSession, d: str) -> DataFrame:
     c = spark.read.parquet(f"{d}/conversations.parquet")
     day = F.concat(F.lit("2024/0"), (F.col("turn") % 9 + 1).cast("string"), F.lit("/15 x"))
     number = F.concat((F.col("conv_id") % 1000).cast("string"), F.lit(","), F.lpad((F.col("turn") % 1000).cast("string"), 3, "0"), F.lit(".5"))
-    return c.select("conv_id", "turn", text.to_date(day).cast("timestamp_ntz").alias("day"), text.to_number(number).alias("num"), text.first_non_blank(F.substring("text", 1, 8)).alias("first"))
+    return c.select("conv_id", "turn", text.to_date(day).cast("timestamp_ntz").alias("day"), text.to_number(number).alias("num"), text.first_non_blank(F.col("text")).alias("first"))
 
 
 @query(sql.with_relations("slick", then="s AS (SELECT candidate_id, x, y FROM slick CROSS JOIN (VALUES (0e0, 0e0), (1e0, 0e0), (1e0, 1e0), (0e0, 0e0)) AS v(x, y))") + " SELECT candidate_id, 'POLYGON ((' || printf('%.6f %.6f', lon, lat) || ', ' || printf('%.6f %.6f', lon + 1e0, lat) || ', ' || printf('%.6f %.6f', lon + 1e0, lat + 1e0) || ', ' || printf('%.6f %.6f', lon, lat) || '))' AS wkt, true AS inside FROM slick")
