@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tidewatch.functions import text
@@ -123,7 +125,9 @@ class PagedSource(DataSource):
     """A REST listing read page by page: format("tidewatch.paged") with a `fetch` importable as module:function.
 
     fetch(offset) returns (rows, next offset or None); rows are tuples of the schema given. All pages are read, unless
-    the option `most` asks for a number of rows.
+    the option `most` asks for a number of rows. As a stream (readStream), `count` names a function that tells how many rows
+    there are by now; offsets are row numbers, so a stream that is stopped goes on with the first row it hasn't
+    committed, and each partition reads `page` rows of its own. The option `argument` (a URL, say) is handed to both.
     """
 
     @classmethod
@@ -136,6 +140,53 @@ class PagedSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return PagedReader(self.options)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return PagedStream(self.options)
+
+
+def _called(options: dict, which: str) -> Callable:
+    """The function that an option names; the option `argument`, if given, is handed to it by that name."""
+    import importlib
+
+    module, _, name = options[which].partition(":")
+    function = getattr(importlib.import_module(module), name)
+    return functools.partial(function, argument=options["argument"]) if "argument" in options else function
+
+
+@dataclass
+class Rows(InputPartition):
+    """Rows first to last - 1 of a listing."""
+
+    first: int
+    last: int
+
+
+class PagedStream(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {"row": 0}
+
+    def latestOffset(self) -> dict:
+        return {"row": int(_called(self.options, "count")())}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        page = int(self.options.get("page", "1000"))
+        return [Rows(a, min(a + page, end["row"])) for a in range(start["row"], end["row"], page)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        fetch, at = _called(self.options, "fetch"), partition.first
+        while at is not None and at < partition.last:
+            rows, then = fetch(at)
+            if not rows and then is not None and then <= at:
+                raise ValueError(f"the listing gives no row at {at}")
+            yield from rows[: partition.last - at]
+            at = then if then is None else max(then, at + len(rows))
+
+    def commit(self, end: dict) -> None:
+        """Nothing to do: the listing keeps its rows."""
+
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -145,10 +196,7 @@ class PagedReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import importlib
-
-        module, _, name = self.options["fetch"].partition(":")
-        fetch: Callable = getattr(importlib.import_module(module), name)
+        fetch = _called(self.options, "fetch")
         offset, left = 0, float(self.options.get("most", "inf"))
         while offset is not None and left > 0:
             rows, offset = fetch(offset)
