@@ -211,6 +211,10 @@ def sample_edits(text: Column) -> Column:
 
 
 def edit_report(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, edited_tokens, edited_chars, encoded_chars of every whole text after sample_edits."""
+    """doc_id, n_tokens, edited_tokens, edited_chars, encoded_chars of every whole text after sample_edits.
+
+    A null text is an empty one, a null doc_id stays null, repeated rows are counted each for itself, extra columns are
+    ignored whatever their names; an empty table gives an empty result.
+    """
     chosen = docs.select("doc_id", "text", sample_edits(F.col("text")).alias("edits"))
     return count_edits(chosen, tokenizer)

@@ -198,7 +198,11 @@ def scan(docs: DataFrame, known: DataFrame, notices: list[tuple[str, str]], text
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, license_id, notices of every whole text."""
+    """doc_id, digest, license_id, notices of every whole text.
+
+    A null text has a null digest, no license and no notices; a null doc_id stays null, repeated rows each have a row,
+    extra columns are ignored whatever their names; an empty table gives an empty result.
+    """
     return scan(docs.select("doc_id", "text"), catalogue(docs.sparkSession, known_texts()), NOTICES).drop("text")
 
 
