@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 STRATUM = 1024
 #: One row per source is broadcast up to here; beyond, Spark joins by shuffle and splits large sources.
 BROADCAST_SOURCES = 20_000
+#: Draws (two numbers each) are broadcast up to here.
+BROADCAST_ROWS = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -83,15 +85,20 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with the columns of docs, whatever their names.
 
-    Cases are handled as in mix_report. Texts go through one shuffle.
+    Cases are handled as in mix_report. Rows are numbered and written once; what is sorted and drawn are numbers, sources
+    and sizes. The draws are broadcast to the texts up to BROADCAST_ROWS, beyond that both are shuffled by number.
     """
     names = docs.columns
     plain = docs.toDF(*(f"_{k}" for k in range(len(names))))  # the names of docs can't clash with those used here
     doc_id, source, text = (f"_{names.index(c)}" for c in ("doc_id", "source", "text"))
-    sized = plain.withColumn("__size", word_count(F.col(text)))
-    targets = written(source_targets(sized.select(F.col(source).alias("source"), F.col("__size").alias("size")), weights, cap), "targets")
-    taken = copies(sized, targets, seed, doc_id, source, "__size").where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*plain.columns).toDF(*names)
+    rows = written(plain.withColumns({"__row": F.monotonically_increasing_id(), "__size": word_count(F.col(text))}), "numbered")
+    narrow = rows.select("__row", doc_id, source, "__size")
+    targets = written(source_targets(narrow.select(F.col(source).alias("source"), F.col("__size").alias("size")), weights, cap), "targets")
+    taken = written(copies(narrow, targets, seed, doc_id, source, "__size").where("__copies > 0").select("__row", "__copies"), "taken")
+    if taken.count() <= BROADCAST_ROWS:
+        taken = F.broadcast(taken)
+    each = rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return each.select(*plain.columns).toDF(*names)
 
 
 #: The whole mix in DuckDB SQL; {stratum} rows to a stratum.
