@@ -90,5 +90,5 @@ def test_empty_documents(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
-    assert set(queries.oracle_sql()) == {"op1_license_scan", "op8_source_mixing"}
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
+    assert set(queries.oracle_sql()) == {"op1_license_scan", "op8_source_mixing", "op13_url_filters"}

@@ -28,18 +28,18 @@ LANES = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text: str = "text", keep: tuple[str, ...] = (), held: int | None = None) -> DataFrame:
     """Tokenise every text (null: empty), append end_id, cut what exceeds `capacity`; the first piece takes the remainder.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, and the columns of `keep`, none of which may have one of
-    these names or those that pack adds.
+    these names or those that pack adds. held: pre-tokens that a worker remembers, by default as many as tokens.CACHE_PIECES.
     """
     if clash := {*keep} & {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}:
         raise ValueError(f"rename before packing: {sorted(clash)}")
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, held)
         for whole in batches:
             for batch in slices(whole, "__text", STEP):
                 ids, at = enc.encode(batch.column("__text"), end_id)
@@ -162,10 +162,10 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, text: str = "text", keep: tuple[str, ...] = (), held: int | None = None) -> DataFrame:
     """Tokenise and pack whole documents; one row per piece.
 
     A null or empty text is one item, the end id alone. Null and repeated doc_ids stay, each row is packed. Extra
     columns are ignored unless named in `keep`. An empty table gives an empty result.
     """
-    return pack(written(pieces(docs, tokenizer, end_id, capacity, text, keep), "pieces"), capacity)
+    return pack(written(pieces(docs, tokenizer, end_id, capacity, text, keep, held), "pieces"), capacity)

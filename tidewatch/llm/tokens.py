@@ -89,6 +89,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         self.kind = self._kind(spec)
+        self.held: int | None = None
         self.young: dict[str, bytes] = cache("tokens")
         self.old: dict[str, bytes] = cache("tokens")
         if self.kind != "whole":
@@ -214,7 +215,7 @@ class Encoder:
 
     def _lookup(self, pieces: list[str], odd: np.ndarray) -> list[bytes]:
         """Ids of distinct pieces."""
-        if len(self.young) > CACHE_PIECES:
+        if len(self.young) > (self.held or CACHE_PIECES):
             self.young, self.old = self.old, self.young
             self.young.clear()
         young, old = self.young, self.old
@@ -268,11 +269,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One Encoder for each worker process and tokenizer file; claims the worker for token ids."""
+def encoder(path: str, held: int | None = None) -> Encoder:
+    """One Encoder for each worker process and tokenizer file, with room for `held` pieces; claims the worker for token ids."""
     claim("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].held = held
     return _encoders[path]
 
 
