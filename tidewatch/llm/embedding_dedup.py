@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import bounded_batches, written
 from tidewatch.llm.components import components
 
-TILE = 4096
-BLOCK = 512
+#: Vectors in a tile at most (two tiles and what is made of them are what a task holds), and at least; and how many tiles are wanted below
+#: the limit, for enough pairs of them to go round. Every pair of tiles is shuffled, so the fewer there are the less is.
+TILE, LEAST_TILE, TILES = 32_768, 1_024, 12
+#: Products that one step of a comparison holds.
+PRODUCTS = 1 << 22
 LEADING = (16, 32)
 #: What rounding of 32-bit products of unit vectors can add up to, many times over.
 SLACK = 1e-4
@@ -36,7 +39,7 @@ def principal_axes(classes: DataFrame, dims: int) -> np.ndarray:
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
         for batch in batches:
-            u = _unit(batch.column("vector"), dims)
+            u = _unit(_rows(batch.column("vector"), dims))
             total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], ["m"])
 
@@ -48,8 +51,11 @@ def principal_axes(classes: DataFrame, dims: int) -> np.ndarray:
     return vectors[:, np.argsort(values)[::-1]]
 
 
-def _unit(column: pa.Array, dims: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+def _rows(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x  # squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -79,8 +85,9 @@ def compare(u: np.ndarray, v: np.ndarray, turned_u: np.ndarray, turned_v: np.nda
         return np.concatenate([x[:, :k], np.sqrt((x[:, k:] ** 2).sum(axis=1, keepdims=True))], axis=1).astype(np.float32)
 
     us, vs = [lead(turned_u, k) for k in steps], [lead(turned_v, k) for k in steps]
-    for at in range(0, len(u), BLOCK):
-        stop = min(at + BLOCK, len(u))
+    block = max(16, min(512, PRODUCTS // max(1, len(v))))
+    for at in range(0, len(u), block):
+        stop = min(at + block, len(u))
         first = at if same else 0
         if steps:
             reach = us[0][at:stop] @ vs[0][first:].T  # leading products, and the suffix norms' product as one more
@@ -100,39 +107,48 @@ def compare(u: np.ndarray, v: np.ndarray, turned_u: np.ndarray, turned_v: np.nda
                 yield ii[on], jj[on]
 
 
-def _linked(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
-    """Rows (node, links, root) over the classes of one dimension: partial link counts and connections."""
+def tile_size(n: int) -> int:
+    """Vectors in a tile of n vectors."""
+    return min(TILE, max(LEAST_TILE, -(-n // TILES)))
+
+
+def _linked(classes: DataFrame, dims: int, threshold: float, kind: type = np.float64) -> DataFrame:
+    """Rows (node, links, root) over the classes of one dimension: partial link counts and connections.
+
+    kind: the type that holds the vectors' components without loss; tiles carry them in it.
+    """
     spark = classes.sparkSession
     axes = spark.sparkContext.broadcast(principal_axes(classes, dims))  # dims x dims
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u = _unit(batch.column("vector"), dims)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array((u @ axes.value[:, 0])), pa.array([x.tobytes() for x in u], pa.binary())], ["node", "n", "y", "unit"])
+            x = _rows(batch.column("vector"), dims)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array((_unit(x) @ axes.value[:, 0])), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())], ["node", "n", "y", "vector"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part, k = [], TaskContext.get().partitionId(), 0
 
         def cut(rows: pa.Table) -> pa.RecordBatch:
             y = rows.column("y").to_numpy()
-            data = b"".join(rows.column("unit").to_pylist())
+            data = b"".join(rows.column("vector").to_pylist())
             values = [part * (1 << 32) + k, float(y.min()), float(y.max()), rows.column("node").to_numpy().tobytes(), rows.column("n").to_numpy().tobytes(), data]
             types = (pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], ["tile", "low", "high", "nodes", "counts", "units"])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], ["tile", "low", "high", "nodes", "counts", "vectors"])
 
         for batch in batches:
             held.append(batch)
-            while sum(b.num_rows for b in held) >= TILE:
+            while sum(b.num_rows for b in held) >= size:
                 rows = pa.Table.from_batches(held)
-                yield cut(rows.slice(0, TILE))
-                k, held = k + 1, rows.slice(TILE).to_batches()
+                yield cut(rows.slice(0, size))
+                k, held = k + 1, rows.slice(size).to_batches()
         if sum(b.num_rows for b in held):
             yield cut(pa.Table.from_batches(held))
 
-    placed = classes.mapInArrow(place, "node long, n long, y double, unit binary")
-    parts = max(1, -(-classes.count() // TILE))
-    laid = placed.repartitionByRange(parts, "y").sortWithinPartitions("y", "node")
-    tiles = written(laid.mapInArrow(tile, "tile long, low double, high double, nodes binary, counts binary, units binary"), "tiles")
+    placed = classes.mapInArrow(place, "node long, n long, y double, vector binary")
+    count = classes.count()
+    size = tile_size(count)
+    laid = placed.repartitionByRange(max(1, -(-count // size)), "y").sortWithinPartitions("y", "node")
+    tiles = written(laid.mapInArrow(tile, "tile long, low double, high double, nodes binary, counts binary, vectors binary"), "tiles")
     ends = tiles.select("tile", "low", "high")
     far = float(np.sqrt(2 - 2 * threshold)) + 1e-9
     bins = lambda margin: F.explode(F.sequence(F.floor(F.col("low") / far) - margin, F.floor(F.col("high") / far) + margin)).alias("bin")
@@ -141,13 +157,13 @@ def _linked(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
     ordered = a.join(b, "bin").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # tiles, not vectors
     meet = written(ordered.distinct(), "meet")
     wanted = meet.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
-    cells = wanted.join(tiles, "tile").select("a", "b", "tile", "nodes", "counts", "units")
+    cells = wanted.join(tiles, "tile").select("a", "b", "tile", "nodes", "counts", "vectors")
 
     def cell(table: pa.Table) -> pa.Table:
         rows = {r["tile"]: r for r in table.to_pylist()}
         one, two = (rows[table.column(c)[0].as_py()] for c in ("a", "b"))
         same = one is two
-        get = lambda r: (np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["units"], np.float64).reshape(-1, dims))
+        get = lambda r: (np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["counts"], np.int64), _unit(np.frombuffer(r["vectors"], kind).astype(float).reshape(-1, dims)))
         (nodes_u, n_u, u), (nodes_v, n_v, v) = get(one), get(two)
         links, edges = np.zeros(len(u) + len(v), np.int64), []
         shift = 0 if same else len(u)
@@ -176,6 +192,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id:
     """
     bounded_batches(vectors.sparkSession)
     x = F.col(embedding).cast("array<double>")
+    kind = np.float32 if vectors.schema[embedding].dataType.elementType.typeName() == "float" else np.float64
     usable = F.coalesce((F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
     key = [F.xxhash64(F.lit(salt), "vector").alias(f"key{salt}") for salt in (1, 2)]  # 128 bits stand for a vector in joins
     rows = vectors.select(F.monotonically_increasing_id().alias("row_id"), F.col(vec_id).cast("long").alias("vec_id"), F.when(usable, x).alias("vector"))
@@ -184,7 +201,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id:
     classes = written(grouped, "classes")
     found = None
     for r in classes.select(F.size("vector").alias("dims")).distinct().collect():  # one row per length of vectors
-        linked = _linked(classes.where(F.size("vector") == r["dims"]).select("node", "n", "vector"), r["dims"], threshold)
+        linked = _linked(classes.where(F.size("vector") == r["dims"]).select("node", "n", "vector"), r["dims"], threshold, kind)
         found = linked if found is None else found.unionByName(linked)
     alone = rows.where("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if found is None:
