@@ -119,7 +119,7 @@ def k11_track_coordinates(spark: SparkSession, d: str) -> DataFrame:
 SELECT candidate_id, '[' || string_agg('{"incident_id":' || incident_id || ',"distance_km":' || printf('%.1f', floor(km * 10 + 5e-1) / 10) || ',"persistent":' || CAST(persistent AS VARCHAR) || '}', ',' ORDER BY k) || ']' AS matches, count(*) AS n FROM placed WHERE k <= 3 GROUP BY candidate_id""")
 def k11_corroboration(spark: SparkSession, d: str) -> DataFrame:
     """Each slick's best documented matches as one JSON array."""
-    top = joins.top_matches(joins.corroborate(slicks(spark, d), incidents(spark, d)))
+    top = joins.top_corroborated(slicks(spark, d), incidents(spark, d))
     one = F.format_string('{"incident_id":%d,"distance_km":%.1f,"persistent":%s}', "incident_id", round_to(F.col("km"), 1), F.col("persistent").cast("string"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", one.alias("json"))))
     text_of = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda m: m["json"]), ","), F.lit("]"))
