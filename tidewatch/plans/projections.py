@@ -12,7 +12,7 @@ from tidewatch.plans import sql
 from tidewatch.plans.drifting import DT, _shaped
 from tidewatch.plans.registry import query
 from tidewatch.plans.screening import _SHAPED, judged, shaped
-from tidewatch.plans.vessels import _DARK_KM, _r, incidents, origins, slicks
+from tidewatch.plans.vessels import _DARK_KM, _r, incidents, origins, placed_once, slicks
 from tidewatch.sources import fields
 from tidewatch.sources.relations import relation
 
@@ -79,9 +79,10 @@ _DARKEST = (
 @query(sql.with_relations("slick", "pos", then=_DARKEST) + f" SELECT candidate_id, mmsi, place, {sql.r('suspicion')} AS suspicion FROM n WHERE place <= 3")
 def o03_most_suspicious(spark: SparkSession, d: str) -> DataFrame:
     """The three most suspicious silences of each slick, in order."""
-    events = joins.dark_events(origins(spark, d), tracks.gaps(relation(spark, d, "pos")))
+    places, to_all = placed_once(origins(spark, d).select("candidate_id", "lon", "lat", "unc_km", "release"))
+    events = joins.dark_events(places, tracks.gaps(relation(spark, d, "pos")))
     place = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("suspicion"), "mmsi", "minutes"))
-    return events.withColumn("place", place.cast("long")).where("place <= 3").select("candidate_id", "mmsi", "place", _r("suspicion"))
+    return to_all(events.withColumn("place", place.cast("long")).where("place <= 3").select("candidate_id", "mmsi", "place", _r("suspicion")))
 
 
 @query(sql.with_relations("slick") + f" SELECT candidate_id, {sql.r('lon + (2e-2 + 6e-2 + 1e-2) / 4', 6)} AS lon, {sql.r('lat + (1e-2 + 5e-2 + 3e-2) / 4', 6)} AS lat FROM slick")
