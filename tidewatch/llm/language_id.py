@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, bounded_batches, claim, slices, text_bytes
+from tidewatch.llm.common import LOWER, bounded_batches, claim, slices, text_bytes, trimmed
 
 #: Features: all pairs of bytes, then triples by hash.
 FEATURES = (1 << 16) + (1 << 16)
@@ -144,7 +144,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", most: int
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([folded] * len(at), pa.bool_()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "fold", "feature", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, fold boolean, feature int, n long").groupBy("lang", "fold", "feature").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.mapInArrow(trimmed(count), "lang string, fold boolean, feature int, n long").groupBy("lang", "fold", "feature").agg(F.sum("n").alias("n")).toArrow()
     place = {x: i for i, x in enumerate(languages)}
     table = np.zeros((2, len(languages), FEATURES))
     of_fold = counts.column("fold").to_numpy(zero_copy_only=False).astype(int)
@@ -168,7 +168,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", most: int
         for i in range(len(m.languages)):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([seen[i]]), pa.array([right[i].tolist()])], ["language", "seen", "bits"])
 
-    judged = rows.where("fold").mapInArrow(judge, "language long, seen double, bits array<double>").select("language", "seen", F.posexplode("bits").alias("bit", "ok"))
+    judged = rows.where("fold").mapInArrow(trimmed(judge), "language long, seen double, bits array<double>").select("language", "seen", F.posexplode("bits").alias("bit", "ok"))
     trust = even.copy()
     for r in judged.groupBy("language", "bit").agg(F.sum("seen").alias("seen"), F.sum("ok").alias("ok")).collect():
         trust[r["language"], r["bit"]] = (r["ok"] + 1) / (r["seen"] + 2)
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(ambiguous)], [*names, "lang_pred", "score", "ambiguous"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, ambiguous boolean"
-    return kept.mapInArrow(label, schema.lstrip(", "))
+    return kept.mapInArrow(trimmed(label), schema.lstrip(", "))
 
 
 def identify(docs: DataFrame) -> DataFrame:

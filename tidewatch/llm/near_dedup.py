@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bounded_batches, claim, mix, slices, text_bytes, words, written
+from tidewatch.llm.common import bounded_batches, claim, mix, slices, text_bytes, trimmed, words, written
 from tidewatch.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 25, 5
@@ -146,7 +146,7 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
                 )
 
     chosen = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.md5(F.col(text).cast("binary")).alias("text_key"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "row_id long, doc_id long, text_key string, bands array<long>, nexts array<long>, shingles binary, times binary")
+    return chosen.mapInArrow(trimmed(run), "row_id long, doc_id long, text_key string, bands array<long>, nexts array<long>, shingles binary, times binary")
 
 
 def similar(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
             ok = [similar(a, weight(ta), b, weight(tb)) >= threshold for a, ta, b, tb in zip(*cols, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(trimmed(check), "a long, b long")
 
 
 def tile_links(x: pa.Table, y: pa.Table, bucket: int, threshold: float) -> tuple[list[int], list[int]]:

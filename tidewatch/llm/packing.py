@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bounded_batches, slices, written
+from tidewatch.llm.common import bounded_batches, slices, trimmed, written
 from tidewatch.llm.tokens import STEP, encoder
 
 #: Items are numbered within (length, lane), so that a length with most of the items is spread over tasks.
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text: st
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("__text"), *keep)
     extra = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return chosen.mapInArrow(cut, PIECES + extra)
+    return chosen.mapInArrow(trimmed(cut), PIECES + extra)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
