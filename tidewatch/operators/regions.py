@@ -35,27 +35,27 @@ def closing(dark: DataFrame, pixels: DataFrame) -> DataFrame:
     rim = pixels.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))  # one row
     grown = _moved(dark, around).distinct().join(F.broadcast(rim)).where("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1").select("r", "c")
     whole = _moved(grown, around).groupBy("r", "c").count().where(F.col("count") == len(around)).select("r", "c")
-    return whole.join(pixels.where(~F.col("land")).select("r", "c"), ["r", "c"], "left_semi")
+    return whole.hint("merge").join(pixels.where(~F.col("land")).select("r", "c"), ["r", "c"], "left_semi")
 
 
 def border(region: DataFrame, key: str = "label") -> DataFrame:
     """Pixels (key, r, c) with one of their four neighbours outside of their region."""
     beside = _moved(region, _CROSS, key).groupBy(key, "r", "c").agg(F.count("*").alias("n"))
-    return region.join(beside.where("n = 4"), [key, "r", "c"], "left_anti").select(key, "r", "c")
+    return region.hint("merge").join(beside.where("n = 4"), [key, "r", "c"], "left_anti").select(key, "r", "c")
 
 
 def outline(region: DataFrame, pixel_km: float, key: str = "label") -> DataFrame:
     """Perimeter (pixels), compactness 4 pi A / P squared (at most 1), box and box elongation, log10 of the area (km2)."""
     edge = border(region, key)
     near = lambda moves, name: _moved(edge, moves, key).groupBy(key, "r", "c").agg(F.count("*").alias(name))
-    met = edge.join(near(_CROSS, "beside"), [key, "r", "c"], "left").join(near(_CORNERS, "across"), [key, "r", "c"], "left")
+    met = edge.hint("merge").join(near(_CROSS, "beside"), [key, "r", "c"], "left").join(near(_CORNERS, "across").hint("merge"), [key, "r", "c"], "left")
     code = 1 + 2 * F.coalesce("beside", F.lit(0)) + 10 * F.coalesce("across", F.lit(0))
     length = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in STEP_LENGTH.items() for x in kv)), code.cast("int")), F.lit(0.0))
     around = met.groupBy(key).agg(F.sum(length).alias("perimeter"))
     box = region.groupBy(key).agg(F.count("*").alias("pixels"), *(f(x).alias(f"{x}{n}") for x in ("r", "c") for n, f in ((0, F.min), (1, F.max))))
     p = F.when(F.col("perimeter") == 0, 1.0).otherwise(F.col("perimeter"))
     high, wide = F.col("r1") - F.col("r0") + 1, F.col("c1") - F.col("c0") + 1
-    return box.join(around, key).select(
+    return box.join(around.hint("merge"), key).select(
         key, "pixels", p.alias("perimeter"), F.least(F.lit(1.0), 4 * math.pi * F.col("pixels") / (p * p)).alias("compactness"), "r0", "c0", "r1", "c1",
         (F.greatest(high, wide) / F.least(high, wide)).alias("box_elongation"), F.log10(F.greatest(F.col("pixels") * pixel_km * pixel_km, F.lit(1e-6))).alias("log_area"),
     )
@@ -66,14 +66,40 @@ def surroundings(region: DataFrame, sea: DataFrame, dark: DataFrame, key: str =
 
     Other dark pixels don't count as sea, unless nothing else is there. sea: r, c, db. Null where no sea is around.
     """
-    moves = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if 0 < abs(a) + abs(b) <= reach]
-    ring = _moved(border(region, key), moves, key).distinct().join(region.select(key, "r", "c"), [key, "r", "c"], "left_anti")
-    power = db_to_linear(F.col("db"))
-    around = ring.join(sea.select("r", "c", "db"), ["r", "c"]).join(dark.select("r", "c", F.lit(True).alias("is_dark")), ["r", "c"], "left")
-    mean = around.groupBy(key).agg(F.avg(F.when(F.col("is_dark").isNull(), power)).alias("clear"), F.avg(power).alias("any"), F.count_if(F.col("is_dark").isNull()).alias("clear_pixels"))
-    own = region.join(sea.select("r", "c", "db"), ["r", "c"]).groupBy(key).agg(F.avg(power).alias("own"))
+    side = 64 - 2 * reach  # columns of a run: one long holds them and what lies `reach` columns to either side
+    if side < 1:
+        raise ValueError("a reach of at most 31 steps")
+    bits = lambda name="c": F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(name, F.lit(side)).cast("int")))
+    run = F.floor(F.col("c") / side).alias("run")
+    own = region.groupBy(key, "r", run).agg(bits().alias("own"))
+    left, right = (lambda x, n: F.shiftleft(x, n) if n else x), (lambda x, n: F.shiftrightunsigned(x, n) if n else x)
+    # each row of a run, widened, reaches the rows around it: less far, the further they are
+    wide, grown = left(F.col("own"), reach), []
+    for n in range(reach + 1):
+        ahead = [left(wide, k) for k in range(1, n + 1)] + [right(wide, k) for k in range(1, n + 1)]
+        mask = wide
+        for m in ahead:
+            mask = mask.bitwiseOR(m)
+        grown.append(mask.alias(f"m{n}"))
+    masks = own.select(key, "r", "run", *grown)
+    one = (1 << side) - 1
+    parts = [F.struct((F.col("r") + dr).alias("r"), (F.col("run") + go).alias("run"), m.alias("ring")) for dr in range(-reach, reach + 1) for m0 in [F.col(f"m{reach - abs(dr)}")] for go, m in (
+        (-1, left(m0.bitwiseAND(F.lit((1 << reach) - 1)), side - reach)), (0, right(m0, reach).bitwiseAND(F.lit(one))), (1, right(m0, reach + side)))]
+    spread = masks.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.*").where("ring <> 0")
+    ring = spread.groupBy(key, "r", "run").agg(F.bit_or("ring").alias("ring"))
+    asked = ring.unionByName(own.withColumnRenamed("own", "self"), allowMissingColumns=True).groupBy(key, "r", "run").agg(F.coalesce(F.max("ring"), F.lit(0).cast("long")).alias("ring"), F.coalesce(F.max("self"), F.lit(0).cast("long")).alias("self"))
+    others = dark.select("r", "c").groupBy("r", run).agg(bits().alias("dark"))
+    held = sea.select("r", run, F.struct(F.pmod("c", F.lit(side)).cast("int").alias("at"), db_to_linear(F.col("db")).alias("power")).alias("p")).groupBy("r", "run").agg(F.collect_list("p").alias("sea"))
+    level = held.join(others.hint("merge"), ["r", "run"], "left").select("r", "run", "sea", F.coalesce("dark", F.lit(0).cast("long")).alias("dark"))
+    met = asked.join(level.hint("merge"), ["r", "run"])
+    on = lambda mask: F.filter("sea", lambda p: F.call_function("getbit", mask, p["at"]) == 1)
+    total = lambda some: F.aggregate(some, F.lit(0.0), lambda t, p: t + F.coalesce(p["power"], F.lit(0.0)))
+    valued = lambda some: F.size(F.filter(some, lambda p: p["power"].isNotNull()))
+    around = F.col("ring").bitwiseAND(F.bitwise_not("self"))
+    sums = met.select(key, on(around.bitwiseAND(F.bitwise_not("dark"))).alias("clear"), on(around).alias("any"), on(F.col("self")).alias("own"))
+    mean = sums.groupBy(key).agg(*(x for n in ("clear", "any", "own") for x in ((F.sum(total(n)) / F.nullif(F.sum(valued(n)), F.lit(0))).alias(n), F.sum(F.size(n)).alias(f"{n}_pixels")))).where("own_pixels > 0")
     level = F.coalesce("clear", "any")
-    return own.join(mean, key, "left").select(key, (10 * F.log10(level)).alias("surround_db"), (F.col("own") / level).alias("damping_ratio"), F.coalesce("clear_pixels", F.lit(0)).alias("clear_pixels"))
+    return mean.select(key, (10 * F.log10(level)).alias("surround_db"), (F.col("own") / level).alias("damping_ratio"), F.coalesce("clear_pixels", F.lit(0)).cast("long").alias("clear_pixels"))
 
 
 def extract(pixels: DataFrame, threshold: float, pixel_km: float, min_area_km2: float) -> DataFrame:
@@ -87,12 +113,14 @@ def extract(pixels: DataFrame, threshold: float, pixel_km: float, min_area_km2:
     labelled = raster.components(dark)
     least = max(4, round(min_area_km2 / pixel_km**2))
     large = labelled.groupBy("label").count().where(F.col("count") >= least).select("label")
-    region = labelled.join(large, "label", "left_semi")
-    valued = region.join(pixels.select("r", "c", "db", "p"), ["r", "c"])
+    region = labelled.hint("merge").join(large, "label", "left_semi")
+    valued = region.hint("merge").join(pixels.select("r", "c", "db", "p"), ["r", "c"])
     shape = raster.regions(valued, pixel_km)
     trust = valued.groupBy("label").agg(F.avg("p").alias("mean_confidence"))
     more = outline(region, pixel_km).drop("pixels")
-    return shape.join(more, "label").join(surroundings(region, sea.select("r", "c", "db"), dark), "label", "left").join(trust, "label")
+    # joined by shuffles throughout: what is read back is small on disk for the rows it holds, and would go through the driver
+    around = surroundings(region, sea.select("r", "c", "db"), dark)
+    return shape.join(more.hint("merge"), "label").join(around.hint("merge"), "label", "left").join(trust.hint("merge"), "label")
 
 
 def trace(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
