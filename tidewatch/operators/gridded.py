@@ -89,15 +89,25 @@ def advect_field(particles: DataFrame, field: DataFrame, t: Axis, lon: Axis, lat
                     there = np.logical_and.reduce([(f >= 0) & (f <= a.nodes - 2) for f, a in zip(first, axes, strict=True)])
                     here = there & np.logical_and.reduce([(f >= a) & (f + 1 < b) for f, a, b in zip(first, low, high, strict=True)])
                 beyond |= there & ~here
-                total = np.full((2, len(px)), np.nan)
-                f = [np.where(here, f - a, 0).astype(int) for f, a in zip(first, low, strict=True)]
-                w = [p - np.floor(p) for p in place]
-                if here.any():
-                    total[:, here] = 0
-                    for corner in np.ndindex(2, 2, 2):
-                        weight = np.prod([q if c else 1 - q for q, c in zip(w, corner, strict=True)], axis=0)
-                        value = table[:, *(np.minimum(q + c, n - 1) for q, c, n in zip(f, corner, table.shape[1:], strict=True))]
-                        total[:, here] += np.where(weight == 0, 0, weight * value)[:, here]
+                f = [x - a for x, a in zip(first, low, strict=True)] if here.all() else [np.where(here, x - a, 0) for x, a in zip(first, low, strict=True)]
+                w = [p - x for p, x in zip(place, first, strict=True)]
+                n, m = table.shape[2], table.shape[3]
+                at = ((f[0] * n + f[1]) * m + f[2]).astype(np.intp)
+                (c1, b1, a1), (c0, b0, a0) = w, [1 - x for x in w]
+                corner = lambda t, k: t.take(at + k, mode="clip")
+                line = lambda t, k: a0 * corner(t, k) + a1 * corner(t, k + 1)
+                plane = lambda t, k: b0 * line(t, k) + b1 * line(t, k + m)
+                total = [c0 * plane(t, 0) + c1 * plane(t, n * m) for t in table.reshape(2, -1)]
+                if not here.all():
+                    total = [np.where(here, t, np.nan) for t in total]
+                void = np.flatnonzero(here & (np.isnan(total[0]) | np.isnan(total[1])))  # beside a node without a value, whose weight may be zero
+                if len(void):
+                    each = np.zeros((2, len(void)))
+                    for c in np.ndindex(2, 2, 2):
+                        weight = np.prod([(q if one else 1 - q)[void] for q, one in zip(w, c, strict=True)], axis=0)
+                        value = table[:, *(q[void].astype(int) + one for q, one in zip(f, c, strict=True))]
+                        each += np.where(weight == 0, 0, weight * value)
+                    total[0][void], total[1][void] = each
                 return total[0] + wind[0][on], total[1] + wind[1][on]
 
             nx, ny = drift.rk4(x[on], y[on], h[on], dt, velocity)
@@ -125,12 +135,15 @@ def advect_field(particles: DataFrame, field: DataFrame, t: Axis, lon: Axis, lat
         chunked = chunked.withColumn(name, around(c, n, r))
     chunked = written(chunked, "chunks")
     done = [state.where("left = 0")]
+    spark = particles.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)  # given: steps cost more than rows' bytes say
     while not (going := state.where("left > 0")).isEmpty():
         here = going.withColumns({c: x for c, x in zip(names, chunk, strict=True)})
         shares = written(here.groupBy(*names).agg(F.ceil(F.count("*") / PARTICLES).alias("shares")), "shares")  # chunks with particles
         dealt = here.join(shares, [*names]).withColumn("share", F.pmod(F.xxhash64("candidate_id", "pid"), F.col("shares"))).drop("shares")
         nodes = chunked.join(shares, [*names]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
-        moved = dealt.groupBy(*names, "share").cogroup(nodes.groupBy(*names, "share")).applyInPandas(run, schema)
+        by_task = (df.repartition(tasks, *names, "share").groupBy(*names, "share") for df in (dealt, nodes))
+        moved = next(by_task).cogroup(next(by_task)).applyInPandas(run, schema)
         state = written(moved, "particles")
         done.append(state.where("left = 0"))
     out = done[0]
