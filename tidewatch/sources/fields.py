@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import joins
+from tidewatch.sources.shared import written
 
 Wind = Callable[[DataFrame], DataFrame]
 
@@ -70,25 +71,28 @@ def sample(points: DataFrame, grid: DataFrame, axes: dict[str, tuple[float, floa
     """u and v of a field in time at points (id, t, lon, lat): linear along t, lon and lat between the eight nodes around.
 
     grid: k, i, j, u, v; axes: start and step of t, lon and lat (a negative step for a descending axis). A point off the grid,
-    or beside a node without a value, is an error or, with outside="null", has nulls. One join by node; weights of zero
-    ask for no node.
+    or beside a node without a value, is an error or, with outside="null", has nulls. Nodes are put together as cells of eight, which
+    a point meets in one join, as one row; weights of zero ask for no node.
     """
     names = {"t": "k", "lon": "i", "lat": "j"}
     place = {x: (F.col(x) - axes[x][0]) / axes[x][1] for x in names}
-    cell = points.select("id", *(p.alias(f"__{x}") for x, p in place.items()))
-    part = lambda x, one: F.col(f"__{x}") - F.floor(f"__{x}") if one else 1 - (F.col(f"__{x}") - F.floor(f"__{x}"))
-    corners: list[Column] = []
-    for a in (0, 1):
-        for b in (0, 1):
-            for c in (0, 1):
-                at = {"t": a, "lon": b, "lat": c}
-                weight = part("t", a) * part("lon", b) * part("lat", c)
-                corners.append(F.struct(*((F.floor(f"__{x}") + o).alias(names[x]) for x, o in at.items()), weight.alias("w")))
-    spread = cell.select("id", F.explode(F.array(*corners)).alias("n")).select("id", "n.*").where("w > 0")
-    met = spread.join(grid.where("u IS NOT NULL AND v IS NOT NULL AND NOT isnan(u) AND NOT isnan(v)"), ["k", "i", "j"])
-    sums = met.groupBy("id").agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.col(x)).alias(x) for x in ("u", "v")))
-    whole = points.join(sums, "id", "left").withColumn("inside", F.coalesce(F.abs(F.col("w") - 1) < 1e-9, F.lit(False)))
+    corners = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+    known = grid.where("u IS NOT NULL AND v IS NOT NULL AND NOT isnan(u) AND NOT isnan(v)")
+    spread = F.array(*(F.struct((F.col("k") - a).alias("__k"), (F.col("i") - b).alias("__i"), (F.col("j") - c).alias("__j"), F.lit(n).alias("n")) for n, (a, b, c) in enumerate(corners)))
+    met = known.select(F.explode(spread).alias("c"), "u", "v", F.lit(1.0).alias("w")).select("c.*", "u", "v", "w")
+    cells = met.groupBy("__k", "__i", "__j").agg(*(F.coalesce(F.max(F.when(F.col("n") == n, F.col(x))), F.lit(0.0)).alias(f"__{x}{n}") for n in range(8) for x in ("u", "v", "w")))
+    placed = points.withColumns({f"__{names[x]}": F.floor(p) for x, p in place.items()} | {f"__{x}": p - F.floor(p) for x, p in place.items()})
+    far = [F.col(f"__{x}") for x in names]
+
+    def between(x: str, axis: int = 0, n: int = 0) -> Column:
+        """Linear along the axes from this one on; a node without a value is zero, and so is its w."""
+        if axis == 3:
+            return F.col(f"__{x}{n}")
+        return (1 - far[axis]) * between(x, axis + 1, n) + far[axis] * between(x, axis + 1, n + (4 >> axis))
+
+    whole = placed.join(joins.bounded(written(cells, "cells"), 100_000), ["__k", "__i", "__j"], "left").select(*points.columns, *(between(x).alias(x) for x in ("u", "v")), F.coalesce(F.abs(between("w") - 1) < 1e-9, F.lit(False)).alias("inside"))
     if outside == "error":
-        refuse = F.when(~F.col("inside"), F.raise_error(F.concat(F.lit("outside of the field: "), F.col("id").cast("string"))).cast("double"))
-        return whole.withColumns({x: F.coalesce(refuse, F.col(x)) for x in ("u", "v")}).drop("w", "inside")
-    return whole.withColumns({x: F.when(F.col("inside"), F.col(x)) for x in ("u", "v")}).drop("w", "inside")
+        first = whole.where(~F.col("inside")).agg(F.min("id").alias("__first"))  # one row, so that every task names the same point
+        refuse = F.when(F.col("__first").isNotNull(), F.raise_error(F.concat(F.lit("outside of the field: "), F.col("__first").cast("string"))).cast("double"))
+        return whole.join(F.broadcast(first)).withColumns({x: F.coalesce(refuse, F.col(x)) for x in ("u", "v")}).drop("inside", "__first")
+    return whole.withColumns({x: F.when(F.col("inside"), F.col(x)) for x in ("u", "v")}).drop("inside")
