@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import physics, text
 from tidewatch.functions.geo import bearing_deg, haversine_km, round_to
-from tidewatch.operators import drift, joins, tracks
+from tidewatch.operators import around, drift, joins, tracks
 from tidewatch.plans import sql
 from tidewatch.plans.drifting import DT, _shaped
 from tidewatch.plans.registry import query
@@ -80,9 +80,8 @@ _DARKEST = (
 def o03_most_suspicious(spark: SparkSession, d: str) -> DataFrame:
     """The three most suspicious silences of each slick, in order."""
     places, to_all = placed_once(origins(spark, d).select("candidate_id", "lon", "lat", "unc_km", "release"))
-    events = joins.dark_events(places, tracks.gaps(relation(spark, d, "pos")))
-    place = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("suspicion"), "mmsi", "minutes"))
-    return to_all(events.withColumn("place", place.cast("long")).where("place <= 3").select("candidate_id", "mmsi", "place", _r("suspicion")))
+    pos = relation(spark, d, "pos")
+    return to_all(around.silences(places, pos, tracks.gaps(pos), best=3).select("candidate_id", "mmsi", "place", _r("suspicion")))
 
 
 @query(sql.with_relations("slick") + f" SELECT candidate_id, {sql.r('lon + (2e-2 + 6e-2 + 1e-2) / 4', 6)} AS lon, {sql.r('lat + (1e-2 + 5e-2 + 3e-2) / 4', 6)} AS lat FROM slick")
